@@ -52,6 +52,15 @@ def cosine_comparison(source: str = "toxic", prediction: str = "prediction") ->
     return Comparison("term", source, prediction, 1)
 
 
+def _tasks(df: DataFrame) -> int:
+    """The session's shuffle width, as a fixed number.
+
+    A byte of text costs far more work here than a shuffled byte elsewhere, so
+    the tasks must not be merged by their size on disk.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def overlap(df: DataFrame, keys: list[str], comparisons: list[Comparison]) -> DataFrame:
     """Per row key, kind and order: n-grams on both sides, matches and products of counts.
 
@@ -59,7 +68,7 @@ def overlap(df: DataFrame, keys: list[str], comparisons: list[Comparison]) -> Da
     Text shorter than an order has no row for it.
     """
     columns = list(dict.fromkeys(c for cmp in comparisons for c in (cmp.left, cmp.right)))
-    moved = df.select(*keys, *columns).repartition(*keys)
+    moved = df.select(*keys, *columns).repartition(_tasks(df), *keys)
     sides = []
     for cmp in comparisons:
         for is_left, name in ((1, cmp.left), (0, cmp.right)):

@@ -116,10 +116,17 @@ splitted as (select * exclude (rk, n, n_val, n_test), case when rk <= n - n_val
 
 def gram_stats(source: str, key: str) -> str:
     """CTE ``gram_stats``: per row, kind and order the overlap of two lists of units."""
+    leads = ", ".join(f"lead(x, {i}) over w x{i}" for i in range(1, 6))
+    cases = []
+    for n in range(1, 7):
+        rest = "".join(f" || sep || x{i}" for i in range(1, n))
+        last = "x" if n == 1 else f"x{n - 1}"
+        cases.append(f"select {key}, kind, is_left, {n} n, x{rest} g from gram_shift where {n} <= orders and {last} is not null")
     return f"""
-gram_rows as (select {key}, kind, is_left, n,
-    unnest(list_transform(range(1, (len(u) - n + 2)::bigint), lambda i: array_to_string(u[i:i + n - 1], glue))) g
-  from (select *, unnest(range(1, orders + 1)) n from {source})),
+gram_pos as (select {key}, kind, orders, is_left, unnest(u) x, generate_subscripts(u, 1) p from {source}),
+gram_shift as (select *, case when kind = 'char' then '' else ' ' end sep, {leads} from gram_pos
+  window w as (partition by {key}, kind, is_left order by p)),
+gram_rows as ({" union all ".join(cases)}),
 gram_cnt as (select {key}, kind, n, g, count(*) filter (is_left) a, count(*) filter (not is_left) b
   from gram_rows group by all),
 gram_stats as (select {key}, kind, n, sum(a) a, sum(b) b, sum(least(a, b)) m, sum(a * b) ab, sum(a * a) aa,
@@ -278,12 +285,12 @@ PARTS: dict[str, str] = {
     # scores
     "tox_rows": flagged_counts("keyed", "rk", "prediction", "lex_judge", "prefix", "tox_rows"),
     "units": f"""units as (
-  select rk, 'term' kind, 1 orders, ' ' glue, true is_left, {words('lower(toxic)')} u from keyed
-  union all select rk, 'term', 1, ' ', false, {words('lower(prediction)')} from keyed
-  union all select rk, 'word', 4, ' ', true, {words_13a('prediction')} from keyed
-  union all select rk, 'word', 4, ' ', false, {words_13a('neutral')} from keyed
-  union all select rk, 'char', 6, '', true, string_split(regexp_replace(prediction, '{WS}+', '', 'g'), '') from keyed
-  union all select rk, 'char', 6, '', false, string_split(regexp_replace(neutral, '{WS}+', '', 'g'), '') from keyed)""",
+  select rk, 'term' kind, 1 orders, true is_left, {words('lower(toxic)')} u from keyed
+  union all select rk, 'term', 1, false, {words('lower(prediction)')} from keyed
+  union all select rk, 'word', 4, true, {words_13a('prediction')} from keyed
+  union all select rk, 'word', 4, false, {words_13a('neutral')} from keyed
+  union all select rk, 'char', 6, true, string_split(regexp_replace(prediction, '{WS}+', '', 'g'), '') from keyed
+  union all select rk, 'char', 6, false, string_split(regexp_replace(neutral, '{WS}+', '', 'g'), '') from keyed)""",
     "gram_stats": gram_stats("units", "rk"),
     "sim_rows": """sim_rows as (select rk, case when aa > 0 and bb > 0
     then ab / (sqrt(aa::double) * sqrt(bb::double)) else 0.0 end sim from gram_stats where kind = 'term')""",
@@ -445,7 +452,8 @@ round(fl, 6) fl, sta, sim_ok, round(j2, 6) j2, round(j3, 6) j3 from scored"""
     q["corpus_chrf"] = "select experiment, lang, round(chrf, 6) chrf from bleu_chrf"
     q["bootstrap_ci"] = "with_ " + bootstrap("doc_judged", "doc_id::varchar", "lang", ["tox"], "tox_only") + " select * from tox_only"
     q["evaluate_noref"] = _noref()
-    q["evaluate_ref"] = f"select * replace (round(b.bleu, 2) as bleu, round(b.chrf, 2) as chrf) from ({_noref()}) n join (select experiment e2, lang l2, bleu, chrf from bleu_chrf) b on e2 = experiment and l2 = lang"
+    q["evaluate_ref"] = f"""select n.* exclude (bleu, chrf), round(b.bleu, 2) bleu, round(b.chrf, 2) chrf
+from ({_noref()}) n join bleu_chrf b on b.experiment = n.experiment and b.lang = n.lang"""
     q["evaluate_by_experiment"] = """select experiment, lang, "method", n_shots, n_samples, toxicity_mean, sta,
 toxicity_pct_below_threshold, similarity_mean, similarity_pct_above_threshold, j2_score from few"""
     q["nearest_to_centroid"] = "select * from nearest"
@@ -454,8 +462,8 @@ order by md5(concat_ws('|', '42', vec_id::varchar)), vec_id limit {SAMPLE}"""
     q["results_table"] = """select experiment, lang, toxicity_pct_below_threshold sta_pct, similarity_mean sim, null::double ppl,
 bleu, chrf, j2_score j2, null::double j3 from baseline"""
     q["results_roundtrip"] = "select lang, toxicity_mean, similarity_mean, bleu from baseline"
-    q["enrich_runs"] = f"""select experiment, lang, toxicity_mean, similarity_mean, n_rewrites, words_in, words_out
-from record left join (select experiment, count(*) n_rewrites, sum(len({words('toxic')}))::bigint words_in,
+    q["enrich_runs"] = f"""select experiment, lang, toxicity_mean, similarity_mean,
+n_rewrites::double n_rewrites, words_in::double words_in, words_out::double words_out from record left join (select experiment, count(*) n_rewrites, sum(len({words('toxic')}))::bigint words_in,
 sum(len({words('prediction')}))::bigint words_out from rewrites where experiment <> 'identity' group by experiment)
 using (experiment)"""
     q["pending_evaluations"] = """select distinct experiment, lang from rewrites
@@ -474,7 +482,7 @@ on f.lang = g.lang and f.n_shots = g.v and f."method" = 'prefix'
 union all select 'method', g.lang, g.v, toxicity_mean, similarity_mean
 from (select distinct lang, v from few, (values {methods}) x(v)) g left join few f
 on f.lang = g.lang and f."method" = g.v and f.n_shots = {vw.SERIES_SIZES[-1]}"""
-    q["experiment_summary"] = """select experiment, lang, 'baseline' as "method", null::bigint n_shots, toxicity_mean toxicity,
+    q["experiment_summary"] = """select experiment, lang, 'baseline' as "method", null::double n_shots, toxicity_mean toxicity,
 toxicity_pct_below_threshold tox_below_pct, similarity_mean similarity, bleu from baseline
 union all select experiment, lang, "method", 0, toxicity_mean, toxicity_pct_below_threshold, similarity_mean, null from zero
 union all select experiment, lang, "method", n_shots, toxicity_mean, toxicity_pct_below_threshold, similarity_mean, null from few"""

@@ -547,7 +547,11 @@ def enrich_runs(spark, sf_dir):
         F.sum(before).cast("bigint").alias("words_in"),
         F.sum(after).cast("bigint").alias("words_out"),
     )
-    return reports.enrich_runs(records, runs)
+    enriched = reports.enrich_runs(records, runs)
+    # null for experiments without a run, hence doubles
+    return enriched.withColumns(
+        {c: F.col(c).cast("double") for c in ("n_rewrites", "words_in", "words_out")}
+    )
 
 
 @query
@@ -583,7 +587,7 @@ def ablation_series(spark, sf_dir):
 def experiment_summary(spark, sf_dir):
     zero, few = _series(spark, sf_dir)
     table = reports.experiment_summary(_baselines(spark, sf_dir), zero, few)
-    return table.withColumn("n_shots", F.col("n_shots").cast("bigint"))
+    return table.withColumn("n_shots", F.col("n_shots").cast("double"))
 
 
 # --- flagship ---------------------------------------------------------------

@@ -27,18 +27,19 @@ def save_results(metrics: DataFrame, path: str) -> None:
     ).option("ignoreNullFields", "false").json(path)
 
 
-def load_results(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def load_results(
+    spark: SparkSession, path: str, glob: str | None = None, indented: bool = False
+) -> DataFrame:
     """All records below ``path`` with the base name of their file.
 
-    Reads JSON lines as well as indented single-object files such as ``*_eval.json``.
+    The default reads JSON lines as :func:`save_results` writes them, which Spark
+    can split; ``indented`` reads files with one object over several lines, such
+    as ``*_eval.json``.
     """
-    reader = (
-        spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
-    )
+    reader = spark.read.schema(RESULT_SCHEMA).options(multiLine=indented, recursiveFileLookup=True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    records = reader.json(path)
-    return records.withColumn("_file", F.col("_metadata.file_name"))
+    return reader.json(path).withColumn("_file", F.col("_metadata.file_name"))
 
 
 def save_summary(summary: DataFrame, path: str) -> None:
