@@ -29,13 +29,16 @@ def collapse(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    flat = collapse(c)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(c, f"{SPACE}+"), "")
+
+
+def first_words(c: Column, n: int) -> Column:
+    """The first ``n`` words; the rest of the text is not cut up."""
+    return F.slice(F.array_remove(F.split(c, f"{SPACE}+", n + 2), ""), 1, n)
 
 
 def word_count(c: Column) -> Column:
-    flat = collapse(c)
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " ")))
+    return F.size(words(c))
 
 
 def first_filled(*cols: Column) -> Column:
@@ -110,5 +113,4 @@ def words_13a(c: Column) -> Column:
 
 def characters(c: Column) -> Column:
     """Code points without white space, as chrF wants them."""
-    flat = F.regexp_replace(c, f"{SPACE}+", "")
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, ""))
+    return F.array_remove(F.split(F.regexp_replace(c, f"{SPACE}+", ""), ""), "")

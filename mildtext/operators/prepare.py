@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
+from mildtext.operators.once import once
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -17,8 +18,8 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def with_word_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns(
-        {"n_toxic": tx.word_count(F.col("toxic")), "n_neutral": tx.word_count(F.col("neutral"))}
+    return once(
+        pairs, n_toxic=tx.word_count(F.col("toxic")), n_neutral=tx.word_count(F.col("neutral"))
     )
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
+from mildtext.operators.once import once
 from mildtext.operators.skew import key_counts, lookup
 from mildtext.session import materialize
 from mildtext.sources.lexicon import all_language_terms
@@ -91,7 +92,7 @@ def by_language(
 
 
 def _with_flat(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("flat", tx.collapse(F.col(text)))
+    return once(df, flat=tx.collapse(F.col(text)))
 
 
 def delete_inline(
@@ -115,13 +116,8 @@ def delete_inline(
         )
         return F.array_join(tokens, " ")
 
-    rewritten = by_language(F.col(lang), terms, kept)
-    return (
-        _with_flat(df, text)
-        .withColumn(out, rewritten)
-        .withColumn(out, F.coalesce(F.nullif(F.col(out), F.lit("")), F.col(text)))
-        .drop("flat")
-    )
+    rewritten = once(_with_flat(df, text), **{out: by_language(F.col(lang), terms, kept)})
+    return rewritten.withColumn(out, F.coalesce(F.nullif(F.col(out), F.lit("")), F.col(text))).drop("flat")
 
 
 def count_flagged_inline(
@@ -138,12 +134,11 @@ def count_flagged_inline(
     def hits(group: list[str]) -> Column:
         return F.size(F.filter(tx.clean_tokens(flat, keep_marks), flag_expression(group, match)))
 
-    return (
-        _with_flat(df, text)
-        .withColumn("n_tokens", F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))))
-        .withColumn("n_flagged", by_language(F.col(lang), terms, hits))
-        .drop("flat")
-    )
+    return once(
+        _with_flat(df, text),
+        n_tokens=F.size(tx.raw_tokens(flat)) - (flat == "").cast("int"),
+        n_flagged=by_language(F.col(lang), terms, hits),
+    ).drop("flat")
 
 
 # --- the same by joins ------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mildtext.functions import scores as sc
 from mildtext.functions import text as tx
 from mildtext.operators import grams
+from mildtext.operators.once import once
 from mildtext.operators.rewrite import Terms, count_flagged_inline
 from mildtext.operators.skew import key_counts, lookup
 from mildtext.session import materialize, shared
@@ -151,7 +152,8 @@ ADD_K = 0.1
 
 def bigrams(df: DataFrame, keys: list[str], text: str, lang: str = "lang") -> DataFrame:
     """``keys, lang, w1, w2``: neighbouring lower-case words, the first one after a start mark."""
-    cut = df.select(*keys, F.col(lang).alias("lang"), tx.words(F.lower(F.col(text))).alias("ws"))
+    texts = df.select(*keys, F.col(lang).alias("lang"), F.col(text).alias("ws"))
+    cut = once(texts, ws=tx.words(F.lower(F.col("ws"))))
     ws = F.col("ws")
     shifted = F.slice(F.concat(F.array(F.lit(START)), ws), F.lit(1), F.size(ws))
     return cut.filter(F.size(ws) > 0).select(

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
+from mildtext.operators.once import once
 
 PAD, END, FIRST = 0, 1, 2  # ids 0 and 1 are reserved
 IGNORE = -100  # fixed value: label of padding
 VOCABULARY = 32_000
 
 
-def hashed_ids(c: Column, vocabulary: int = VOCABULARY) -> Column:
-    """Default tokenizer: one id per white-space word, out of its digest."""
+def hashed_ids(c: Column, limit: int, vocabulary: int = VOCABULARY) -> Column:
+    """Default tokenizer: one id per white-space word, out of its digest, for ``limit`` words."""
     return F.transform(
-        tx.words(c),
+        tx.first_words(c, limit),
         lambda w: (
             F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % (vocabulary - FIRST) + FIRST
         ).cast("int"),
@@ -43,14 +44,16 @@ def mask_padding(padded: Column) -> Column:
 
 def tokenize_inputs(df: DataFrame, text: str = "text", max_length: int = 128,
                     prefix: str = "detoxify: ", tokenizer=hashed_ids) -> DataFrame:
-    """Adds ``input_ids`` and ``attention_mask`` of ``prefix + text``.
+    """Adds ``input_ids`` and ``attention_mask`` of ``prefix + text``, both ``max_length`` long.
 
-    ``tokenizer`` maps a string column to an array of ids; an outside tokenizer
-    plugs in as a pandas UDF.
+    ``tokenizer`` maps a string column and a limit to an array of ids; an outside
+    tokenizer plugs in as a pandas UDF.
     """
-    cut = df.withColumn(
-        "ids", close_and_cut(tokenizer(F.concat(F.lit(prefix), F.col(text))), max_length)
-    )
+    asked = F.concat(F.lit(prefix), F.col(text))
+    return _with_masks(once(df, ids=close_and_cut(tokenizer(asked, max_length - 1), max_length)), max_length)
+
+
+def _with_masks(cut: DataFrame, max_length: int) -> DataFrame:
     return (
         cut.withColumn("input_ids", pad(F.col("ids"), max_length))
         .withColumn("attention_mask", attention(F.col("ids"), max_length))
@@ -61,8 +64,11 @@ def tokenize_inputs(df: DataFrame, text: str = "text", max_length: int = 128,
 def tokenize_pairs(df: DataFrame, toxic: str = "toxic", neutral: str = "neutral",
                    max_length: int = 128, prefix: str = "detoxify: ", tokenizer=hashed_ids) -> DataFrame:
     """As :func:`tokenize_inputs`, plus ``labels``: the ids of the neutral side, padding ignored."""
-    inputs = tokenize_inputs(df, toxic, max_length, prefix, tokenizer)
-    target = pad(close_and_cut(tokenizer(F.col(neutral)), max_length), max_length)
-    return inputs.withColumn("target", target).withColumn(
-        "labels", mask_padding(F.col("target"))
-    ).drop("target")
+    asked = F.concat(F.lit(prefix), F.col(toxic))
+    cut = once(
+        df,
+        ids=close_and_cut(tokenizer(asked, max_length - 1), max_length),
+        target=close_and_cut(tokenizer(F.col(neutral), max_length - 1), max_length),
+    )
+    masked = mask_padding(pad(F.col("target"), max_length))
+    return _with_masks(cut.withColumn("labels", masked), max_length).drop("target")

@@ -28,7 +28,15 @@ def per_language(terms: tuple[str, ...]) -> dict[str, list[str]]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables.
+
+    A file with fewer scan tasks than cores (one row group cannot be split) is
+    spread over the cores; a large table has more splits than cores and is read
+    as it is, without a shuffle.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

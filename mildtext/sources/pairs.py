@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
+from mildtext.operators.once import once
 
 PAIR_SCHEMA = (
     "pair_id bigint, lang string, source string, source_rank int, toxic string, neutral string"
@@ -67,14 +68,15 @@ def normalize_pairs_keep_blank(
     pair_id: str = "pair_id",
 ) -> DataFrame:
     """As :func:`normalize_pairs`, keeping blank rows for the cleaning funnel."""
-    return df.select(
+    sides = df.select(
         F.col(pair_id).cast("bigint").alias("pair_id"),
         lang.alias("lang"),
         F.lit(source).alias("source"),
         F.lit(source_rank).alias("source_rank"),
-        tx.strip(pick(df, columns[0])).alias("toxic"),
-        tx.strip(pick(df, columns[1])).alias("neutral"),
+        pick(df, columns[0]).alias("toxic"),
+        pick(df, columns[1]).alias("neutral"),
     )
+    return once(sides, toxic=tx.strip(F.col("toxic")), neutral=tx.strip(F.col("neutral")))
 
 
 def load_pairs(
@@ -93,15 +95,10 @@ def load_inputs(
     df: DataFrame, langs: Sequence[str], text: str = "text", row_id: str = "row_id"
 ) -> DataFrame:
     """Toxic-only inputs of the wanted languages."""
-    return (
-        df.filter(F.col("lang").isin(list(langs)))
-        .select(
-            F.col(row_id).cast("bigint").alias("row_id"),
-            "lang",
-            tx.strip(F.coalesce(F.col(text), F.lit(""))).alias("text"),
-        )
-        .filter(F.col("text") != "")
+    wanted = df.filter(F.col("lang").isin(list(langs))).select(
+        F.col(row_id).cast("bigint").alias("row_id"), "lang", F.coalesce(F.col(text), F.lit("")).alias("text")
     )
+    return once(wanted, text=tx.strip(F.col("text"))).filter(F.col("text") != "")
 
 
 def load_labelled_pairs(
