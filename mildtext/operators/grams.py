@@ -68,7 +68,10 @@ def overlap(df: DataFrame, keys: list[str], comparisons: list[Comparison]) -> Da
     Text shorter than an order has no row for it.
     """
     columns = list(dict.fromkeys(c for cmp in comparisons for c in (cmp.left, cmp.right)))
-    moved = df.select(*keys, *columns).repartition(_tasks(df), *keys)
+    # one struct as key: a constant among the keys would otherwise be optimised away
+    # from the grouping, which then no longer fits the partitioning
+    packed = df.select(F.struct(*keys).alias("row_key"), *columns)
+    moved = packed.repartition(_tasks(df), "row_key")
     sides = []
     for cmp in comparisons:
         for is_left, name in ((1, cmp.left), (0, cmp.right)):
@@ -81,30 +84,30 @@ def overlap(df: DataFrame, keys: list[str], comparisons: list[Comparison]) -> Da
                     cmp.units(F.col(name)).alias("units"),
                 )
             )
-    by_side = moved.select(*keys, F.explode(F.array(*sides)).alias("side")).select(*keys, "side.*")
-    by_order = by_side.withColumn(
-        "n", F.explode(F.sequence(F.lit(1), F.least(F.col("orders"), F.greatest(F.size("units"), F.lit(1)))))
-    ).filter(F.size("units") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.size("units") - F.col("n") + 1)
+    by_side = moved.select("row_key", F.explode(F.array(*sides)).alias("side")).select("row_key", "side.*")
+    longest = F.least(F.col("orders"), F.size("units"))
+    by_order = by_side.filter(F.size("units") > 0).withColumn(
+        "n", F.explode(F.sequence(F.lit(1), longest))
+    )
     grams = F.transform(
-        starts,
+        F.sequence(F.lit(1), F.size("units") - F.col("n") + 1),
         lambda i: F.call_function("array_join", F.slice(F.col("units"), i, F.col("n")), F.col("glue")),
     )
     grams = F.when(F.col("n") == 1, F.col("units")).otherwise(grams)
     counted = (
-        by_order.select(*keys, "kind", "n", "is_left", F.explode(grams).alias("gram"))
-        .groupBy(*keys, "kind", "n", "gram")
+        by_order.select("row_key", "kind", "n", "is_left", F.explode(grams).alias("gram"))
+        .groupBy("row_key", "kind", "n", "gram")
         .agg(F.sum("is_left").alias("a"), F.sum(1 - F.col("is_left")).alias("b"))
     )
     a, b = F.col("a"), F.col("b")
-    return counted.groupBy(*keys, "kind", "n").agg(
+    return counted.groupBy("row_key", "kind", "n").agg(
         F.sum(a).alias("n_left"),
         F.sum(b).alias("n_right"),
         F.sum(F.least(a, b)).alias("n_match"),
         F.sum(a * b).alias("ab"),
         F.sum(a * a).alias("aa"),
         F.sum(b * b).alias("bb"),
-    )
+    ).select("row_key.*", "kind", "n", "n_left", "n_right", "n_match", "ab", "aa", "bb")
 
 
 # --- cosine of word counts --------------------------------------------------
