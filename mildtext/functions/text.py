@@ -103,14 +103,14 @@ RULES_13A = (
 )
 
 
-def words_13a(c: Column) -> Column:
-    """Words after mteval-v13a tokenisation, as corpus BLEU wants them."""
+def flat_13a(c: Column) -> Column:
+    """Text after mteval-v13a tokenisation, words separated by one blank, as corpus BLEU wants it."""
     t = unescape_and_pad_13a(c)
     for pattern, replacement in RULES_13A:
         t = F.regexp_replace(t, pattern, replacement)
-    return words(t)
+    return collapse(t)
 
 
-def characters(c: Column) -> Column:
-    """Code points without white space, as chrF wants them."""
-    return F.array_remove(F.split(F.regexp_replace(c, f"{SPACE}+", ""), ""), "")
+def without_space(c: Column) -> Column:
+    """Text without white space, as chrF wants it."""
+    return F.regexp_replace(c, f"{SPACE}+", "")

@@ -16,7 +16,8 @@ from mildtext.functions import scores as sc
 from mildtext.operators import grams
 from mildtext.operators.bootstrap import bootstrap_ci
 from mildtext.operators.rewrite import Terms
-from mildtext.operators.score import BigramModel, bigram_perplexity, lexicon_toxicity
+from mildtext.operators.score import BigramModel, bigram_perplexity, count_similarity, lexicon_toxicity
+from mildtext.session import materialize
 
 KEYS = ["experiment", "row_id"]
 BY = ["experiment", "lang"]
@@ -67,7 +68,7 @@ def _fluency_columns() -> list[Column]:
     ]
 
 
-def summarize(rows: DataFrame, by: list[str] = BY) -> DataFrame:
+def summarize(rows: DataFrame, by: list[str] = BY, more: list[Column] | None = None) -> DataFrame:
     """The record of every experiment and language out of its scored rows, in one aggregation."""
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
@@ -78,6 +79,7 @@ def summarize(rows: DataFrame, by: list[str] = BY) -> DataFrame:
         _rounded_mean("sim_ok", 2, 100.0).alias("similarity_pct_above_threshold"),
         *_fluency_columns(),
         *_j_columns(),
+        *(more or []),
     )
 
 
@@ -87,22 +89,24 @@ def score_rows(
     model: BigramModel | None,
     cfg: EvalConfig = EvalConfig(),
     match: str = "prefix",
-    stats: DataFrame | None = None,
+    with_references: bool = False,
 ) -> DataFrame:
     """One row per prediction with tox, sim, ppl and the derived scores, by the default scorers.
 
-    Only keys and numbers are joined; ``model=None`` leaves the fluency out.
+    Toxicity and similarity, and with references the n-gram overlap, are computed
+    in place; only the perplexity, a number per key, is joined.  ``model=None``
+    leaves the fluency out.
     """
-    if stats is None:
-        stats = grams.overlap(predictions, KEYS, [grams.cosine_comparison()])
-    sim = grams.cosine_rows(stats, KEYS)
-    tox = lexicon_toxicity(predictions, terms, match, text="prediction").select(*KEYS, "lang", "tox")
-    rows = tox.join(sim, KEYS, "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    rows = lexicon_toxicity(predictions, terms, match, text="prediction")
+    rows = count_similarity(rows, "toxic", "prediction")
+    overlaps = ["word", "char"] if with_references else []
+    for kind in overlaps:
+        rows = grams.add_overlap(rows, kind, "prediction", "neutral")
+    rows = rows.select(*KEYS, "lang", "tox", "sim", *overlaps)
     if model is None:
         rows = rows.withColumn("ppl", F.lit(None).cast("double"))
     else:
-        ppl = bigram_perplexity(predictions, model, KEYS, text="prediction")
-        rows = rows.join(ppl, KEYS, "left")
+        rows = rows.join(bigram_perplexity(predictions, model, KEYS, text="prediction"), KEYS, "left")
     return add_row_scores(rows, cfg)
 
 
@@ -125,10 +129,12 @@ def evaluate_noref(
 ) -> DataFrame:
     """Evaluation without references: BLEU and chrF are null."""
     rows = score_rows(predictions, terms, model, cfg, match)
-    record = summarize(rows).withColumns(
-        {"bleu": F.lit(None).cast("double"), "chrf": F.lit(None).cast("double")}
-    )
-    return _with_ci(record, rows, cfg) if compute_bootstrap else record
+    missing = {"bleu": F.lit(None).cast("double"), "chrf": F.lit(None).cast("double")}
+    if not compute_bootstrap:
+        return summarize(rows).withColumns(missing)
+    # a few numbers per prediction, read by the summary and by the bootstrap
+    rows = materialize(rows)
+    return _with_ci(summarize(rows).withColumns(missing), rows, cfg)
 
 
 def evaluate_ref(
@@ -140,17 +146,14 @@ def evaluate_ref(
     compute_bootstrap: bool = True,
 ) -> DataFrame:
     """Evaluation against references: everything of :func:`evaluate_noref` plus BLEU and chrF."""
-    # the language joins the key, so that the corpus sums need no second join
-    stats = grams.overlap(
-        predictions,
-        [*KEYS, "lang"],
-        [grams.cosine_comparison(), grams.bleu_comparison(), grams.chrf_comparison()],
-    )
-    rows = score_rows(predictions, terms, model, cfg, match, stats)
-    corpus = grams.corpus_counts(stats, BY).select(
-        *BY, F.round(grams.bleu(), 2).alias("bleu"), F.round(grams.chrf(), 2).alias("chrf")
+    rows = score_rows(predictions, terms, model, cfg, match, with_references=True)
+    if compute_bootstrap:
+        rows = materialize(rows)
+    sums = [*grams.corpus_sums("word"), *grams.corpus_sums("char")]
+    record = summarize(rows, BY, sums).withColumns(
+        {"bleu": F.round(grams.bleu(), 2), "chrf": F.round(grams.chrf(), 2)}
     )
-    record = summarize(rows).join(corpus, BY, "left")
+    record = record.drop(*[c for c in record.columns if c.startswith(("word_", "char_"))])
     return _with_ci(record, rows, cfg) if compute_bootstrap else record
 
 

@@ -136,12 +136,9 @@ def rewrite_batch(df: DataFrame, load, text: str = "text", out: str = "predictio
 # --- similarity -------------------------------------------------------------
 
 
-def count_similarity(df: DataFrame, keys: list[str], left: str, right: str,
-                     out: str = "sim") -> DataFrame:
-    """Keys and the cosine of the lower-case word counts of two columns."""
-    stats = grams.overlap(df, keys, [grams.cosine_comparison(left, right)])
-    scored = grams.cosine_rows(stats, keys, out)
-    return df.select(*keys).join(scored, keys, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+def count_similarity(df: DataFrame, left: str, right: str, out: str = "sim") -> DataFrame:
+    """Add the cosine of the lower-case word counts of two columns."""
+    return grams.add_overlap(df, "term", left, right).withColumn(out, grams.term_cosine()).drop("term")
 
 
 # --- fluency ----------------------------------------------------------------

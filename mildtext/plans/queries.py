@@ -367,7 +367,7 @@ def cosine_pairs(spark, sf_dir):
 @query
 def similarity_counts(spark, sf_dir):
     pairs = ps.load_pairs(vw.doc_pairs(spark, sf_dir), list(vw.LANGS))
-    scored = score.count_similarity(pairs, ["pair_id"], "toxic", "neutral")
+    scored = score.count_similarity(pairs, "toxic", "neutral")
     return scored.select("pair_id", _round("sim").alias("sim"))
 
 
@@ -422,15 +422,13 @@ def j_scores(spark, sf_dir):
 
 @query
 def corpus_bleu(spark, sf_dir):
-    by = ["experiment", "lang"]
-    found = grams.corpus_bleu(vw.predictions(spark, sf_dir), [*by, "row_id"], by)
+    found = grams.corpus_bleu(vw.predictions(spark, sf_dir), ["experiment", "lang"])
     return found.withColumn("bleu", _round("bleu"))
 
 
 @query
 def corpus_chrf(spark, sf_dir):
-    by = ["experiment", "lang"]
-    found = grams.corpus_chrf(vw.predictions(spark, sf_dir), [*by, "row_id"], by)
+    found = grams.corpus_chrf(vw.predictions(spark, sf_dir), ["experiment", "lang"])
     return found.withColumn("chrf", _round("chrf"))
 
 

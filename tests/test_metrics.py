@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,11 +15,11 @@ def frame(spark, rows):
 
 
 def bleu(spark, rows):
-    return grams.corpus_bleu(frame(spark, rows), ["g", "id"], ["g"]).collect()[0]["bleu"]
+    return grams.corpus_bleu(frame(spark, rows), ["g"]).collect()[0]["bleu"]
 
 
 def chrf(spark, rows):
-    return grams.corpus_chrf(frame(spark, rows), ["g", "id"], ["g"]).collect()[0]["chrf"]
+    return grams.corpus_chrf(frame(spark, rows), ["g"]).collect()[0]["chrf"]
 
 
 def brute_bleu(rows):
@@ -90,11 +91,18 @@ def test_hand_worked_values(spark):
     assert bleu(spark, rows) == pytest.approx(want)
 
 
-def test_grams_are_not_shuffled(spark):
-    df = frame(spark, CORPORA[2])
-    plan = grams.overlap(df, ["g", "id"], [grams.bleu_comparison(), grams.chrf_comparison()])
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange") == 1 and "Python" not in text
+def test_overlap_needs_no_shuffle(spark):
+    df = grams.add_overlap(frame(spark, CORPORA[2]), "char", "prediction", "neutral")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_in_small_portions(monkeypatch):
+    left = ["a b a", "", "x", "a b", "long text with many words"] * 7
+    right = ["a a c", "y", "", "a b", "long text with words"] * 7
+    whole = grams.count_overlap(left, right, 4, False)
+    one_by_one = [grams.count_overlap([a], [b], 4, False) for a, b in zip(left, right)]
+    assert whole.equals(pd.concat(one_by_one, ignore_index=True))
+    assert whole.iloc[0]["match_1"] == 2 and whole.iloc[0]["ab"] == 4
 
 
 def test_bootstrap(spark):

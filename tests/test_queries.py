@@ -35,7 +35,7 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", ["delete_exact", "delete_prefix", "toxicity_lexicon", "preprocess_pairs",
-                                  "split_pairs", "similarity_counts", "bigram_perplexity", "evaluate_ref"])
+                                  "split_pairs", "bigram_perplexity", "preprocess_funnel", "tokenize_pairs"])
 def test_native_plans(spark, name):
     plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for word in ("EvalPython", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):

@@ -84,7 +84,7 @@ def test_count_similarity(spark):
         [(1, "A b b", "a B b"), (2, "x", "y"), (3, "", "y"), (4, "", ""), (5, "a a", "a b")],
         "id int, l string, r string",
     )
-    got = {r["id"]: r["sim"] for r in score.count_similarity(df, ["id"], "l", "r").collect()}
+    got = {r["id"]: r["sim"] for r in score.count_similarity(df, "l", "r").collect()}
     assert got[1] == pytest.approx(1.0) and got[2] == got[3] == got[4] == 0.0
     assert got[5] == pytest.approx(2 / (2 * math.sqrt(2)))
 
