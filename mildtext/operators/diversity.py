@@ -112,9 +112,8 @@ def diversity_sample(
         return df
     model = fit_clusters(df, n, vector, seed, n_init)
     near = nearest_rows(assign_clusters(df.select(id_col, vector), model, vector), "cluster", id_col)
-    # at most n ids
     chosen = materialize(near.select(id_col))
     missing = n - chosen.count()
     if missing > 0:
         chosen = chosen.unionByName(top_up(df, chosen, missing, id_col, seed))
-    return df.join(F.broadcast(chosen), id_col, "left_semi")
+    return df.join(shared(chosen), id_col, "left_semi")

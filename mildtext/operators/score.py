@@ -170,7 +170,7 @@ class BigramModel:
         # frequent pairs combine inside each task before they are shuffled
         counts = key_counts(bigrams(corpus, [], text, lang), ["lang", "w1", "w2"])
         self.bigrams = materialize(counts.withColumnRenamed("key_rows", "c12"))
-        self.contexts = self.bigrams.groupBy("lang", "w1").agg(F.sum("c12").alias("c1"))
+        self.contexts = materialize(self.bigrams.groupBy("lang", "w1").agg(F.sum("c12").alias("c1")))
         words = self.bigrams.select("lang", "w2").distinct()
         self.sizes = shared(words.groupBy("lang").agg(F.count(F.lit(1)).alias("v")))
 
@@ -183,7 +183,8 @@ def _mean_log(df: DataFrame, model: BigramModel, keys: list[str], text: str, lan
         pair_rows = model.bigrams.withColumnRenamed("c12", "key_rows")
         context_rows = model.contexts.withColumnRenamed("c1", "key_rows")
     else:
-        pair_rows = key_counts(asked, pair)
+        # read for the hot pairs, the hot contexts and both totals
+        pair_rows = materialize(key_counts(asked, pair))
         context_rows = pair_rows.groupBy(*context).agg(F.sum("key_rows").alias("key_rows"))
     with_pair = lookup(asked, model.bigrams, pair, ["c12"], pair_rows, [*keys, "w2"])
     with_context = lookup(with_pair, model.contexts, context, ["c1"], context_rows, [*keys, "w2"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mildtext.session import SHARED_BYTES, measured_bytes
+
 # A key is hot if it holds more than 1/HOT_SHARE of all rows: fewer than HOT_SHARE keys can be.
 HOT_SHARE = 10_000
 
@@ -25,12 +27,15 @@ def lookup(
 ) -> DataFrame:
     """Left join of ``rows`` to ``table`` (unique on ``keys``) which no hot key can slow down.
 
-    ``frequency`` holds ``keys`` and ``key_rows``, the rows of each key.  Hot
+    ``table`` should be written already, since its size is measured.  A small one
+    is broadcast.  Otherwise ``frequency`` holds ``keys`` and ``key_rows``, the rows of each key.  Hot
     keys, fewer than ``HOT_SHARE`` whatever the size of the data, are broadcast
     with their values.  All other keys meet in a shuffle join, in which each has
     a share below 1/HOT_SHARE.  Rows that are answered already go through that
     shuffle under their ``spread`` columns, so they fall evenly over the tasks.
     """
+    if measured_bytes(table) <= SHARED_BYTES:
+        return rows.join(F.broadcast(table.select(*keys, *values)), keys, "left").select(*rows.columns, *values)
     total = frequency.agg(F.sum("key_rows").alias("all_rows")).scalar()
     hot = (
         frequency.filter(F.col("key_rows") * F.lit(HOT_SHARE) > total)
@@ -40,15 +45,18 @@ def lookup(
     )
     marked = rows.join(F.broadcast(hot), keys, "left")
     answered = F.col("is_hot").isNotNull()
-    salt = F.when(answered, F.xxhash64(*spread)).otherwise(F.lit(0))
+    # sorted by this number first; the keys themselves decide what matches
+    spot = F.when(answered, F.xxhash64(*spread)).otherwise(F.xxhash64(*keys))
     cold = table.select(
+        F.xxhash64(*keys).alias("cold_spot"),
         *[F.col(k).alias(f"cold_{k}") for k in keys],
         *[F.col(v).alias(f"cold_{v}") for v in values],
     )
-    joined = marked.withColumn("salt", salt).join(
-        cold.withColumn("cold_salt", F.lit(0).cast("bigint")),
-        [F.col(k) == F.col(f"cold_{k}") for k in keys]
-        + [F.col("salt") == F.col("cold_salt"), F.col("is_hot").isNull()],
+    joined = marked.withColumn("spot", spot).join(
+        cold.hint("merge"),
+        [F.col("spot") == F.col("cold_spot")]
+        + [F.col(k) == F.col(f"cold_{k}") for k in keys]
+        + [F.col("is_hot").isNull()],
         "left",
     )
     return joined.select(

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a table of numbers or short strings is shared with every task.
-SHARED_ROWS = 100_000
+# Size up to which a table is shared with every task.
+SHARED_BYTES = 64 * 1024 * 1024
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -40,11 +40,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared(df: DataFrame, limit: int = SHARED_ROWS) -> DataFrame:
-    """``df``, written once, with a broadcast hint if it has at most ``limit`` rows.
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table, by reading it: 16 bytes a value, and the text of strings and nested values."""
+    per_row = F.lit(16 * len(df.columns)).cast("bigint")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind.startswith(("array", "struct", "map")):
+            column, kind = F.to_json(F.struct(column)), "string"
+        if kind == "string":
+            per_row = per_row + F.coalesce(F.octet_length(column), F.lit(0))
+    return df.agg(F.sum(per_row)).first()[0] or 0
 
-    For tables with a row per language, class or cluster.  A larger one is joined
-    by whatever way Spark picks, so the result is the same.
+
+def sized(df: DataFrame, limit: int = SHARED_BYTES) -> DataFrame:
+    """A written table with a join hint out of its true size: broadcast, or merge beyond the limit.
+
+    Spark's own estimate takes an exploded or aggregated text for about as large
+    as the compressed file, and would broadcast tables many times over its limit.
     """
-    kept = materialize(df)
-    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
+    return F.broadcast(df) if measured_bytes(df) <= limit else df.hint("merge")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` written once and then :func:`sized`; for tables per language, class or cluster."""
+    return sized(materialize(df))

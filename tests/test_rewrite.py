@@ -103,8 +103,10 @@ def test_baselines(spark):
         rw.run_baseline("other", df, lexicon)
 
 
-def test_lookup_with_hot_keys(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_lookup_with_hot_keys(spark, monkeypatch, limit):
     monkeypatch.setattr(skew, "HOT_SHARE", 4)
+    monkeypatch.setattr(skew, "SHARED_BYTES", limit)
     rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 30}") for i in range(300)], "id int, k string")
     table = spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", 4)], "k string, v int")
     counts = skew.key_counts(rows, ["k"])

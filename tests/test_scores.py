@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mildtext.functions import scores as sc
-from mildtext.operators import evaluate, score
+from mildtext.operators import evaluate, score, skew
 from mildtext.operators.score import BigramModel, bigram_perplexity
 
 
@@ -69,7 +69,9 @@ def brute_perplexity(corpus, texts, k=0.1):
     return out
 
 
-def test_bigram_perplexity_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_bigram_perplexity_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(skew, "SHARED_BYTES", limit)
     corpus = ["the cat sat", "the dog sat down", "The cat the cat"] + ["hot pair"] * 50
     texts = ["the cat sat down", "unseen words here", "", "hot pair hot pair"]
     train = spark.createDataFrame([("en", t) for t in corpus], "lang string, text string")
