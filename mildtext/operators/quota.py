@@ -70,7 +70,10 @@ def thresholds(
     holding = shared(holding)
     inside = Window.partitionBy("grp", "cut").orderBy("ord")
     found = (
-        ordered.join(holding, ["grp", "bucket"])
+        ordered.join(
+            holding.withColumnRenamed("grp", "its_grp"),
+            F.col("grp").eqNullSafe(F.col("its_grp")) & (ordered["bucket"] == holding["bucket"]),
+        )
         .withColumn("pos", F.row_number().over(inside))
         .filter(F.col("pos") == F.col("nth"))
     )
@@ -86,7 +89,7 @@ def _with_thresholds(
     here = F.struct(tx.seeded_hash(seed, *map(F.col, ids)).alias("digest"), *ids)
     return (
         df.withColumn("ord", here)
-        .join(limits, F.col(group) == F.col("grp"), "left")
+        .join(limits, F.col(group).eqNullSafe(F.col("grp")), "left")
         .drop("grp")
     )
 

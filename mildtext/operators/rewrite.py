@@ -146,8 +146,9 @@ def count_flagged_inline(
 
 def distinct_tokens(df: DataFrame, id_col: str, text: str = "text", lang: str = "lang",
                     keep_marks: bool = False) -> DataFrame:
-    """``id, lang, token``: the different cleaned tokens of each text."""
-    flat = _with_flat(df.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), text), text)
+    """``id, lang, token``: the different cleaned tokens of each text; no language is ``""``."""
+    known = F.coalesce(F.col(lang), F.lit("")).alias("lang")
+    flat = _with_flat(df.select(F.col(id_col).alias("id"), known, text), text)
     return flat.select(
         "id", "lang", F.explode(F.array_distinct(tx.clean_tokens(F.col("flat"), keep_marks))).alias("token")
     ).filter(F.col("token") != "")
@@ -263,6 +264,29 @@ def delete_joined(
     )
 
 
+def count_flagged_joined(
+    df: DataFrame,
+    lexicon: DataFrame,
+    id_col: str,
+    match: str = "exact",
+    text: str = "text",
+    lang: str = "lang",
+    keep_marks: bool = False,
+) -> DataFrame:
+    """As :func:`count_flagged_inline` for a lexicon of any size."""
+    hits = flagged_tokens(df, lexicon, id_col, match, text, lang, keep_marks)
+    found = _with_flat(df, text).join(hits, F.col(id_col) == F.col("id"), "left").drop("id")
+    flat = F.col("flat")
+    matching = F.filter(
+        tx.clean_tokens(flat, keep_marks), lambda token: F.array_contains(F.col("flagged"), token)
+    )
+    return once(
+        found,
+        n_tokens=F.size(tx.raw_tokens(flat)) - (flat == "").cast("int"),
+        n_flagged=F.when(F.col("flagged").isNull(), 0).otherwise(F.size(matching)),
+    ).drop("flat", "flagged")
+
+
 def delete_terms(
     df: DataFrame,
     lexicon: DataFrame,

@@ -16,7 +16,7 @@ from mildtext.functions import scores as sc
 from mildtext.functions import text as tx
 from mildtext.operators import grams
 from mildtext.operators.once import once
-from mildtext.operators.rewrite import Terms, count_flagged_inline
+from mildtext.operators.rewrite import Terms, count_flagged_inline, count_flagged_joined
 from mildtext.operators.skew import key_counts, lookup
 from mildtext.session import materialize, shared
 
@@ -31,12 +31,21 @@ def lexicon_toxicity(
 
     Also adds ``n_tokens``, ``n_flagged`` and ``tox_ratio``, the share of flagged tokens.
     """
+    return _hits_to_toxicity(count_flagged_inline(df, terms, match, text, lang), out)
+
+
+def lexicon_toxicity_joined(
+    df: DataFrame, lexicon: DataFrame, id_col: str, match: str = "exact", text: str = "text",
+    lang: str = "lang", out: str = "tox",
+) -> DataFrame:
+    """As :func:`lexicon_toxicity` for a lexicon of any size, matched by joins."""
+    return _hits_to_toxicity(count_flagged_joined(df, lexicon, id_col, match, text, lang), out)
+
+
+def _hits_to_toxicity(counted: DataFrame, out: str) -> DataFrame:
     hits = F.col("n_flagged")
-    return (
-        count_flagged_inline(df, terms, match, text, lang)
-        .withColumn("tox_ratio", F.coalesce(F.try_divide(hits, F.col("n_tokens")), F.lit(0.0)))
-        .withColumn(out, hits / (hits + 1))
-    )
+    ratio = F.coalesce(F.try_divide(hits, F.col("n_tokens")), F.lit(0.0))
+    return counted.withColumn("tox_ratio", ratio).withColumn(out, hits / (hits + 1))
 
 
 def fit_toxicity_model(labelled: DataFrame, text: str = "text", label: str = "toxic",
@@ -149,7 +158,7 @@ ADD_K = 0.1
 
 def bigrams(df: DataFrame, keys: list[str], text: str, lang: str = "lang") -> DataFrame:
     """``keys, lang, w1, w2``: neighbouring lower-case words, the first one after a start mark."""
-    texts = df.select(*keys, F.col(lang).alias("lang"), F.col(text).alias("ws"))
+    texts = df.select(*keys, F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("ws"))
     cut = once(texts, ws=tx.words(F.lower(F.col("ws"))))
     ws = F.col("ws")
     shifted = F.slice(F.concat(F.array(F.lit(START)), ws), F.lit(1), F.size(ws))

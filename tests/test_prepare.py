@@ -78,6 +78,14 @@ def test_thresholds_equal_a_plain_window(spark, monkeypatch):
     assert {r[0] for r in picked.select("pair_id").collect()} == {r[0] for r in expected.collect()}
 
 
+def test_rows_without_language_are_a_group(spark):
+    rows = pairs(spark, [(i, "en" if i % 2 else None, "s", 0, "t", "n") for i in range(40)])
+    split = quota.split_pairs(rows, {}).groupBy("lang", "split").count().collect()
+    assert {(r["lang"], r["split"]): r["count"] for r in split} == {
+        ("en", "train"): 15, ("en", "val"): 5, (None, "train"): 15, (None, "val"): 5}
+    assert quota.random_sample(rows, 3).count() == 6
+
+
 def test_sample_larger_than_group(spark):
     rows = pairs(spark, [(i, "en", "s", 0, "t", "n") for i in range(5)])
     assert quota.random_sample(rows, 50).count() == 5

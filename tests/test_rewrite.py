@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mildtext.functions.terms import BUILTIN_TERMS
 from mildtext.operators import rewrite as rw
-from mildtext.operators import skew
+from mildtext.operators import score, skew
 from mildtext.sources import lexicon as lx
 
 
@@ -28,7 +28,7 @@ TEXTS = [
     ("en", "You are an IDIOT, really"), ("en", "Idiot! moron"), ("en", "hey ... idiot"),
     ("en", "hello mother assassin ass"), ("en", "  spaced\tout\n idiot  "), ("en", ""), ("en", " "),
     ("es", "un tonto idiot mierdas"), ("xx", "tonto idiot fine"), ("en", "coop two words moth"),
-    ("en", "hel moro moron-ic idiots"), ("en", "... !!!"),
+    ("en", "hel moro moron-ic idiots"), ("en", "... !!!"), (None, "tonto idiot fine"),
 ]
 
 
@@ -55,6 +55,16 @@ def test_delete_against_brute_force(spark, match, form):
         assert row["prediction"] == expected(row["lang"], row["text"], match), row
 
 
+@pytest.mark.parametrize("match", ["exact", "prefix"])
+def test_flag_counts_agree(spark, match):
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(TEXTS)], "row int, lang string, text string")
+    inline = score.lexicon_toxicity(df, TERMS, match).orderBy("row").collect()
+    joined = score.lexicon_toxicity_joined(df, lx.lexicon_from_terms(spark, TERMS), "row", match).orderBy("row").collect()
+    assert inline == joined
+    assert [r["n_tokens"] for r in inline] == [len(t.split()) for _, t in TEXTS]
+    assert inline[1]["n_flagged"] == 2 and inline[1]["tox"] == pytest.approx(2 / 3) and inline[5]["tox_ratio"] == 0.0
+
+
 def test_large_lexicon_is_joined(spark, monkeypatch):
     monkeypatch.setattr(rw, "INLINE_TERMS", 2)
     lexicon = lx.lexicon_from_terms(spark, TERMS)
