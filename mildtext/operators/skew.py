@@ -28,8 +28,8 @@ def lookup(
     """Left join of ``rows`` to ``table`` (unique on ``keys``) which no hot key can slow down.
 
     ``table`` should be written already, since its size is measured.  A small one
-    is broadcast.  Otherwise ``frequency`` holds ``keys`` and ``key_rows``, the rows of each key.  Hot
-    keys, fewer than ``HOT_SHARE`` whatever the size of the data, are broadcast
+    is broadcast.  Otherwise ``frequency`` holds ``keys`` and ``key_rows``, the
+    rows of each key.  Hot keys, fewer than ``HOT_SHARE`` whatever the size of the data, are broadcast
     with their values.  All other keys meet in a shuffle join, in which each has
     a share below 1/HOT_SHARE.  Rows that are answered already go through that
     shuffle under their ``spread`` columns, so they fall evenly over the tasks.
@@ -37,11 +37,14 @@ def lookup(
     if measured_bytes(table) <= SHARED_BYTES:
         return rows.join(F.broadcast(table.select(*keys, *values)), keys, "left").select(*rows.columns, *values)
     total = frequency.agg(F.sum("key_rows").alias("all_rows")).scalar()
+    hot_keys = frequency.filter(F.col("key_rows") * F.lit(HOT_SHARE) > total).select(*keys)
+    # the table is read past the few hot keys; a hot key it lacks stays hot, without values
+    known = table.join(F.broadcast(hot_keys), keys).select(*keys, *values)
     hot = (
-        frequency.filter(F.col("key_rows") * F.lit(HOT_SHARE) > total)
-        .select(*keys)
-        .join(table.select(*keys, *values), keys, "left")
-        .select(*keys, *[F.col(v).alias(f"hot_{v}") for v in values], F.lit(True).alias("is_hot"))
+        known.unionByName(hot_keys, allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(*[F.max(v).alias(f"hot_{v}") for v in values])
+        .withColumn("is_hot", F.lit(True))
     )
     marked = rows.join(F.broadcast(hot), keys, "left")
     answered = F.col("is_hot").isNotNull()
