@@ -1,6 +1,6 @@
 """mildtext: curation, rewriting and evaluation of text-detoxification pairs as Spark jobs.
 
-Every operator takes DataFrames and returns a lazy DataFrame.  Subpackages:
+Every operator takes DataFrames and returns a DataFrame.  Subpackages:
 
 * ``functions``  column expressions (text cleaning, scores)
 * ``sources``    readers and writers (pairs, inputs, lexicons, results)
