@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mildtext.llm import bpe
+from mildtext.llm import bpe, chat, packing
 from mildtext.llm.common import read
 
 
@@ -17,7 +17,24 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), vocabulary, 2048), 2048)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string"))
+    return chat.read_back(chat.format_conversations(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_chat_format": op10_chat_format,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
