@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mildtext.llm import bpe, chat, packing
+from mildtext.llm import bpe, chat, packing, urls
 from mildtext.llm.common import read
 
 
@@ -32,8 +32,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+# The stated rules on hosts and paths.
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by the stated rules, the rest by rules mined from what those decide."""
+    return urls.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
+    "op8_url_filter": op8_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
