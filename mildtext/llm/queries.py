@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mildtext.llm import bpe, chat, kdtree, packing, toxicity, urls
+from mildtext.llm import bpe, chat, kdtree, packing, quality, toxicity, urls
 from mildtext.llm.common import read
 
 
@@ -60,16 +60,79 @@ def op6_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by base rules and by cutoffs certified on labelled ones per language."""
+    judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_kd_tree_top_k": op6_kd_tree_top_k,
+    "op2_quality_rules": op2_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+        WITH t AS (
+            SELECT doc_id, lang, coalesce(text, '') AS text,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+            FROM documents
+        ), g AS (
+            SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest([w[j : j + 4] FOR j IN range(1, len(w) - 3)]) AS five FROM t
+        ), again AS (
+            SELECT doc_id, unnest(range(i, i + 5)) AS place FROM
+                (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM g) WHERE n > 1
+        ), r AS (
+            SELECT doc_id, count(DISTINCT place) AS n FROM again GROUP BY doc_id
+        ), c AS (
+            SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+                   CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+                   CAST(len(l) AS BIGINT) AS n_lines,
+                   CAST(length(regexp_replace(text, '[^!?]', '', 'g')) AS BIGINT) AS n_marks,
+                   CAST(len(w) - len(list_distinct(w)) AS BIGINT) AS n_not_distinct
+            FROM t LEFT JOIN r USING (doc_id)
+        ), b AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+        ), good AS (
+            SELECT lang, unnest(['symbols', 'marks', 'dup_lines', 'repeats', 'not_distinct']) AS rule,
+                   unnest([n_symbols, n_marks, n_dup_lines, n_repeat_words, n_not_distinct]) AS count,
+                   unnest([n_words, n_words, n_lines, n_words, n_words]) AS base
+            FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1 AND max(quality) = 1)
+        ), cutoffs AS (
+            SELECT unnest([100, 90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20, 15, 10, 5]) AS cut
+        ), tried AS (
+            SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (100 * count >= cut * base) AS k FROM good, cutoffs GROUP BY ALL
+        ), sure AS (
+            SELECT lang, rule, cut,
+                   k < n * 0.01 AND list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))
+                                              FOR i IN range(0, k + 1)])
+                       <= 0.05 / 5 / (SELECT count(DISTINCT lang) + count(DISTINCT CASE WHEN lang IS NULL THEN 1 END) FROM good) AS ok
+            FROM tried
+        ), cuts AS (
+            SELECT lang, rule, min(cut) AS cut FROM sure s
+            WHERE ok AND NOT EXISTS (SELECT 1 FROM sure f WHERE f.lang IS NOT DISTINCT FROM s.lang AND f.rule = s.rule AND f.cut >= s.cut AND NOT f.ok)
+            GROUP BY ALL
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT EXISTS (
+                   SELECT 1 FROM cuts WHERE cuts.lang IS NOT DISTINCT FROM b.lang AND 100 * CASE rule
+                       WHEN 'symbols' THEN n_symbols WHEN 'marks' THEN n_marks WHEN 'dup_lines' THEN n_dup_lines
+                       WHEN 'repeats' THEN n_repeat_words ELSE n_not_distinct END
+                     >= cut * CASE rule WHEN 'dup_lines' THEN n_lines ELSE n_words END
+               ) AS kept
+        FROM b
+    """,
     "op6_kd_tree_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
@@ -82,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
             WHERE q.vec_id % 50 = 0
         )
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
-        QUALIFY row_number() OVER w <= 5
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5
     """,
 }
