@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mildtext.llm import bpe, chat, kdtree, packing, quality, secrets, toxicity, urls
+from mildtext.llm import bpe, chat, jaccard, kdtree, packing, quality, secrets, toxicity, urls
 from mildtext.llm.common import read
 
 
@@ -73,12 +73,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents whose five-word shingles are at least 80% alike, as components."""
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_kd_tree_top_k": op6_kd_tree_top_k,
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op9_jaccard_join": op9_jaccard_join,
     "op8_url_filter": op8_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
