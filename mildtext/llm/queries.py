@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mildtext.llm import bpe, chat, jaccard, kdtree, packing, quality, secrets, toxicity, urls
+from mildtext.llm import bpe, chat, jaccard, kdtree, packing, quality, secrets, substring, toxicity, urls
 from mildtext.llm.common import read
 
 
@@ -78,6 +78,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words in windows of 35 that occur elsewhere too."""
+    kept = substring.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    # a text that lost nothing still has its own white space
+    words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op5_toxicity": op5_toxicity,
@@ -85,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
+    "op1_substring_dedup": op1_substring_dedup,
     "op8_url_filter": op8_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
