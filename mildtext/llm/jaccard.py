@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from mildtext.llm import wordhash
 from mildtext.llm.common import written
 from mildtext.llm.components import components
+from mildtext.session import sized
 
 
 @dataclass(frozen=True)
@@ -363,3 +364,31 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
+
+
+def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest ``doc_id``; the same columns.
+
+    A row is named by its id and a digest of its text, so null and repeated ids are told
+    apart; a null id counts as the smallest.  Of equal rows one stays.  Texts without words
+    link with nothing, so all of them stay, but for equal rows.  Texts are not shuffled as
+    long as the names of the rows that go are small enough to share with the tasks.
+    """
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = join(docs.select(F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("doc_id"), "text"), how)
+    names = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    names = written(
+        names.select(
+            F.col("doc_id.id").alias("__id"), F.col("doc_id.digest").alias("__digest"),
+            (F.col("doc_id") != F.col("component_id")).alias("goes"), "n",
+        ).filter("goes or n > 1")
+    )
+    rows = docs.withColumn("__text", digest)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest"))
+    left = rows.join(sized(names.filter("goes")), same, "left_anti")
+    again = names.filter("not goes")
+    if again.limit(1).count():
+        again = sized(again)
+        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text"])
+        left = left.join(again, same, "left_anti").union(once)
+    return left.select(*docs.columns)

@@ -13,8 +13,11 @@ This is exactly best-fit decreasing.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,10 +31,26 @@ from pyspark.sql import functions as F
 from mildtext.llm.bpe import in_slices
 from mildtext.llm.common import words, written
 
-# Entries of a worker's table of word ids; the table starts anew when it is full.
-CACHE_ENTRIES = 400_000
+# Entries of a worker's tables of word ids; when they are full, words seen once go.
+CACHE_ENTRIES = 550_000
 # Ranks in a run are below 2 to this power.
 _RANK_BITS = 43
+# The cut into words of the vocabulary file with word ends.
+_LETTERS_APART = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Latin letters and at most one sign.  Not İ, and no other scripts: there small or composed
+# letters may depend on their neighbours.
+_SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?]?)")
 
 
 class WordIds:
@@ -49,19 +68,44 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
+        self.asked: dict[str, bytes] = {}
+        self.often: set[str] = set()
+        # letters and a sign behind them are words of their own, and capitals become small ones, if the file says so
+        self.plain = json.loads(vocabulary)["pre_tokenizer"] == _LETTERS_APART and self._ids(["Ab."]) == self._ids(["ab."])
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found = self.library.encode_batch(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _add(self, new: set[str]) -> None:
+        """Ids of new words; those of letters alone, or with one sign behind, by their small letters."""
+        parts: dict[str, tuple[str, ...]] = {}
+        simple = _SIMPLE.fullmatch
+        for word in new:
+            m = simple(word) if self.plain else None
+            if m is None:
+                parts[word] = (word,)
+            else:
+                letters, sign = m.groups()
+                parts[word] = (letters.lower(), sign) if sign else (letters.lower(),)
+        ask = list({p for own in parts.values() for p in own if p not in self.asked})
+        self.asked.update(zip(ask, self._ids(ask)))
+        for word, own in parts.items():
+            self.known[word] = b"".join([self.asked[p] for p in own])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known = {}
+        if len(self.known) + len(self.asked) >= CACHE_ENTRIES:
+            # most words are never seen again; those that were stay, if they leave room
+            kept = self.often if len(self.often) < CACHE_ENTRIES // 3 else ()
+            self.known, self.asked, self.often = {w: self.known[w] for w in kept}, {}, set()
         cut = [words(t) for t in texts]
         new: set[str] = set()
         for own in cut:
             new.update(own)
-        new.difference_update(self.known)
-        asked = list(new)
-        for word, got in zip(asked, self.library.encode_batch(asked, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
+        again = new & self.known.keys()
+        self.often |= again
+        self._add(new - again)
         return [b"".join(map(self.known.__getitem__, own)) for own in cut]
 
 

@@ -296,3 +296,15 @@ def score(docs: DataFrame, model: Model, settings: Training = Training(), text_c
     return rows.mapInArrow(run, shape).select(
         *[F.col(n).alias(f.name) for f, n in zip(kept, names)], "score", "predicted"
     )
+
+
+def without_toxic(docs: DataFrame, model: Model, settings: Training = Training(), text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` below the threshold, all columns as they are; null and empty texts stay."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [model.score(t) < settings.threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
