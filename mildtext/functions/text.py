@@ -51,16 +51,24 @@ def raw_tokens(flat: Column) -> Column:
     return F.split(flat, " ", -1)
 
 
+def clean_text(flat: Column, keep_marks: bool = False) -> Column:
+    """Collapsed text in lower case without non-word characters, blanks as they are.
+
+    Combining marks are dropped by default; ``keep_marks`` keeps them, which scripts with
+    vowel signs need.
+    """
+    pattern = NON_WORD_OR_MARK_BUT_BLANK if keep_marks else NON_WORD_BUT_BLANK
+    return F.regexp_replace(F.lower(flat), pattern, "")
+
+
 def clean_tokens(flat: Column, keep_marks: bool = False) -> Column:
-    """Lower-case tokens of collapsed text without non-word characters.
+    """Cleaned tokens of collapsed text.
 
     The whole text is cleaned by one pass of the pattern and then cut at the
     blanks, so element i belongs to element i of :func:`raw_tokens`; a token of
-    punctuation only becomes an empty string.  Combining marks are dropped by
-    default; ``keep_marks`` keeps them, which scripts with vowel signs need.
+    punctuation only becomes an empty string.
     """
-    pattern = NON_WORD_OR_MARK_BUT_BLANK if keep_marks else NON_WORD_BUT_BLANK
-    return F.split(F.regexp_replace(F.lower(flat), pattern, ""), " ", -1)
+    return F.split(clean_text(flat, keep_marks), " ", -1)
 
 
 def pair_hash(toxic: Column, neutral: Column) -> Column:

@@ -4,19 +4,25 @@ Drawing n rows with replacement, B times, gives each row a multinomial count;
 independent Poisson(1) counts are its limit for large n and need no knowledge of
 other rows.  Each row gets its count for each replicate out of a digest of
 (seed, row key, replicate), and the replicate mean is the weighted mean.  Rows
-combine before the shuffle, which carries at most B rows per group and task.
+add to B sums per group inside each task, so the shuffle carries at most B rows per group and task.
 Intervals agree with the exact bootstrap for large n; for a handful of rows the
 replicates in which every count is zero are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPLICATES_PER_DIGEST = 4  # 32 hex digits, 8 for each
+REPLICATES_PER_DIGEST = 4  # 16 bytes of a digest, 4 for each
+ROWS_AT_ONCE = 2_000  # rows whose draws are held together
+GROUPS_AT_ONCE = 500  # groups whose sums a task holds
 
 
 def poisson_bounds() -> list[str]:
@@ -31,42 +37,63 @@ def poisson_bounds() -> list[str]:
         k += 1
 
 
-def poisson_count(digits: Column) -> Column:
-    """Count of one draw; hex digits of fixed width compare like the numbers they spell."""
-    bounds = poisson_bounds()
-    chain = F.when(digits < bounds[0], 0)
-    for k, bound in enumerate(bounds[1:], start=1):
-        chain = chain.when(digits < bound, k)
-    return chain.otherwise(len(bounds))
+def draws(keys: list[str], n: int, seed: int) -> np.ndarray:
+    """Poisson(1) counts: a row per key, a column per replicate."""
+    blocks = math.ceil(n / REPLICATES_PER_DIGEST)
+    ends = [f"|{block}".encode() for block in range(blocks)]
+    raw = bytearray()
+    for key in keys:
+        start = hashlib.md5(f"{seed}|{key}".encode())
+        for end in ends:
+            own = start.copy()
+            own.update(end)
+            raw += own.digest()
+    bounds = np.array([int(b, 16) for b in poisson_bounds()], np.uint32)
+    found = np.searchsorted(bounds, np.frombuffer(bytes(raw), ">u4").astype(np.uint32), side="right")
+    return found.reshape(len(keys), -1)[:, :n].astype(np.float64)
 
 
 def replicate_means(
     rows: DataFrame, keys: list[str], by: list[str], values: list[str], n: int = 1000, seed: int = 42
 ) -> DataFrame:
     """Per group and replicate, the resampled mean of every value column."""
-    blocks = math.ceil(n / REPLICATES_PER_DIGEST)
-    digest = F.md5(
-        F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("block").cast("string"))
-    )
-    slots = F.array(
-        *[
-            F.struct(
-                (F.col("block") * REPLICATES_PER_DIGEST + i).alias("replicate"),
-                poisson_count(F.substring(F.col("digest"), 8 * i + 1, 8)).alias("weight"),
-            )
-            for i in range(REPLICATES_PER_DIGEST)
-        ]
-    )
-    drawn = (
-        rows.select(*dict.fromkeys([*by, *keys, *values]))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("digest", digest)
-        .select(*by, *values, F.inline(slots))
-        .filter((F.col("weight") > 0) & (F.col("replicate") < n))
-    )
-    weight = F.col("weight")
+    sums = [f"__sum{i}" for i in range(len(values))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            whole = np.concatenate(list(held.values()))
+            out = pd.DataFrame({c: np.repeat(np.array([g[i] for g in held], object), n) for i, c in enumerate(by)})
+            out["replicate"] = np.tile(np.arange(n, dtype=np.int32), len(held))
+            for i, c in enumerate(["__weight", *sums]):
+                out[c] = whole[:, i]
+            held.clear()
+            return out[out["__weight"] > 0]
+
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[at : at + ROWS_AT_ONCE]
+                weights = draws(part["__key"].tolist(), n, seed)
+                amounts = part[values].fillna(0.0).to_numpy(np.float64)
+                for group, own in part.groupby(by, dropna=False, sort=False).indices.items():
+                    group = group if isinstance(group, tuple) else (group,)
+                    group = tuple(None if g != g else g for g in group)
+                    total = held.setdefault(group, np.zeros((n, 1 + len(values))))
+                    total[:, 0] += weights[own].sum(axis=0)
+                    total[:, 1:] += weights[own].T @ amounts[own]
+                if len(held) >= GROUPS_AT_ONCE:
+                    yield flush()
+        if held:
+            yield flush()
+
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    asked = rows.select(*by, key.alias("__key"), *[F.col(v).cast("double").alias(v) for v in values])
+    kinds = dict(rows.select(*by).dtypes)
+    shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "replicate int", "__weight double", *[f"{c} double" for c in sums]])
+    drawn = asked.mapInPandas(run, shape)
     return drawn.groupBy(*by, "replicate").agg(
-        *[(F.sum(weight * F.col(v)) / F.sum(weight)).alias(v) for v in values]
+        *[(F.sum(c) / F.sum("__weight")).alias(v) for c, v in zip(sums, values)]
     )
 
 

@@ -61,41 +61,51 @@ def distance_to_centroid(df: DataFrame, centroids: DataFrame, group: str, vector
     )
 
 
-def nearest_rows(with_dist: DataFrame, group: str, id_col: str) -> DataFrame:
-    """Per group the id of the row with the least distance; ties go to the lower id.
+Ids = str | list[str]
+
+
+def _listed(ids: Ids) -> list[str]:
+    return [ids] if isinstance(ids, str) else list(ids)
+
+
+def nearest_rows(with_dist: DataFrame, group: str, ids: Ids) -> DataFrame:
+    """Per group the ids of the row with the least distance; ties go to the lower ids.
 
     Each task keeps one row per group, so a group with most rows costs no more.
     """
+    ids = _listed(ids)
     return with_dist.groupBy(group).agg(
-        F.min(F.struct("dist", id_col)).alias("nearest")
-    ).select(group, F.col(f"nearest.{id_col}").alias(id_col), F.col("nearest.dist").alias("dist"))
+        F.min(F.struct("dist", *ids)).alias("nearest")
+    ).select(group, *[F.col(f"nearest.{c}").alias(c) for c in ids], F.col("nearest.dist").alias("dist"))
 
 
 def nearest_to_centroid(df: DataFrame, centroids: DataFrame, group: str = "label",
-                        vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+                        vector: str = "embedding", id_col: Ids = "vec_id") -> DataFrame:
     """The row nearest to the given centroid, among the rows of its group."""
     return nearest_rows(distance_to_centroid(df, centroids, group, vector), group, id_col)
 
 
-def unselected(df: DataFrame, selected: DataFrame, id_col: str) -> DataFrame:
-    return df.join(selected.select(id_col), id_col, "left_anti")
+def unselected(df: DataFrame, selected: DataFrame, id_col: Ids) -> DataFrame:
+    ids = _listed(id_col)
+    return df.join(selected.select(*ids), ids, "left_anti")
 
 
-def top_up(df: DataFrame, selected: DataFrame, missing: int, id_col: str, seed: int = 42) -> DataFrame:
+def top_up(df: DataFrame, selected: DataFrame, missing: int, id_col: Ids, seed: int = 42) -> DataFrame:
     """``missing`` more ids out of the unselected rows, in the seeded order."""
-    rest = unselected(df, selected, id_col).select(id_col)
+    ids = _listed(id_col)
+    rest = unselected(df, selected, ids).select(*ids)
     return (
-        rest.withColumn("digest", tx.seeded_hash(seed, F.col(id_col)))
-        .orderBy("digest", id_col)
+        rest.withColumn("__digest", tx.seeded_hash(seed, *map(F.col, ids)))
+        .orderBy("__digest", *ids)
         .limit(missing)
-        .select(id_col)
+        .select(*ids)
     )
 
 
 def diversity_sample(
     df: DataFrame,
     n: int,
-    id_col: str = "pair_id",
+    id_col: Ids = "pair_id",
     vector: str | None = "embedding",
     seed: int = 42,
     n_init: int = 10,
@@ -105,15 +115,21 @@ def diversity_sample(
 
     Takes the nearest row inside each cluster; empty clusters are topped up by a
     seeded sample.  Without vectors the whole subset is such a sample per ``group``.
+    ``id_col``, one column or several, must name a row; ids that repeat are refused, for
+    no number of rows could then be kept.
     """
+    ids = _listed(id_col)
+    repeated = df.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
+    if repeated.count():
+        raise ValueError(f"rows with equal {', '.join(ids)}: name them by more columns")
     if vector is None or vector not in df.columns:
-        return random_sample(df, n, seed, [id_col], group)
-    if df.select(id_col).limit(n + 1).count() <= n:
+        return random_sample(df, n, seed, ids, group)
+    if df.select(*ids).limit(n + 1).count() <= n:
         return df
     model = fit_clusters(df, n, vector, seed, n_init)
-    near = nearest_rows(assign_clusters(df.select(id_col, vector), model, vector), "cluster", id_col)
-    chosen = materialize(near.select(id_col))
+    near = nearest_rows(assign_clusters(df.select(*ids, vector), model, vector), "cluster", ids)
+    chosen = materialize(near.select(*ids))
     missing = n - chosen.count()
     if missing > 0:
-        chosen = chosen.unionByName(top_up(df, chosen, missing, id_col, seed))
-    return df.join(shared(chosen), id_col, "left_semi")
+        chosen = chosen.unionByName(top_up(df, chosen, missing, ids, seed))
+    return df.join(shared(chosen), ids, "left_semi")

@@ -16,7 +16,7 @@ from mildtext.functions import scores as sc
 from mildtext.operators import grams
 from mildtext.operators.bootstrap import bootstrap_ci
 from mildtext.operators.rewrite import Terms
-from mildtext.operators.score import BigramModel, bigram_perplexity, count_similarity, lexicon_toxicity
+from mildtext.operators.score import BigramModel, bigram_perplexity, lexicon_toxicity
 from mildtext.session import materialize
 
 KEYS = ["experiment", "row_id"]
@@ -98,11 +98,11 @@ def score_rows(
     leaves the fluency out.
     """
     rows = lexicon_toxicity(predictions, terms, match, text="prediction")
-    rows = count_similarity(rows, "toxic", "prediction")
-    overlaps = ["word", "char"] if with_references else []
-    for kind in overlaps:
-        rows = grams.add_overlap(rows, kind, "prediction", "neutral")
-    rows = rows.select(*KEYS, "lang", "tox", "sim", *overlaps)
+    kinds = {"term": ("toxic", "prediction")}
+    if with_references:
+        kinds |= {"word": ("prediction", "neutral"), "char": ("prediction", "neutral")}
+    rows = grams.add_overlaps(rows, **kinds).withColumn("sim", grams.term_cosine())
+    rows = rows.select(*KEYS, "lang", "tox", "sim", *[k for k in kinds if k != "term"])
     if model is None:
         rows = rows.withColumn("ppl", F.lit(None).cast("double"))
     else:

@@ -71,29 +71,49 @@ def count_overlap(left: list[str], right: list[str], orders: int, chars: bool) -
     return pd.DataFrame(out)[_fields(orders)]
 
 
-def _overlap_udf(orders: int, chars: bool):
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for left, right in batches:
-            left, right = left.fillna("").tolist(), right.fillna("").tolist()
-            ends = np.cumsum([len(a) + len(b) for a, b in zip(left, right)]) // UNITS_AT_ONCE
-            starts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(left)]
-            parts = [
-                count_overlap(left[i:j], right[i:j], orders, chars)
-                for i, j in zip(starts, starts[1:])
-                if j > i
-            ]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=_fields(orders))
-
-    return F.pandas_udf(count, ", ".join(f"{f} bigint" for f in _fields(orders)))
+def _overlap_udf(kinds: list[str]):
+    """One function of two columns per kind; the fields of each kind under its name."""
+
+    def count(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            found = []
+            for at, kind in enumerate(kinds):
+                orders, chars = ORDERS[kind], kind == "char"
+                left, right = (c.fillna("").tolist() for c in columns[2 * at : 2 * at + 2])
+                ends = np.cumsum([len(a) + len(b) for a, b in zip(left, right)]) // UNITS_AT_ONCE
+                starts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(left)]
+                parts = [
+                    count_overlap(left[i:j], right[i:j], orders, chars)
+                    for i, j in zip(starts, starts[1:])
+                    if j > i
+                ]
+                whole = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=_fields(orders))
+                found.append(whole.add_prefix(f"{kind}_"))
+            yield pd.concat(found, axis=1)
+
+    return F.pandas_udf(count, ", ".join(f"{k}_{f} bigint" for k in kinds for f in _fields(ORDERS[k])))
+
+
+ORDERS = {"word": WORD_ORDER, "char": CHAR_ORDER, "term": 1}
+
+
+def add_overlaps(df: DataFrame, **kinds: tuple[str, str]) -> DataFrame:
+    """Add a struct column per kind, ``word`` (BLEU), ``char`` (chrF) or ``term`` (cosine), of two columns
+    each; all in one pass through Python."""
+    shape = {"word": tx.flat_13a, "char": tx.without_space, "term": lambda c: tx.collapse(F.lower(c))}
+    columns = [c for c in df.columns if c not in kinds]
+    sides = {f"__{k}_{n}": shape[k](F.col(c)) for k, pair in kinds.items() for n, c in enumerate(pair)}
+    ready = once(df, **sides)
+    counted = ready.select(*[F.col(f"`{c}`") for c in columns], _overlap_udf(list(kinds))(*[F.col(c) for c in sides]).alias("__found"))
+    structs = [
+        F.struct(*[F.col(f"__found.{kind}_{f}").alias(f) for f in _fields(ORDERS[kind])]).alias(kind) for kind in kinds
+    ]
+    return counted.select(*[F.col(f"`{c}`") for c in columns], *structs)
 
 
 def add_overlap(df: DataFrame, kind: str, left: str, right: str) -> DataFrame:
-    """Add the struct column ``kind``: ``word`` (BLEU), ``char`` (chrF) or ``term`` (cosine)."""
-    shape = {"word": tx.flat_13a, "char": tx.without_space, "term": lambda c: tx.collapse(F.lower(c))}[kind]
-    orders = {"word": WORD_ORDER, "char": CHAR_ORDER, "term": 1}[kind]
-    ready = once(df, left_text=shape(F.col(left)), right_text=shape(F.col(right)))
-    counted = _overlap_udf(orders, kind == "char")(F.col("left_text"), F.col("right_text"))
-    return ready.withColumn(kind, counted).drop("left_text", "right_text")
+    """:func:`add_overlaps` of one kind."""
+    return add_overlaps(df, **{kind: (left, right)})
 
 
 def term_cosine() -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
 from mildtext.operators.once import once
+from mildtext.session import shared
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -39,19 +40,29 @@ def length_ratio_filter(pairs: DataFrame, limit: float = 3.0) -> DataFrame:
     return with_word_counts(pairs).filter(filled() & (length_ratio() <= limit))
 
 
+PAIR_IDS = ["source_rank", "pair_id"]
+
+
 def dedup_pairs(pairs: DataFrame) -> DataFrame:
     """One row per language and exact pair: that of the first source, then of the lowest id.
 
-    The rank filter makes Spark cut every group to one row before the shuffle,
-    so a pair with very many copies sends one row per task, not all copies.
+    Only (language, digest, ids) are shuffled, and a pair with very many copies sends one
+    row per task.  The ids of the copies, a minority, then leave the texts where they
+    are: broadcast if their measured size is small.  ``source_rank`` and ``pair_id`` name
+    a row, as everywhere in the preparation.
     """
-    first = Window.partitionBy("lang", "pair_hash").orderBy("source_rank", "pair_id")
-    return (
-        pairs.withColumn("pair_hash", tx.pair_hash(F.col("toxic"), F.col("neutral")))
-        .withColumn("nth", F.row_number().over(first))
-        .filter(F.col("nth") == 1)
-        .drop("nth")
+    hashed = pairs.withColumn("pair_hash", tx.pair_hash(F.col("toxic"), F.col("neutral")))
+    ids = hashed.select("lang", "pair_hash", *PAIR_IDS)
+    first = ids.groupBy("lang", "pair_hash").agg(
+        F.min(F.struct(*PAIR_IDS)).alias("first"), F.count(F.lit(1)).alias("n")
+    ).filter(F.col("n") > 1)
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("lang", "pair_hash")]
+    copies = (
+        ids.alias("i").join(first.alias("f"), same)
+        .filter(F.struct(*[F.col(f"i.{c}") for c in PAIR_IDS]) != F.col("f.first"))
+        .select(*[F.col(f"i.{c}").alias(c) for c in PAIR_IDS])
     )
+    return hashed.join(shared(copies.distinct()), PAIR_IDS, "left_anti")
 
 
 def preprocess_pairs(pairs: DataFrame, limit: float = 3.0) -> DataFrame:

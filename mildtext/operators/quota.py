@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
-from mildtext.session import shared
+from mildtext.session import materialize, shared
 
 # 16^4 buckets: the ranked bucket holds about 1/65536 of its group.
 BUCKET_DIGITS = 4
@@ -85,12 +85,15 @@ def thresholds(
 def _with_thresholds(
     df: DataFrame, group: str, ids: list[str], seed: int, cuts: dict[str, Column]
 ) -> DataFrame:
-    limits = shared(thresholds(df, group, ids, seed, cuts))
+    # the keys are read three times, whatever it takes to make the rows
+    keys = materialize(df.select(*dict.fromkeys([group, *ids])))
+    limits = shared(thresholds(keys, group, ids, seed, cuts))
     here = F.struct(tx.seeded_hash(seed, *map(F.col, ids)).alias("digest"), *ids)
+    limits = limits.withColumnRenamed("grp", "__grp")
     return (
-        df.withColumn("ord", here)
-        .join(limits, F.col(group).eqNullSafe(F.col("grp")), "left")
-        .drop("grp")
+        df.withColumn("__ord", here)
+        .join(limits, F.col(group).eqNullSafe(F.col("__grp")), "left")
+        .drop("__grp")
     )
 
 
@@ -122,11 +125,11 @@ def split_pairs(
     cuts = {"last_train": n - n_val - n_test, "last_val": n - n_test}
     marked = _with_thresholds(pairs, group, ids, seed, cuts)
     split = (
-        F.when(F.col("ord") <= F.col("last_train"), "train")
-        .when(F.col("ord") <= F.col("last_val"), "val")
+        F.when(F.col("__ord") <= F.col("last_train"), "train")
+        .when(F.col("__ord") <= F.col("last_val"), "val")
         .otherwise("test")
     )
-    return marked.withColumn("split", split).drop("ord", "last_train", "last_val")
+    return marked.withColumn("split", split).drop("__ord", "last_train", "last_val")
 
 
 def random_sample(
@@ -137,4 +140,4 @@ def random_sample(
     marked = _with_thresholds(
         df, group, ids, seed, {"last_in": F.least(F.col("n"), F.lit(n).cast("bigint"))}
     )
-    return marked.filter(F.col("ord") <= F.col("last_in")).drop("ord", "last_in")
+    return marked.filter(F.col("__ord") <= F.col("last_in")).drop("__ord", "last_in")

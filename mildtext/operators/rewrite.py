@@ -6,29 +6,39 @@ A token matches a lexicon of its language if its cleaned form
 * (``prefix``) has at least four characters and starts with a term of at least
   four characters, or is the start of such a term.
 
-Two physical forms compute the same result:
+The lexicon of a language is its list in the base lexicon, or the union of all base lists if it
+has none, and the extra terms of that language.
 
-* *inline* - the terms become a set inside one expression, so rewriting is a
-  projection without any shuffle.  Taken for lexicons up to ``INLINE_TERMS``.
-* *joined* - distinct tokens of the corpus meet the lexicon in equi-joins, and
-  only the flagged tokens travel back to their texts.  Taken for any size.
+Physical forms of the same result:
+
+* *inline* - terms given as lists in the program become sets inside one expression.
+* *shared* - a lexicon whose measured size allows it goes to the tasks as hash sets, and a
+  text is rewritten where it is: a projection, whatever the number of terms.
+* *joined* - beyond that size, distinct tokens of the corpus meet the lexicon in equi-joins,
+  and the flagged tokens travel back to the texts that have any.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
 from mildtext.operators.once import once
 from mildtext.operators.skew import key_counts, lookup
-from mildtext.session import materialize
+from mildtext.session import materialize, measured_bytes, sized
 from mildtext.sources.lexicon import all_language_terms
 
 MIN_PREFIX = 4
-INLINE_TERMS = 5_000
+# Measured size up to which a lexicon is shared with every task.
+LEXICON_BYTES = 32 * 1024 * 1024
+# Tokens whose answer a task remembers.
+REMEMBERED = 200_000
+# Scope of the texts whose language has no list of its own; no language label is empty after cleaning.
+ELSEWHERE = "\x00"
 
 Terms = Mapping[str, Iterable[str]]
 
@@ -36,17 +46,42 @@ Terms = Mapping[str, Iterable[str]]
 # --- lexicon against tokens -------------------------------------------------
 
 
-def collect_terms(lexicon: DataFrame, limit: int = INLINE_TERMS) -> dict[str, list[str]] | None:
-    """The lexicon as lists, or None if it has more than ``limit`` rows."""
-    rows = lexicon.select("lang", "term").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    terms: dict[str, list[str]] = {}
-    for row in rows:
-        terms.setdefault(row["lang"], []).append(row["term"])
+def collect_terms(lexicon: DataFrame) -> dict[str, list[str]]:
+    """The lexicon as lists; for lexicons of a checked size."""
+    terms: dict[str, set[str]] = {}
+    for row in lexicon.select("lang", "term").collect():
+        terms.setdefault(row["lang"], set()).add(row["term"])
     return {lang: sorted(group) for lang, group in sorted(terms.items())}
 
 
+class Matcher:
+    """Does a cleaned token match a fixed set of terms?  A few hash lookups, whatever their number."""
+
+    def __init__(self, terms: Iterable[str], match: str) -> None:
+        if match not in ("exact", "prefix"):
+            raise ValueError(f"unknown match mode: {match}")
+        self.whole = set(terms)
+        long_terms = {t for t in self.whole if len(t) >= MIN_PREFIX} if match == "prefix" else set()
+        self.long_terms = long_terms
+        self.starts = {t[:n] for t in long_terms for n in range(MIN_PREFIX, len(t))}
+        self.lengths = sorted({len(t) for t in long_terms})
+
+    def __call__(self, token: str) -> bool:
+        if token in self.whole or token in self.starts:
+            return True
+        return any(token[:n] in self.long_terms for n in self.lengths if n < len(token))
+
+
+def scoped_matchers(base: Terms, extra: Terms, match: str) -> dict[str, list[Matcher]]:
+    """Matchers per language, and for :data:`ELSEWHERE`, by the scoping rule of the module."""
+    own = {lang: [Matcher(terms, match)] for lang, terms in base.items()}
+    elsewhere = [Matcher((t for terms in base.values() for t in terms), match)]
+    for lang, terms in extra.items():
+        own[lang] = [*own.get(lang, elsewhere), Matcher(terms, match)]
+    own[ELSEWHERE] = elsewhere
+    return own
+
+
 def flag_expression(terms: Iterable[str], match: str) -> Callable[[Column], Column]:
     """Predicate over one cleaned token for a fixed set of terms."""
     exact = sorted(set(terms))
@@ -169,16 +204,24 @@ def anti_join(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return tokens.join(lexicon.select("lang", F.col("term").alias("token")), ["lang", "token"], "left_anti")
 
 
-def scope_lexicon(lexicon: DataFrame, langs: DataFrame) -> DataFrame:
-    """The lexicon of every language in ``langs``; one without terms takes the union of all."""
-    known = lexicon.select("lang").distinct()
-    unknown = langs.select("lang").distinct().join(known, "lang", "left_anti")
-    union = all_language_terms(lexicon).withColumn(
-        "langs", F.lit(unknown.agg(F.collect_list("lang")).scalar())
-    )
-    return lexicon.select("lang", "term").unionByName(
-        union.select(F.explode("langs").alias("lang"), "term")
-    )
+def scope_lexicon(lexicon: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """All terms by scope: those of each language, and the union of the base lists once, as :data:`ELSEWHERE`.
+
+    The languages of the texts do not matter, nor how many have no list.
+    """
+    base = lexicon.select("lang", "term").distinct()
+    scoped = base.unionByName(all_language_terms(base).select(F.lit(ELSEWHERE).alias("lang"), "term"))
+    return scoped if extra is None else scoped.unionByName(extra.select("lang", "term")).distinct()
+
+
+def scopes(lexicon: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """``lang, scopes`` of the languages that have terms: their own list, and the union if only extra ones are theirs."""
+    langs = lexicon.select("lang", F.lit(1).alias("base"))
+    if extra is not None:
+        langs = langs.unionByName(extra.select("lang", F.lit(0).alias("base")))
+    own = langs.groupBy("lang").agg(F.max("base").alias("base"))
+    both = F.array(F.col("lang"), F.lit(ELSEWHERE))
+    return own.select("lang", F.when(F.col("base") == 1, F.array("lang")).otherwise(both).alias("scopes"))
 
 
 def flag_vocabulary(vocab: DataFrame, lexicon: DataFrame, match: str = "prefix") -> DataFrame:
@@ -218,24 +261,101 @@ def flag_vocabulary(vocab: DataFrame, lexicon: DataFrame, match: str = "prefix")
 
 
 def flagged_tokens(df: DataFrame, lexicon: DataFrame, id_col: str, match: str, text: str, lang: str,
-                   keep_marks: bool) -> DataFrame:
-    """``id, flagged``: the matching tokens of each text that has any.
+                   keep_marks: bool, extra: DataFrame | None = None) -> DataFrame:
+    """``__id, __flagged``: the matching tokens of each text that has any.
 
     The vocabulary is written once: it is read for the match, for the longest
     term and for the frequencies, and each of these would tokenise the corpus again.
     """
     tokens = distinct_tokens(df, id_col, text, lang, keep_marks)
     vocab = materialize(vocabulary(tokens))
-    scoped = scope_lexicon(lexicon, vocab)
+    scoped = materialize(scope_lexicon(lexicon, extra))
     keys = ["lang", "token"]
-    flagged = materialize(vocab.join(flag_vocabulary(vocab, scoped, match), keys, "left_semi"))
+    here = vocab.join(sized(materialize(scopes(lexicon, extra))), "lang", "left").withColumn(
+        "scope", F.explode(F.coalesce("scopes", F.array(F.lit(ELSEWHERE))))
+    )
+    words = here.select(F.col("scope").alias("lang"), "token").distinct()
+    found = flag_vocabulary(words, scoped, match).withColumnRenamed("lang", "scope")
+    matched = here.join(found, ["scope", "token"], "left_semi")
+    flagged = materialize(matched.groupBy(*keys).agg(F.max("key_rows").alias("key_rows")))
     hits = flagged.select(*keys, F.lit(True).alias("hit"))
     # only flagged tokens find a partner, so their counts alone decide what is hot
     marked = lookup(tokens, hits, keys, ["hit"], flagged, ["id", "token"])
-    return marked.filter("hit").groupBy("id").agg(F.collect_list("token").alias("flagged"))
+    return marked.filter("hit").groupBy(F.col("id").alias("__id")).agg(F.collect_list("token").alias("__flagged"))
+
+
+# --- rewriting by sets in the tasks ------------------------------------------
+
+
+def _rewritten(hit_of: Callable[[], Callable], counts: bool):
+    """Vectorised function over (collapsed text, cleaned text, value): the kept tokens, or how many match.
+
+    ``hit_of`` makes, once per task, a function from the value to a predicate over tokens.
+    """
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        predicate = hit_of()
+        for flat, clean, given in batches:
+            out: list = []
+            for text, words, value in zip(flat, clean, given):
+                if text is None or text != text:
+                    out.append(None)
+                    continue
+                hit = predicate(value)
+                if counts:
+                    out.append(sum(map(hit, words.split(" "))))
+                else:
+                    pairs = zip(text.split(" "), words.split(" "))
+                    out.append(" ".join([raw for raw, word in pairs if not hit(word)]))
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "int" if counts else "string")
+
+
+def _by_scope(matchers: dict[str, list[Matcher]]) -> Callable[[], Callable]:
+    def make() -> Callable:
+        remembered: dict[str, dict[str, bool]] = {}
+
+        def predicate(lang: str | None) -> Callable[[str], bool]:
+            scope = lang if lang in matchers else ELSEWHERE
+            own, known = matchers[scope], remembered.setdefault(scope, {})
+
+            def hit(token: str) -> bool:
+                found = known.get(token)
+                if found is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    found = known[token] = any(m(token) for m in own)
+                return found
+
+            return hit
+
+        return predicate
+
+    return make
 
 
-def delete_joined(
+def _in_flagged() -> Callable:
+    def predicate(flagged) -> Callable[[str], bool]:
+        return frozenset().__contains__ if flagged is None else set(flagged).__contains__
+
+    return predicate
+
+
+def _with_hits(df: DataFrame, lexicon: DataFrame, id_col: str, match: str, text: str, lang: str, keep_marks: bool,
+               extra: DataFrame | None) -> tuple[DataFrame, Callable, Column]:
+    """``df`` and what a vectorised function needs to tell which tokens match: by sets, or beyond their size by joins."""
+    size = measured_bytes(lexicon.select("lang", "term"))
+    size += measured_bytes(extra.select("lang", "term")) if extra is not None else 0
+    if size <= LEXICON_BYTES:
+        matchers = scoped_matchers(collect_terms(lexicon), collect_terms(extra) if extra is not None else {}, match)
+        return df, _by_scope(matchers), F.col(f"`{lang}`")
+    hits = flagged_tokens(df, lexicon, id_col, match, text, lang, keep_marks, extra)
+    found = df.join(hits, F.col(f"`{id_col}`") == F.col("__id"), "left")
+    return found, _in_flagged, F.col("__flagged")
+
+
+def delete_terms(
     df: DataFrame,
     lexicon: DataFrame,
     id_col: str,
@@ -244,27 +364,22 @@ def delete_joined(
     lang: str = "lang",
     out: str = "prediction",
     keep_marks: bool = False,
+    extra: DataFrame | None = None,
 ) -> DataFrame:
-    """As :func:`delete_inline` for a lexicon of any size."""
-    hits = flagged_tokens(df, lexicon, id_col, match, text, lang, keep_marks)
-    found = _with_flat(df, text).join(hits, F.col(id_col) == F.col("id"), "left").drop("id")
-    flat = F.col("flat")
-    kept = F.array_join(
-        F.zip_with(
-            tx.raw_tokens(flat),
-            tx.clean_tokens(flat, keep_marks),
-            lambda raw, clean: F.when(~F.array_contains(F.col("flagged"), clean), raw),
-        ),
-        " ",
-    )
-    rewritten = F.when(F.col("flagged").isNull(), flat).otherwise(kept)
-    return (
-        found.withColumn(out, F.coalesce(F.nullif(rewritten, F.lit("")), F.col(text)))
-        .drop("flat", "flagged")
-    )
+    """The delete rewriter for a lexicon of any size; a text that would become empty stays as it is.
+
+    ``extra`` terms count for their language on top of its base list or of the union.
+    """
+    columns = df.columns
+    found, hit_of, last = _with_hits(df, lexicon, id_col, match, text, lang, keep_marks, extra)
+    found = once(found, __flat=tx.collapse(F.col(f"`{text}`")))
+    kept = _rewritten(hit_of, counts=False)(F.col("__flat"), tx.clean_text(F.col("__flat"), keep_marks), last)
+    keep = [F.col(f"`{c}`") for c in columns if c != out]
+    rewritten = found.select(*keep, kept.alias("__kept"))
+    return rewritten.select(*keep, F.coalesce(F.nullif(F.col("__kept"), F.lit("")), F.col(f"`{text}`")).alias(out))
 
 
-def count_flagged_joined(
+def count_flagged(
     df: DataFrame,
     lexicon: DataFrame,
     id_col: str,
@@ -272,36 +387,19 @@ def count_flagged_joined(
     text: str = "text",
     lang: str = "lang",
     keep_marks: bool = False,
+    extra: DataFrame | None = None,
 ) -> DataFrame:
     """As :func:`count_flagged_inline` for a lexicon of any size."""
-    hits = flagged_tokens(df, lexicon, id_col, match, text, lang, keep_marks)
-    found = _with_flat(df, text).join(hits, F.col(id_col) == F.col("id"), "left").drop("id")
-    flat = F.col("flat")
-    matching = F.filter(
-        tx.clean_tokens(flat, keep_marks), lambda token: F.array_contains(F.col("flagged"), token)
+    columns = df.columns
+    found, hit_of, last = _with_hits(df, lexicon, id_col, match, text, lang, keep_marks, extra)
+    found = once(found, __flat=tx.collapse(F.col(f"`{text}`")))
+    flat = F.col("__flat")
+    hits = _rewritten(hit_of, counts=True)(flat, tx.clean_text(flat, keep_marks), last)
+    return found.select(
+        *[F.col(f"`{c}`") for c in columns if c not in ("n_tokens", "n_flagged")],
+        (F.size(tx.raw_tokens(flat)) - (flat == "").cast("int")).alias("n_tokens"),
+        hits.alias("n_flagged"),
     )
-    return once(
-        found,
-        n_tokens=F.size(tx.raw_tokens(flat)) - (flat == "").cast("int"),
-        n_flagged=F.when(F.col("flagged").isNull(), 0).otherwise(F.size(matching)),
-    ).drop("flat", "flagged")
-
-
-def delete_terms(
-    df: DataFrame,
-    lexicon: DataFrame,
-    id_col: str,
-    match: str = "prefix",
-    text: str = "text",
-    lang: str = "lang",
-    out: str = "prediction",
-    keep_marks: bool = False,
-) -> DataFrame:
-    """The delete rewriter; picks the form by the checked size of the lexicon."""
-    terms = collect_terms(lexicon)
-    if terms is not None:
-        return delete_inline(df, terms, match, text, lang, out, keep_marks)
-    return delete_joined(df, lexicon, id_col, match, text, lang, out, keep_marks)
 
 
 # --- dispatch ---------------------------------------------------------------
@@ -312,11 +410,11 @@ def identity(df: DataFrame, text: str = "text", out: str = "prediction") -> Data
     return df.withColumn(out, F.col(text))
 
 
-def run_baseline(name: str, pairs: DataFrame, lexicon: DataFrame, id_col: str = "pair_id",
-                 match: str = "prefix") -> DataFrame:
-    """Rewrite the toxic side of pairs by a named rewriter."""
+def run_baseline(name: str, pairs: DataFrame, lexicon: DataFrame | None = None, id_col: str = "pair_id",
+                 match: str = "prefix", extra: DataFrame | None = None) -> DataFrame:
+    """Rewrite the toxic side of pairs by a named rewriter; ``delete`` needs a lexicon."""
     if name == "delete":
-        return delete_terms(pairs, lexicon, id_col, match, text="toxic")
+        return delete_terms(pairs, lexicon, id_col, match, text="toxic", extra=extra)
     if name == "identity":
         return identity(pairs, text="toxic")
     raise ValueError(f"Unknown baseline: {name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,21 @@ def lookup(
     table: DataFrame,
     keys: list[str],
     values: list[str],
-    frequency: DataFrame,
+    frequency: DataFrame | Callable[[], DataFrame],
     spread: list[str],
 ) -> DataFrame:
     """Left join of ``rows`` to ``table`` (unique on ``keys``) which no hot key can slow down.
 
     ``table`` should be written already, since its size is measured.  A small one
     is broadcast.  Otherwise ``frequency`` holds ``keys`` and ``key_rows``, the
-    rows of each key.  Hot keys, fewer than ``HOT_SHARE`` whatever the size of the data, are broadcast
+    rows of each key; a function is only called then.  Hot keys, fewer than ``HOT_SHARE`` whatever the size of the data, are broadcast
     with their values.  All other keys meet in a shuffle join, in which each has
     a share below 1/HOT_SHARE.  Rows that are answered already go through that
     shuffle under their ``spread`` columns, so they fall evenly over the tasks.
     """
     if measured_bytes(table) <= SHARED_BYTES:
         return rows.join(F.broadcast(table.select(*keys, *values)), keys, "left").select(*rows.columns, *values)
+    frequency = frequency() if callable(frequency) else frequency
     total = frequency.agg(F.sum("key_rows").alias("all_rows")).scalar()
     hot_keys = frequency.filter(F.col("key_rows") * F.lit(HOT_SHARE) > total).select(*keys)
     # the table is read past the few hot keys; a hot key it lacks stays hot, without values

@@ -7,38 +7,36 @@ from pyspark.sql import functions as F
 
 from mildtext.config import PrepConfig
 from mildtext.operators.diversity import diversity_sample
-from mildtext.operators.prepare import preprocess_pairs, union_sources
+from mildtext.operators.prepare import PAIR_IDS, preprocess_pairs, union_sources
 from mildtext.operators.quota import split_pairs
 from mildtext.operators.tokenize import hashed_ids, tokenize_inputs, tokenize_pairs
-from mildtext.session import materialize
-
-PAIR_IDS = ["source_rank", "pair_id"]
-
+from mildtext.session import materialize, shared
 
 def clean_and_split(sources: list[DataFrame], cfg: PrepConfig = PrepConfig()) -> DataFrame:
-    """Cleaned pairs of all sources with their split.
-
-    The cleaned pairs are written once: counting, finding the thresholds and
-    splitting read them three times.
-    """
+    """Cleaned pairs of all sources with their split; only ids are written on the way."""
     wanted = union_sources(*sources).filter(F.col("lang").isin(cfg.langs))
-    cleaned = materialize(preprocess_pairs(wanted, cfg.length_ratio))
+    cleaned = preprocess_pairs(wanted, cfg.length_ratio)
     return split_pairs(cleaned, cfg.split_ratios, cfg.default_ratios, cfg.seed, PAIR_IDS)
 
 
 def few_shot_subsets(
     train: DataFrame, cfg: PrepConfig = PrepConfig(), vector: str | None = "embedding",
-    id_col: str = "pair_id", n_init: int = 10,
+    ids: list[str] | None = None, n_init: int = 10,
 ) -> DataFrame:
     """For every target language and size, a covering subset, marked by ``n_shots``.
 
-    One small K-means per language and size; the union is lazy.
+    ``ids`` name a row, also after a union of sources.  The ids and vectors of a language
+    are written once and serve all of its sizes.
     """
+    ids = ids or PAIR_IDS
     parts = []
     for lang in cfg.target_langs:
         rows = train.filter(F.col("lang") == lang)
+        known = rows.select(*ids, *([vector] if vector in train.columns else []), "lang")
+        known = materialize(known)
         for size in cfg.few_shot_sizes:
-            subset = diversity_sample(rows, size, id_col, vector, cfg.seed, n_init)
+            chosen = diversity_sample(known, size, ids, vector, cfg.seed, n_init).select(*ids)
+            subset = rows.join(shared(chosen), ids, "left_semi")
             parts.append(subset.withColumn("n_shots", F.lit(size)))
     return union_sources(*parts)
 

@@ -123,12 +123,16 @@ def text_normalize(spark, sf_dir):
     )
 
 
-@query
-def token_clean(spark, sf_dir):
+def _vocabulary(spark, sf_dir):
     tokens = rewrite.distinct_tokens(vw.table(spark, sf_dir, "documents"), "doc_id")
     return rewrite.vocabulary(tokens).withColumnRenamed("key_rows", "n_texts")
 
 
+@query
+def token_clean(spark, sf_dir):
+    return _vocabulary(spark, sf_dir)
+
+
 @query
 def label_to_toxicity(spark, sf_dir):
     labels = vw.table(spark, sf_dir, "labels")
@@ -232,9 +236,6 @@ def tokenize_inputs(spark, sf_dir):
 # --- lexicon and rewriters --------------------------------------------------
 
 
-def _vocabulary(spark, sf_dir):
-    tokens = rewrite.distinct_tokens(vw.table(spark, sf_dir, "documents"), "doc_id")
-    return rewrite.vocabulary(tokens).withColumnRenamed("key_rows", "n_texts")
 
 
 @query
@@ -276,18 +277,33 @@ def delete_builtin(spark, sf_dir):
 
 @query
 def delete_large_lexicon(spark, sf_dir):
-    """A lexicon that grows with the tables, matched by joins."""
+    """A lexicon that grows with the tables."""
     documents = vw.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     loaded = lx.load_lexicon(vw.benchmark_terms(spark, sf_dir), ["en"])
     terms = loaded.unionByName(lx.lexicon_from_terms(spark, vw.per_language(vw.JUDGE_TERMS)))
-    return rewrite.delete_joined(documents, terms.distinct(), "doc_id", "prefix").drop("text")
+    return rewrite.delete_terms(documents, terms.distinct(), "doc_id", "prefix").drop("text")
+
+
+@query
+def delete_augmented(spark, sf_dir):
+    """Built-in lists, or their union, and extra terms for two languages."""
+    documents = vw.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    extra = lx.lexicon_from_terms(spark, vw.AUGMENTED_TERMS)
+    return rewrite.delete_terms(documents, lx.builtin_lexicon(spark), "doc_id", "prefix", extra=extra).drop("text")
+
+
+@query
+def delete_baseline(spark, sf_dir):
+    """The delete rewriter by its name, over pairs."""
+    pairs = ps.load_pairs(vw.doc_pairs(spark, sf_dir), list(vw.LANGS))
+    lexicon = lx.lexicon_from_terms(spark, vw.per_language(vw.JUDGE_TERMS))
+    return rewrite.run_baseline("delete", pairs, lexicon).select("pair_id", "lang", "prediction")
 
 
 @query
 def identity_baseline(spark, sf_dir):
     pairs = ps.load_pairs(vw.doc_pairs(spark, sf_dir), list(vw.LANGS))
-    lexicon = lx.builtin_lexicon(spark)
-    return rewrite.run_baseline("identity", pairs, lexicon).select("pair_id", "toxic", "neutral", "prediction")
+    return rewrite.run_baseline("identity", pairs).select("pair_id", "toxic", "neutral", "prediction")
 
 
 def rule_rewriter(terms: list[str], prefix: str = "detoxify: "):

@@ -15,6 +15,8 @@ TERMS = ("idiot", "stupid", "moron", "loser", "pathetic", "trash", "worthless",
 # One more term and three stems, so that matching by prefix has work.
 EXTRA_TERMS = ("clown", "tion", "ent", "ered")
 WIDER_TERMS = (*TERMS, "clown", "ered")
+# Extra terms for a language with and one without a built-in list.
+AUGMENTED_TERMS = {"de": ["keit"], "fr": ["clown", "eaux"], "en": ["ered"]}
 JUDGE_TERMS = (*TERMS, *EXTRA_TERMS)
 # Stems first, so that every step of the series by lexicon size changes the rewrites.
 SERIES_TERMS = ("tion", "idiot", "ered", "stupid", "clown", "moron", "loser", "pathetic", "trash",
@@ -28,15 +30,8 @@ def per_language(terms: tuple[str, ...]) -> dict[str, list[str]]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables.
-
-    A file with fewer scan tasks than cores (one row group cannot be split) is
-    spread over the cores; a large table has more splits than cores and is read
-    as it is, without a shuffle.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """One of the given tables, as its files lie."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

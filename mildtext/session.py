@@ -1,4 +1,8 @@
-"""Cutting lineage before a stage that reads its input several times."""
+"""Cutting lineage before a stage that reads its input several times.
+
+What an operator writes lies in one folder per application below
+``spark.checkpoint.dir``; :func:`release` removes it when the results have been used.
+"""
 
 from __future__ import annotations
 
@@ -32,14 +36,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, on storage that all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/mildtext-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; DataFrames that read them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder, so that later passes re-read it.
+    """Write ``df`` once, so that later passes re-read it; ids and numbers, not texts.
 
     The copy is parquet on shared storage: it survives lost executors, and later
     passes read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

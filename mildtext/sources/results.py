@@ -21,10 +21,13 @@ RESULT_SCHEMA = f"""
 
 
 def save_results(metrics: DataFrame, path: str) -> None:
-    """One JSON line per record, in one folder per experiment; Spark writes the parts in parallel."""
-    metrics.withColumn("experiment_dir", F.col("experiment")).write.mode("overwrite").partitionBy(
-        "experiment_dir"
-    ).option("ignoreNullFields", "false").json(path)
+    """One JSON line per record, in one folder per experiment; Spark writes the parts in parallel.
+
+    An experiment that is saved again replaces its records; all others stay.
+    """
+    metrics.withColumn("experiment_dir", F.col("experiment")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("experiment_dir").option("ignoreNullFields", "false").json(path)
 
 
 def load_results(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mildtext.operators import bootstrap, diversity, evaluate, grams, reports
-from mildtext.operators.score import BigramModel
+from mildtext.operators.score import BigramModel, bigram_perplexity
 from mildtext.sources import results as rs
 
 
@@ -115,10 +115,46 @@ def test_bootstrap(spark):
     assert bootstrap.bootstrap_ci(rows.filter("x > 9"), ["id"], ["g"], ["x"]).count() == 0
 
 
-def test_poisson_weights_have_mean_and_variance_one(spark):
-    draws = spark.range(20000).select(bootstrap.poisson_count(F.substring(F.md5(F.col("id").cast("string")), 1, 8)).alias("w"))
-    row = draws.select(F.avg("w"), F.var_samp("w")).collect()[0]
-    assert row[0] == pytest.approx(1, abs=0.03) and row[1] == pytest.approx(1, abs=0.05)
+def test_poisson_weights_have_mean_and_variance_one():
+    weights = bootstrap.draws([str(i) for i in range(200)], 100, 42)
+    assert weights.shape == (200, 100)
+    assert weights.mean() == pytest.approx(1, abs=0.03) and weights.var() == pytest.approx(1, abs=0.05)
+
+
+def test_bootstrap_is_an_explicit_resampling(spark):
+    rows = [(i, "ab"[i % 3 == 0], i / 7 if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g string, x double").repartition(4)
+    got = {(r["g"], r["replicate"]): r["x"] for r in bootstrap.replicate_means(df, ["id"], ["g"], ["x"], 9).collect()}
+    weights = bootstrap.draws([str(i) for i, _, _ in rows], 9, 42)
+    for (g, rep), x in got.items():
+        own = [(weights[n, rep], v or 0.0) for n, (_, group, v) in enumerate(rows) if group == g]
+        assert x == pytest.approx(sum(w * v for w, v in own) / sum(w for w, _ in own))
+    assert len(got) == 18
+    plan = bootstrap.replicate_means(df, ["id"], ["g"], ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_language_without_a_model_has_no_perplexity(spark):
+    corpus = spark.createDataFrame([("en", "a b c a b"), ("en", "b a")], "lang string, text string")
+    asked = [(1, "en", "a b"), (2, "hi", "a b"), (3, "en", ""), (4, "en", "z z a"), (5, None, "a"), (6, "en", None)]
+    df = spark.createDataFrame(asked, "row_id int, lang string, text string")
+    model = BigramModel(corpus)
+    got = {r["row_id"]: r["ppl"] for r in bigram_perplexity(df, model, ["row_id"]).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert got[2] is None and got[3] is None and got[5] is None and got[6] is None
+    v, k = 3, 0.1
+    p = lambda c12, c1: (c12 + k) / (c1 + k * v)
+    assert got[1] == pytest.approx(math.exp(-(math.log(p(1, 2)) + math.log(p(2, 2))) / 2))
+    assert got[4] == pytest.approx(math.exp(-(math.log(p(0, 2)) + 2 * math.log(p(0, 0))) / 3))
+    rows = df.filter("row_id = 2").select("row_id", F.lit("e").alias("experiment"), "lang", F.col("text").alias("toxic"), F.col("text").alias("prediction"))
+    record = evaluate.evaluate_noref(rows, {"en": ["idiot"]}, model, compute_bootstrap=False).collect()[0]
+    assert record["fluency_norm_mean"] is None and record["j3_score"] is None
+
+
+def test_overlaps_take_one_pass(spark):
+    df = spark.createDataFrame([(1, "e", "en", "a b", "a", "b")], "row_id int, experiment string, lang string, toxic string, prediction string, neutral string")
+    rows = evaluate.score_rows(df, {"en": ["idiot"]}, None, with_references=True)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_identity_scores(spark):

@@ -38,39 +38,65 @@ def expected(lang, text, match):
 
 
 @pytest.mark.parametrize("match", ["exact", "prefix"])
-@pytest.mark.parametrize("form", ["inline", "joined", "picked"])
-def test_delete_against_brute_force(spark, match, form):
-    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(TEXTS)], "id int, lang string, text string")
-    df = df.withColumnRenamed("id", "row")
-    lexicon = lx.lexicon_from_terms(spark, TERMS)
+@pytest.mark.parametrize("form", ["inline", "shared", "joined"])
+def test_delete_against_brute_force(spark, monkeypatch, match, form):
+    df = spark.createDataFrame([(i, lang, t, 1) for i, (lang, t) in enumerate(TEXTS)], "id int, lang string, text string, flat int")
     if form == "inline":
-        got = rw.delete_inline(df, TERMS, match)
-    elif form == "joined":
-        got = rw.delete_joined(df, lexicon, "row", match)
+        got = rw.delete_inline(df.drop("flat"), TERMS, match)
     else:
-        got = rw.delete_terms(df, lexicon, "row", match)
+        monkeypatch.setattr(rw, "LEXICON_BYTES", 1 << 30 if form == "shared" else 0)
+        got = rw.delete_terms(df, lx.lexicon_from_terms(spark, TERMS), "id", match)
+        assert got.columns == [*df.columns, "prediction"]
     rows = got.collect()
     assert len(rows) == len(TEXTS)
     for row in rows:
         assert row["prediction"] == expected(row["lang"], row["text"], match), row
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 30])
 @pytest.mark.parametrize("match", ["exact", "prefix"])
-def test_flag_counts_agree(spark, match):
-    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(TEXTS)], "row int, lang string, text string")
-    inline = score.lexicon_toxicity(df, TERMS, match).orderBy("row").collect()
-    joined = score.lexicon_toxicity_joined(df, lx.lexicon_from_terms(spark, TERMS), "row", match).orderBy("row").collect()
+def test_flag_counts_agree(spark, monkeypatch, match, limit):
+    monkeypatch.setattr(rw, "LEXICON_BYTES", limit)
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(TEXTS)], "id int, lang string, text string")
+    inline = score.lexicon_toxicity(df, TERMS, match).orderBy("id").collect()
+    joined = score.lexicon_toxicity_joined(df, lx.lexicon_from_terms(spark, TERMS), "id", match).orderBy("id").collect()
     assert inline == joined
     assert [r["n_tokens"] for r in inline] == [len(t.split()) for _, t in TEXTS]
     assert inline[1]["n_flagged"] == 2 and inline[1]["tox"] == pytest.approx(2 / 3) and inline[5]["tox_ratio"] == 0.0
 
 
-def test_large_lexicon_is_joined(spark, monkeypatch):
-    monkeypatch.setattr(rw, "INLINE_TERMS", 2)
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_extra_terms_add_to_the_base_of_their_language(spark, monkeypatch, limit):
+    monkeypatch.setattr(rw, "LEXICON_BYTES", limit)
+    extra = {"de": ["trottel"], "en": ["clown"]}
+    texts = [("de", "du idiot und trottel", "du und"), ("en", "a clown idiot tonto trottel here", "a tonto trottel here"),
+             ("fr", "un idiot trottel clown tonto", "un trottel clown"), (None, "idiot clown", "clown")]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t, _) in enumerate(texts)], "id int, lang string, text string")
+    got = rw.delete_terms(df, lx.lexicon_from_terms(spark, TERMS), "id", "exact", extra=lx.lexicon_from_terms(spark, extra))
+    assert [r["prediction"] for r in got.orderBy("id").collect()] == [want for _, _, want in texts]
+
+
+def test_unknown_labels_share_one_scope(spark, monkeypatch):
+    monkeypatch.setattr(rw, "LEXICON_BYTES", 0)
     lexicon = lx.lexicon_from_terms(spark, TERMS)
-    assert rw.collect_terms(lexicon, 2) is None
-    df = spark.createDataFrame([(1, "en", "an idiot here")], "row int, lang string, text string")
-    assert rw.delete_terms(df, lexicon, "row").collect()[0]["prediction"] == "an here"
+    rows = sum(map(len, TERMS.values()))
+    assert rw.scope_lexicon(lexicon).count() <= 2 * rows
+    df = spark.createDataFrame([(i, f"junk {i}", "a tonto idiot here") for i in range(1000)], "id int, lang string, text string")
+    assert {r["prediction"] for r in rw.delete_terms(df, lexicon, "id").collect()} == {"a here"}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_long_text_of_matching_words(spark, monkeypatch, limit):
+    monkeypatch.setattr(rw, "LEXICON_BYTES", limit)
+    words = [f"idiot{i}" for i in range(40_000)]
+    df = spark.createDataFrame([(1, "en", " ".join([*words, "end"]))], "id int, lang string, text string")
+    assert rw.delete_terms(df, lx.lexicon_from_terms(spark, TERMS), "id").collect()[0]["prediction"] == "end"
+
+
+def test_shared_lexicon_moves_no_text(spark):
+    df = spark.createDataFrame([(1, "en", "a")], "id int, lang string, text string")
+    plan = rw.delete_terms(df, lx.lexicon_from_terms(spark, TERMS), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_hello_only_goes_in_prefix_mode(spark):
