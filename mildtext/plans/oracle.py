@@ -213,8 +213,8 @@ def summary_columns(fluency: bool = True) -> str:
 
 PARTS: dict[str, str] = {
     # pairs
-    "doc_pairs": """doc_pairs as (select a.doc_id pair_id, a.lang, a.text toxic_sentence, b.text neutral_sentence
-  from documents a join documents b on b.doc_id = a.doc_id + 1)""",
+    "doc_pairs": """doc_pairs as (select a.doc_id pair_id, a.lang, a.text toxic_sentence, coalesce(b.text, '') neutral_sentence
+  from documents a left join documents b on b.doc_id = a.doc_id + 1)""",
     "conv_pairs": """conv_pairs as (select u.conv_id * 1000000000 + u.turn pair_id, 'en' lang, u.text original,
     a.text converted from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
   where u.role = 'user' and a.role = 'assistant')""",
@@ -253,6 +253,9 @@ PARTS: dict[str, str] = {
     "del_exact": deleted("documents", "doc_id", "lex_terms", "exact", "del_exact"),
     "del_prefix": deleted("documents", "doc_id", "lex_judge", "prefix", "del_prefix"),
     "del_builtin": deleted("documents", "doc_id", "lex_documents", "prefix", "del_builtin"),
+    "lex_augmented": f"""lex_augmented as (select * from lex_documents
+  union select * from (values {values(vw.AUGMENTED_TERMS)}) v(lang, term))""",
+    "del_augmented": deleted("documents", "doc_id", "lex_augmented", "prefix", "del_augmented"),
     "del_large": deleted("documents", "doc_id", "lex_large", "prefix", "del_large"),
     "doc_tox": flagged_counts("documents", "doc_id", "text", "lex_terms", "exact", "doc_tox"),
     "doc_judged": flagged_counts("documents", "doc_id", "text", "lex_judge", "prefix", "doc_judged"),
@@ -428,6 +431,10 @@ and (starts_with(v.token, l.term) or starts_with(l.term, v.token))))"""
     q["delete_prefix"] = "select * from del_prefix"
     q["delete_builtin"] = "select * from del_builtin"
     q["delete_large_lexicon"] = "select * from del_large"
+    q["delete_augmented"] = "select * from del_augmented"
+    q["delete_baseline"] = "with_ " + deleted("as_inputs", "pair_id", "lex_judge", "prefix", "cut").replace(
+        "cut_tok as", "as_inputs as (select pair_id, lang, toxic as text from parallel_filled),\ncut_tok as", 1
+    ) + " select pair_id, lang, prediction from cut"
     q["identity_baseline"] = "select pair_id, toxic, neutral, toxic prediction from parallel_filled"
     q["rewrite_batch"] = "select * from del_exact"
     q["toxicity_lexicon"] = """select doc_id, n_tokens, n_flagged, round(coalesce(n_flagged / nullif(n_tokens, 0)::double, 0), 6) tox_ratio,
@@ -461,13 +468,18 @@ toxicity_pct_below_threshold, similarity_mean, similarity_pct_above_threshold, j
 order by md5(concat_ws('|', '42', vec_id::varchar)), vec_id limit {SAMPLE}"""
     q["results_table"] = """select experiment, lang, toxicity_pct_below_threshold sta_pct, similarity_mean sim, null::double ppl,
 bleu, chrf, j2_score j2, null::double j3 from baseline"""
-    q["results_roundtrip"] = "select lang, toxicity_mean, similarity_mean, bleu from baseline"
+    q["results_roundtrip"] = """select experiment, lang, n_samples, sta, toxicity_mean, toxicity_pct_below_threshold,
+similarity_mean, similarity_pct_above_threshold, j2_score, round(bleu, 2) bleu, round(chrf, 2) chrf, null::double fluency_ppl_mean,
+null::double fluency_norm_mean, null::double j3_score,
+tox_ci_mean toxicity_ci_mean, tox_ci_lower toxicity_ci_lower, tox_ci_upper toxicity_ci_upper,
+sim_ci_mean similarity_ci_mean, sim_ci_lower similarity_ci_lower, sim_ci_upper similarity_ci_upper,
+j2_ci_mean, j2_ci_lower, j2_ci_upper, true from_json
+from (select * exclude (fluency_ppl_mean, fluency_norm_mean, j3_score) from record) join ci using (experiment, lang) join bleu_chrf using (experiment, lang)"""
     q["enrich_runs"] = f"""select experiment, lang, toxicity_mean, similarity_mean,
 n_rewrites::double n_rewrites, words_in::double words_in, words_out::double words_out from record left join (select experiment, count(*) n_rewrites, sum(len({words('toxic')}))::bigint words_in,
 sum(len({words('prediction')}))::bigint words_out from rewrites where experiment <> 'identity' group by experiment)
 using (experiment)"""
-    q["pending_evaluations"] = """select distinct experiment, lang from rewrites
-except select experiment, lang from rewrites where prediction = neutral"""
+    q["pending_evaluations"] = "select distinct experiment, lang from rewrites where experiment = 'delete_prefix'"
     q["sample_efficiency"] = """select lang, "method", 0::bigint n_shots, toxicity_mean, similarity_mean from zero
 union all select lang, "method", n_shots, toxicity_mean, similarity_mean from few"""
     q["method_comparison"] = f"""select lang,
@@ -494,7 +506,15 @@ union all select experiment, lang, "method", n_shots, toxicity_mean, toxicity_pc
     ) + """ select b.lang, count(*) n_texts, round(avg(b.tox), 6) tox_before, round(avg(a.tox), 6) tox_after,
 round(avg((b.tox < 0.5)::int::double), 6) sta_before, round(avg((a.tox < 0.5)::int::double), 6) sta_after
 from before b join after_ a using (row_id) group by b.lang"""
-    return {name: _finish(body) for name, body in q.items()}
+    found = {name: _finish(body) for name, body in q.items()}
+    # the same over all documents: only the inputs differ
+    for name, source in (("corpus_bleu_all", "corpus_bleu"), ("corpus_chrf_all", "corpus_chrf"),
+                         ("evaluate_documents", "evaluate_ref"), ("join_predictions_all", "join_predictions")):
+        found[name] = found[source].replace(PARTS["toxic_inputs"], ALL_INPUTS)
+    return found
+
+
+ALL_INPUTS = "toxic_inputs as (select doc_id row_id, lang, text from documents)"
 
 
 def _finish(body: str) -> str:

@@ -27,7 +27,7 @@ from mildtext.operators import (
 from mildtext.operators import tokenize as tk
 from mildtext.plans import views as vw
 from mildtext.plans.prepare_all import prepare_pairs as prepare_all_pairs
-from mildtext.session import ensure_checkpoint_dir
+from mildtext.session import materialize, scratch
 from mildtext.sources import lexicon as lx
 from mildtext.sources import pairs as ps
 from mildtext.sources import results as rs
@@ -448,6 +448,35 @@ def corpus_chrf(spark, sf_dir):
     return found.withColumn("chrf", _round("chrf"))
 
 
+def _all_predictions(spark, sf_dir):
+    return vw.predictions(spark, sf_dir, vw.all_inputs(spark, sf_dir))
+
+
+@query
+def join_predictions_all(spark, sf_dir):
+    rewrites = _all_predictions(spark, sf_dir).select("row_id", "experiment", "prediction")
+    return evaluate.join_predictions(vw.all_inputs(spark, sf_dir), rewrites)
+
+
+@query
+def corpus_bleu_all(spark, sf_dir):
+    found = grams.corpus_bleu(_all_predictions(spark, sf_dir), ["experiment", "lang"])
+    return found.withColumn("bleu", _round("bleu"))
+
+
+@query
+def corpus_chrf_all(spark, sf_dir):
+    found = grams.corpus_chrf(_all_predictions(spark, sf_dir), ["experiment", "lang"])
+    return found.withColumn("chrf", _round("chrf"))
+
+
+@query
+def evaluate_documents(spark, sf_dir):
+    """The whole evaluation over all documents."""
+    record = evaluate.evaluate_ref(_all_predictions(spark, sf_dir), _judge(), _model(spark, sf_dir), EVAL)
+    return evaluate.flatten_ci(record)
+
+
 @query
 def bootstrap_ci(spark, sf_dir):
     documents = vw.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -511,7 +540,8 @@ def _baselines(spark, sf_dir, **options):
 def _series(spark, sf_dir):
     """Records by method and lexicon size, and those of the identity as zero-shot of each method."""
     rewrites = vw.series_predictions(spark, sf_dir)
-    records = evaluate.evaluate_noref(rewrites, _judge(), None, EVAL, compute_bootstrap=False)
+    # a few rows per experiment, read by every branch of a report
+    records = materialize(evaluate.evaluate_noref(rewrites, _judge(), None, EVAL, compute_bootstrap=False))
     name = F.split("experiment", "_")
     is_identity = F.col("experiment") == "identity"
     few = (
@@ -540,15 +570,26 @@ def results_table(spark, sf_dir):
     return reports.results_table(_baselines(spark, sf_dir)).orderBy("lang", "experiment")
 
 
+def _stored(spark, sf_dir, records, experiments):
+    """Records of some experiments, saved one experiment after the other, and read back."""
+    folder = f"{scratch(spark)}/results-{uuid.uuid4().hex}"
+    records = materialize(records)
+    for name in experiments:
+        rs.save_results(records.filter(F.col("experiment") == name), folder)
+    return rs.load_results(spark, folder)
+
+
 @query
 def results_roundtrip(spark, sf_dir):
-    """Records written as JSON and read back, then the listing written as CSV and read back."""
-    folder = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
-    rs.save_results(_baselines(spark, sf_dir), f"{folder}/json")
-    listing = reports.results_listing(rs.load_results(spark, f"{folder}/json"))
-    rs.save_summary(listing.drop("_file"), f"{folder}/csv")
-    schema = "lang string, toxicity_mean double, similarity_mean double, bleu double"
-    return ps.read_files(spark, f"{folder}/csv", "csv", schema)
+    """Every field of the records, intervals too, after one save per experiment; by way of CSV."""
+    records = evaluate.evaluate_ref(vw.predictions(spark, sf_dir), _judge(), None, EVAL)
+    stored = _stored(spark, sf_dir, records, ("identity", "delete_exact", "delete_prefix"))
+    flat = evaluate.flatten_ci(stored.select("_file", *records.columns))
+    flat = flat.withColumn("from_json", F.col("_file").endswith(".json")).drop("_file")
+    folder = f"{scratch(spark)}/summary-{uuid.uuid4().hex}"
+    rs.save_summary(flat, folder)
+    schema = ", ".join(f"{name} {kind}" for name, kind in flat.dtypes)
+    return ps.read_files(spark, folder, "csv", schema)
 
 
 @query
@@ -570,9 +611,10 @@ def enrich_runs(spark, sf_dir):
 
 @query
 def pending_evaluations(spark, sf_dir):
+    """Planned experiments that the store holds no record of."""
     planned = vw.predictions(spark, sf_dir).select("experiment", "lang").distinct()
-    done = vw.predictions(spark, sf_dir).filter(F.col("prediction") == F.col("neutral"))
-    return reports.pending_evaluations(planned, done)
+    stored = _stored(spark, sf_dir, _baselines(spark, sf_dir), ("identity", "delete_exact"))
+    return reports.pending_evaluations(planned, stored)
 
 
 @query

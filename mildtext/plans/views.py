@@ -35,12 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the following one as its counterpart."""
+    """Each document with the one of the following id as its counterpart; without one, with a blank.
+
+    Loading drops pairs with a blank side, so a gap in the ids shows as such and loses no row unseen.
+    """
     docs = table(spark, sf_dir, "documents")
     following = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("neutral_sentence"))
-    return docs.select(F.col("doc_id").alias("pair_id"), "lang", F.col("text").alias("toxic_sentence")).join(
-        following, "pair_id"
-    )
+    pairs = docs.select(F.col("doc_id").alias("pair_id"), "lang", F.col("text").alias("toxic_sentence"))
+    return pairs.join(following, "pair_id", "left").fillna("", ["neutral_sentence"])
 
 
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +115,14 @@ def toxic_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("row_id"), "lang", "text")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewrites of the toxic inputs by three experiments, with references; one pass over the texts."""
-    rows = toxic_inputs(spark, sf_dir)
+def all_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as inputs."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang", "text")
+
+
+def predictions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Rewrites of inputs, the toxic ones by default, by three experiments, with references; one pass over the texts."""
+    rows = toxic_inputs(spark, sf_dir) if rows is None else rows
     rows = delete_inline(rows, per_language(JUDGE_TERMS), "prefix", out="neutral")
     rows = delete_inline(rows, per_language(TERMS), "exact", out="by_exact")
     rows = delete_inline(rows, per_language(WIDER_TERMS), "prefix", out="by_prefix")
