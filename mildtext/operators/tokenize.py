@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
@@ -72,3 +72,16 @@ def tokenize_pairs(df: DataFrame, toxic: str = "toxic", neutral: str = "neutral"
     )
     masked = mask_padding(pad(F.col("target"), max_length))
     return _with_masks(cut.withColumn("labels", masked), max_length).drop("target")
+
+
+def save_tokenized(rows: DataFrame, path: str) -> None:
+    """Parquet in a folder per language and split; saving some of them again leaves the others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang", "split").parquet(path)
+
+
+def load_tokenized(spark: SparkSession, path: str, lang: str | None = None, split: str | None = None) -> DataFrame:
+    """A saved dataset, or the part of a language or split: only its folders are read."""
+    rows = spark.read.parquet(path)
+    for name, value in (("lang", lang), ("split", split)):
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    return rows

@@ -418,6 +418,29 @@ qualify row_number() over (partition by lang order by md5(concat_ws('|', '42', d
     q["prepare_pairs"] = f"""with_ cleaned_sources as (select * from cleaned where source <> 'unanswered'), {by_source}
 select source, pair_id, lang, split, {padded(cut_ids("'detoxify: ' || toxic"))} input_ids,
 len({cut_ids("'detoxify: ' || toxic")})::bigint n_ids, {padded(cut_ids('neutral'), '-100')} labels from splitted"""
+    q["prepare_few_shot"] = f"""with_ cleaned_sources as (select * from cleaned where source <> 'unanswered'), {by_source}
+select source, source_rank, pair_id, lang, n_shots from splitted, (values (5), (20)) s(n_shots)
+where split = 'train' and lang in ({', '.join(f"'{x}'" for x in PREP.target_langs)})
+qualify row_number() over (partition by lang, n_shots order by md5(concat_ws('|', '42', source_rank::varchar, pair_id::varchar)),
+source_rank, pair_id) <= n_shots"""
+    q["tokenized_roundtrip"] = q["prepare_pairs"].replace(f"len({cut_ids("'detoxify: ' || toxic")})::bigint n_ids, ", "")
+    held = (
+        """
+toxic_inputs as (select source_rank || '/' || pair_id row_id, lang, toxic as text, neutral given from splitted where split <> 'train'),"""
+        + deleted("toxic_inputs", "row_id", "lex_judge", "prefix", "cut")
+        + """,
+keyed as (select row_id, lang, text toxic, given neutral, 'delete' experiment, prediction, row_id rk
+  from toxic_inputs join cut using (row_id, lang)),""" + flagged_counts("keyed", "rk", "prediction", "lex_judge", "prefix", "tox_rows")
+        + ",\n" + ",\n".join(PARTS[p].strip() for p in ("units", "gram_stats", "sim_rows", "corpus", "bleu_chrf"))
+        + """ select experiment, lang, count(*) n_samples, round(avg(tox), 4) toxicity_mean,
+round(avg((tox < 0.5)::int::double), 4) sta, round(avg(sim), 4) similarity_mean,
+round(avg((tox < 0.5)::int::double * sim), 4) j2_score, round(any_value(bleu), 2) bleu, round(any_value(chrf), 2) chrf
+from keyed join tox_rows t using (rk, experiment, lang) join sim_rows using (rk) join bleu_chrf using (experiment, lang) group by experiment, lang"""
+    )
+    for name in ("toxic_inputs", "keyed", "tox_rows", "units", "gram_pos", "gram_shift", "gram_rows", "gram_cnt", "gram_stats",
+                 "sim_rows", "corpus", "bleu_chrf"):
+        held = re.sub(rf"\b{name}\b", f"held_{name}", held)  # parts of these names read the toxic inputs
+    q["detox_test_split"] = f"with_ cleaned_sources as (select * from cleaned where source <> 'unanswered'), {by_source}, {held}"
     q["tokenize_pairs"] = f"""select pair_id, {padded(cut_ids("'detoxify: ' || toxic"))} input_ids,
 {mask(cut_ids("'detoxify: ' || toxic"))} attention_mask, {padded(cut_ids('neutral'), '-100')} labels from parallel_filled"""
     q["tokenize_inputs"] = f"""select row_id, {padded(cut_ids("'detoxify: ' || text"))} input_ids,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from mildtext.operators import (
 )
 from mildtext.operators import tokenize as tk
 from mildtext.plans import views as vw
+from mildtext.plans.prepare_all import clean_and_split, few_shot_subsets
 from mildtext.plans.prepare_all import prepare_pairs as prepare_all_pairs
 from mildtext.session import materialize, scratch
 from mildtext.sources import lexicon as lx
@@ -217,6 +219,39 @@ def prepare_pairs(spark, sf_dir):
     )
 
 
+@query
+def prepare_few_shot(spark, sf_dir):
+    """Subsets of the training pairs for every target language and size; without vectors, a seeded sample."""
+    ready = clean_and_split(vw.pair_sources(spark, sf_dir), PREP)
+    train = ready.filter(F.col("split") == "train").select("source", "source_rank", "pair_id", "lang")
+    return few_shot_subsets(train, replace(PREP, few_shot_sizes=(5, 20)), vector=None)
+
+
+@query
+def tokenized_roundtrip(spark, sf_dir):
+    """Tokenised pairs written as a dataset by language and split, and read back."""
+    folder = f"{scratch(spark)}/tokenized-{uuid.uuid4().hex}"
+    tk.save_tokenized(prepare_all_pairs(vw.pair_sources(spark, sf_dir), PREP), folder)
+    back = tk.load_tokenized(spark, folder)
+    return back.select(
+        "source", "pair_id", "lang", "split", _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels"),
+    )
+
+
+@query
+def detox_test_split(spark, sf_dir):
+    """Sources to clean pairs to the held-back split, rewritten and evaluated against its references."""
+    ready = clean_and_split(vw.pair_sources(spark, sf_dir), PREP)
+    held = ready.filter(F.col("split") != "train").select(
+        F.concat_ws("/", "source_rank", "pair_id").alias("row_id"), "lang", "toxic", "neutral"
+    )
+    lexicon = lx.lexicon_from_terms(spark, vw.per_language(vw.JUDGE_TERMS))
+    rewrites = rewrite.run_baseline("delete", held, lexicon, "row_id").withColumn("experiment", F.lit("delete"))
+    return evaluate.evaluate_ref(rewrites, _judge(), None, EVAL, compute_bootstrap=False).select(
+        "experiment", "lang", "n_samples", "toxicity_mean", "sta", "similarity_mean", "j2_score", "bleu", "chrf"
+    )
+
+
 @query
 def tokenize_pairs(spark, sf_dir):
     pairs = ps.load_pairs(vw.doc_pairs(spark, sf_dir), list(vw.LANGS))
