@@ -6,8 +6,10 @@ What an operator writes lies in one folder per application below
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,18 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors, for jobs whose workers do not have it on their path.
+
+    Functions that run in Python workers are looked up by name there.  Once per session;
+    ``spark-submit --py-files`` with the same zip does as well.
+    """
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='mildtext-zip-')}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once, so that later passes re-read it; ids and numbers, not texts.
 

@@ -1,7 +1,13 @@
+import zipfile
+from collections import Counter
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
+from mildtext import session
 from mildtext.config import PrepConfig
-from mildtext.operators import prepare, quota
+from mildtext.operators import diversity, prepare, quota
 from mildtext.operators import tokenize as tk
 from mildtext.plans import prepare_all as pa
 from mildtext.sources import pairs as ps
@@ -167,3 +173,71 @@ def test_preview_and_summary(spark):
     first = prepare.split_preview(rows).collect()[0]
     assert first["pair_id"] == 0 and len(first["toxic_start"]) == 100
     assert prepare.data_summary(rows).collect()[0]["n"] == 3
+
+
+def test_few_shot_subsets_are_exact_over_sources_with_equal_ids(spark):
+    from mildtext.config import PrepConfig
+    from mildtext.plans.prepare_all import few_shot_subsets
+
+    rows = [(i, "es", "s", rank, f"t{rank}{i}", "n", [float(i), float(rank)]) for rank in (0, 1) for i in range(12)]
+    train = spark.createDataFrame(rows, "pair_id long, lang string, source string, source_rank int, toxic string, neutral string, embedding array<double>")
+    cfg = PrepConfig(target_langs=("es",), few_shot_sizes=(5, 100))
+    for vector in (None, "embedding"):
+        got = few_shot_subsets(train, cfg, vector, n_init=1).collect()
+        counts = Counter(r["n_shots"] for r in got)
+        assert counts == {5: 5, 100: 24}
+        assert len({(r["n_shots"], r["source_rank"], r["pair_id"]) for r in got}) == 29
+    with pytest.raises(ValueError, match="name them by more columns"):
+        diversity.diversity_sample(train, 5, "pair_id", None)
+
+
+def test_dedup_and_split_write_ids_only(spark, monkeypatch):
+    from mildtext.operators import quota as q
+
+    seen = []
+    original = session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df: seen.append(df.columns) or original(df))
+    monkeypatch.setattr(q, "materialize", lambda df: seen.append(df.columns) or original(df))
+    df = pairs(spark, [(i, "en", "a", 0, f"a{i % 3}", "b") for i in range(9)])
+    assert q.split_pairs(prepare.dedup_pairs(df), {}).count() == 3
+    assert seen and not any({"toxic", "neutral"} & set(columns) for columns in seen)
+
+
+def test_nothing_is_left_after_release(spark):
+    df = pairs(spark, [(i, "en", "a", 0, f"a{i % 3}", "b") for i in range(9)])
+    assert prepare.dedup_pairs(df).count() == 3
+    folder = Path(session.scratch(spark).removeprefix("file:"))
+    assert any(folder.iterdir())
+    session.release(spark)
+    assert not folder.exists()
+
+
+def test_package_for_the_executors_holds_the_functions(spark):
+    with zipfile.ZipFile(session.ship(spark)) as archive:
+        assert "mildtext/operators/grams.py" in archive.namelist()
+
+
+def test_saving_one_experiment_keeps_the_others(spark, tmp_path):
+    from mildtext.sources import results
+
+    path = str(tmp_path / "store")
+    for name, sta in (("a", 0.1), ("b", 0.2), ("a", 0.3)):
+        results.save_results(spark.createDataFrame([(name, "en", sta)], "experiment string, lang string, sta double"), path)
+    assert sorted((r["experiment"], r["sta"]) for r in results.load_results(spark, path).collect()) == [("a", 0.3), ("b", 0.2)]
+
+
+def test_tokenised_dataset_by_language_and_split(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "en", "train"), (2, "es", "val")], "pair_id int, lang string, split string")
+    tk.save_tokenized(rows, str(tmp_path / "set"))
+    tk.save_tokenized(rows.filter("lang = 'es'").withColumn("pair_id", F.lit(3)), str(tmp_path / "set"))
+    got = tk.load_tokenized(spark, str(tmp_path / "set"))
+    assert sorted(r["pair_id"] for r in got.collect()) == [1, 3]
+    assert tk.load_tokenized(spark, str(tmp_path / "set"), lang="es").count() == 1
+
+
+def test_plans_of_plain_sources_have_no_exchange(spark):
+    from mildtext.plans.queries import QUERIES
+
+    for name in ("load_inputs", "delete_exact", "toxicity_lexicon"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
