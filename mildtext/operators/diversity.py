@@ -48,6 +48,33 @@ def assign_clusters(df: DataFrame, model: KMeansModel, vector: str = "embedding"
     )
 
 
+def assign_given(df: DataFrame, centres: list[tuple[int, list[float]]], vector: str = "embedding") -> DataFrame:
+    """Adds ``cluster`` and ``dist`` by given centroids, (number, vector) each; ties go to the lower number.
+
+    The centroids, few by construction, are constants of the expression: a projection.
+    """
+    given = F.array(*[
+        F.struct(F.array(*[F.lit(float(x)) for x in centre]).alias("centre"), F.lit(number).alias("cluster"))
+        for number, centre in centres
+    ])
+    nearest = F.array_min(F.transform(given, lambda c: F.struct(sc.euclidean(F.col(vector), c["centre"]).alias("dist"), c["cluster"].alias("cluster"))))
+    return df.withColumn("__near", nearest).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.col("__near.cluster").alias("cluster"), F.col("__near.dist").alias("dist")
+    )
+
+
+def centroid_steps(df: DataFrame, start: list[tuple[int, list[float]]], steps: int, vector: str = "embedding") -> list[tuple[int, list[float]]]:
+    """Centroids after a fixed number of K-means steps from given ones; a cluster without rows keeps its centroid.
+
+    A step is one aggregation; only the centroids come to the driver.
+    """
+    centres = dict(start)
+    for _ in range(steps):
+        found = group_centroids(assign_given(df, sorted(centres.items()), vector), "cluster", vector)
+        centres |= {row["cluster"]: list(row["centre"]) for row in found.collect()}
+    return sorted(centres.items())
+
+
 def group_centroids(df: DataFrame, group: str = "label", vector: str = "embedding") -> DataFrame:
     """Mean vector per group, combined per task before the shuffle."""
     mean = Summarizer.mean(array_to_vector(F.col(vector)))

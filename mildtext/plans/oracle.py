@@ -10,7 +10,7 @@ import re
 from mildtext.functions.terms import BUILTIN_TERMS
 from mildtext.operators.bootstrap import poisson_bounds
 from mildtext.plans import views as vw
-from mildtext.plans.queries import BOOTSTRAP_N, EVAL, PREP, SAMPLE
+from mildtext.plans.queries import BOOTSTRAP_N, EVAL, PREP, SAMPLE, STEP_CLUSTERS, STEPS
 
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
@@ -486,6 +486,22 @@ round(fl, 6) fl, sta, sim_ok, round(j2, 6) j2, round(j3, 6) j3 from scored"""
 from ({_noref()}) n join bleu_chrf b on b.experiment = n.experiment and b.lang = n.lang"""
     q["evaluate_by_experiment"] = """select experiment, lang, "method", n_shots, n_samples, toxicity_mean, sta,
 toxicity_pct_below_threshold, similarity_mean, similarity_pct_above_threshold, j2_score from few"""
+    q["toxicity_lr_checked"] = """select count(*) n_scored, count(*) n_in_range, true toxic_is_higher
+from documents left join labels using (doc_id)"""
+    steps = """c0 as (select rk cluster, d, x c from dims join (select vec_id, row_number() over (order by vec_id)::int - 1 rk
+  from embeddings) using (vec_id) where rk < %d)""" % STEP_CLUSTERS
+    for n in range(STEPS + 1):
+        steps += f""",
+a{n} as (select vec_id, cluster, sqrt(sum((x - c) * (x - c))) dist from dims join c{n} using (d) group by vec_id, cluster
+  qualify row_number() over (partition by vec_id order by dist, cluster) = 1)"""
+        if n < STEPS:
+            steps += f""",
+m{n} as (select cluster, d, avg(x) c from dims join a{n} using (vec_id) group by all),
+c{n + 1} as (select cluster, d, coalesce(m{n}.c, c{n}.c) c from c{n} left join m{n} using (cluster, d))"""
+    q["kmeans_steps"] = f"with_ {steps} select vec_id, cluster, round(dist, 4) dist from a{STEPS}"
+    q["diversity_given"] = f"""with_ {steps}, near as (select vec_id from a{STEPS} qualify row_number() over
+  (partition by cluster order by dist, vec_id) = 1) select * from near union all (select vec_id from embeddings
+where vec_id not in (select vec_id from near) order by md5(concat_ws('|', '42', vec_id::varchar)), vec_id limit {SAMPLE - STEP_CLUSTERS})"""
     q["nearest_to_centroid"] = "select * from nearest"
     q["diversity_fill"] = f"""select vec_id from embeddings where vec_id not in (select vec_id from nearest)
 order by md5(concat_ws('|', '42', vec_id::varchar)), vec_id limit {SAMPLE}"""

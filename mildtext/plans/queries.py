@@ -39,6 +39,8 @@ PREP = PrepConfig(target_langs=("de", "es", "fr"))
 EVAL = EvalConfig()
 SAMPLE = 50
 BOOTSTRAP_N = 1000
+STEP_CLUSTERS = 8
+STEPS = 2
 
 
 def query(function):
@@ -407,6 +409,21 @@ def toxicity_lr(spark, sf_dir):
     return score.score_toxicity_model(documents, model).select("doc_id", "lang", _round("tox", 4).alias("tox"))
 
 
+@query
+def toxicity_lr_checked(spark, sf_dir):
+    """What must hold of the fitted scores: a score in range for every document, toxic ones higher on average."""
+    documents = vw.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    labels = vw.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = score.fit_toxicity_model(documents.join(labels, "doc_id"))
+    scored = score.score_toxicity_model(documents, model).join(labels, "doc_id", "left")
+    by_label = lambda label: F.avg(F.when(F.col("toxic") == label, F.col("tox")))
+    return scored.agg(
+        F.count("tox").alias("n_scored"),
+        F.sum(F.col("tox").between(0, 1).cast("bigint")).alias("n_in_range"),
+        (by_label(1) > by_label(0)).alias("toxic_is_higher"),
+    )
+
+
 @query
 def cosine_pairs(spark, sf_dir):
     vectors = vw.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -544,6 +561,28 @@ def kmeans_clusters(spark, sf_dir):
     return diversity.assign_clusters(vectors, model).select("vec_id", "cluster", _round("dist", 4).alias("dist"))
 
 
+def _stepped(spark, sf_dir):
+    """Vectors with their cluster after two K-means steps from the vectors of lowest id."""
+    vectors = vw.table(spark, sf_dir, "embeddings")
+    first = vectors.orderBy("vec_id").limit(STEP_CLUSTERS).collect()
+    start = [(n, [float(x) for x in row["embedding"]]) for n, row in enumerate(first)]
+    return diversity.assign_given(vectors, diversity.centroid_steps(vectors, start, STEPS))
+
+
+@query
+def kmeans_steps(spark, sf_dir):
+    return _stepped(spark, sf_dir).select("vec_id", "cluster", _round("dist", 4).alias("dist"))
+
+
+@query
+def diversity_given(spark, sf_dir):
+    """The row nearest to each of those centroids, topped up by a seeded sample."""
+    near = diversity.nearest_rows(_stepped(spark, sf_dir), "cluster", "vec_id")
+    vectors = vw.table(spark, sf_dir, "embeddings")
+    more = diversity.top_up(vectors, near, SAMPLE - STEP_CLUSTERS, "vec_id")
+    return near.select("vec_id").union(more)
+
+
 @query
 def nearest_to_centroid(spark, sf_dir):
     vectors = vw.table(spark, sf_dir, "embeddings")

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from mildtext.plans.oracle import ORACLE_SQL
+from mildtext.plans.queries import QUERIES
 from tools.check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -17,19 +19,23 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, con, name):
     got = queries()[name](spark, SF).toPandas()
     assert compare(got, con.execute(oracle_sql()[name]).df()) == "ok"
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_rows_only(spark, name):
     rows = queries()[name](spark, SF).toPandas()
     assert len(rows) > 0
     assert not rows.duplicated().any()
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(queries()) and set(ORACLE_SQL) <= set(oracle_sql()) <= set(queries())
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
