@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from mildtext.session import ensure_checkpoint_dir
+from mildtext.session import scratch
 
 # What a word is for every operator here: a run of anything but blank, tab, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,14 +25,43 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as parquet in the shared checkpoint folder.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
-    Meant for narrow tables of ids and numbers, never for texts.
+    Meant for narrow tables of ids and numbers.  What was shuffled on the way is not
+    needed any more; Spark removes it when the driver's collector meets the plan.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def squeezed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the text as ``z`` (binary, null stays null): before a shuffle, a text should be small.
+
+    Other columns come under the names ``c0``, ``c1``, ... of their places.
+    """
+    fields = docs.schema.fields
+    at = docs.columns.index(text_col)
+    names = [f"c{n}" for n in range(len(fields)) if n != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in range(len(fields)) if n != at], pa.array(z, pa.binary())], [*names, "z"]
+            )
+
+    shape = "".join(f"c{n} {f.dataType.simpleString()}, " for n, f in enumerate(fields) if n != at)
+    return docs.mapInArrow(run, shape + "z binary")
+
+
+def opened(z: bytes | None) -> str | None:
+    """The text of :func:`squeezed`."""
+    return None if z is None else zstandard.decompress(z).decode("utf-8", "surrogatepass")
+
+
 def words(text: str) -> list[str]:
     """Words of a text by :data:`WORD`; ``str.split()`` would also cut at other white space."""
     for c in "\t\n\v\f\r":

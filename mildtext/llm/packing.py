@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mildtext.llm.bpe import in_slices
+from mildtext.llm.bpe import byte_letters, in_slices
 from mildtext.llm.common import words, written
 
-# Entries of a worker's tables of word ids; when they are full, words seen once go.
-CACHE_ENTRIES = 550_000
+# Entries of a worker's table of words; when it is full, words that do not come again go.
+CACHE_ENTRIES = 350_000
 # Ranks in a run are below 2 to this power.
 _RANK_BITS = 43
 # The cut into words of the vocabulary file with word ends.
@@ -53,6 +53,25 @@ _LETTERS_APART = {
 _SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?]?)")
 
 
+class _Known(dict):
+    """Word to ids; a new word is looked up among the words that were known before, then encoded.
+
+    Tables of two generations: words that come again move on to the next one, and most
+    words never do.
+    """
+
+    def __init__(self, encode, before: dict[str, bytes]) -> None:
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
+        return found
+
+
 class WordIds:
     """Ids of texts by the tokenizers library, which is asked once per distinct word.
 
@@ -67,46 +86,34 @@ class WordIds:
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.asked: dict[str, bytes] = {}
-        self.often: set[str] = set()
+        self.model = self.library.model
+        self.known = _Known(self._encode, {})
         # letters and a sign behind them are words of their own, and capitals become small ones, if the file says so
-        self.plain = json.loads(vocabulary)["pre_tokenizer"] == _LETTERS_APART and self._ids(["Ab."]) == self._ids(["ab."])
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(words, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _add(self, new: set[str]) -> None:
-        """Ids of new words; those of letters alone, or with one sign behind, by their small letters."""
-        parts: dict[str, tuple[str, ...]] = {}
-        simple = _SIMPLE.fullmatch
-        for word in new:
-            m = simple(word) if self.plain else None
-            if m is None:
-                parts[word] = (word,)
-            else:
-                letters, sign = m.groups()
-                parts[word] = (letters.lower(), sign) if sign else (letters.lower(),)
-        ask = list({p for own in parts.values() for p in own if p not in self.asked})
-        self.asked.update(zip(ask, self._ids(ask)))
-        for word, own in parts.items():
-            self.known[word] = b"".join([self.asked[p] for p in own])
+        self.plain = json.loads(vocabulary)["pre_tokenizer"] == _LETTERS_APART and self._whole("Ab.") == self._whole("ab.")
+        self.signs = {sign: self._whole(sign) for sign in ".,;:!?"} | {"": b""}
+        self.byte_letter = {byte: letter for letter, byte in byte_letters().items()}
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _encode(self, word: str) -> bytes:
+        """Ids of one word: if it is of letters, straight from the library's model."""
+        m = _SIMPLE.fullmatch(word) if self.plain else None
+        if m is None:
+            return self._whole(word)
+        letters, sign = m.groups()
+        letters = letters.lower()
+        if not letters.isascii():  # the model sees a letter for each byte
+            letters = "".join([self.byte_letter[b] for b in letters.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes() + self.signs[sign]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) + len(self.asked) >= CACHE_ENTRIES:
-            # most words are never seen again; those that were stay, if they leave room
-            kept = self.often if len(self.often) < CACHE_ENTRIES // 3 else ()
-            self.known, self.asked, self.often = {w: self.known[w] for w in kept}, {}, set()
-        cut = [words(t) for t in texts]
-        new: set[str] = set()
-        for own in cut:
-            new.update(own)
-        again = new & self.known.keys()
-        self.often |= again
-        self._add(new - again)
-        return [b"".join(map(self.known.__getitem__, own)) for own in cut]
+        if len(self.known) >= CACHE_ENTRIES:
+            self.known.before = {}
+            self.known = _Known(self._encode, self.known)
+        known = self.known.__getitem__
+        return [b"".join(map(known, words(t))) for t in texts]
 
 
 _LOADED: dict[int, WordIds] = {}
