@@ -18,10 +18,11 @@ def fit_clusters(df: DataFrame, k: int, vector: str = "embedding", seed: int = 4
                  max_iter: int = 300) -> KMeansModel:
     """Best of ``n_init`` K-means fits by training cost.
 
-    The vectors are the input of every fit, so they are written once without the
-    other columns.  A step shares k centroids and combines partial sums per task.
+    A fit holds the vectors in the executors for its steps, and reads them again for what
+    it loses; ``df`` should be a table that is cheap to read, as a written one is.  A step shares
+    k centroids and combines partial sums per task.
     """
-    vectors = materialize(df.select(array_to_vector(F.col(vector)).alias("features")))
+    vectors = df.select(array_to_vector(F.col(vector)).alias("features"))
     best = None
     for attempt in range(n_init):
         model = KMeans(k=k, seed=seed + attempt, maxIter=max_iter).fit(vectors)
