@@ -4,11 +4,12 @@
    one.  Rarity comes from a counting sketch of fixed size over all documents; any order
    gives the right result, a good one keeps the lists short.
 2. Documents that share one are put into small groups by their smallest digest, so that
-   similar ones meet.  A group is one row: the union of its shingles, and a bit matrix of
-   which member has which.
+   similar ones meet.  A group is one row: the union of its members' shingles, as counts by
+   a part of the digest, and the members' texts, packed together.
 3. Groups that share a prefix shingle are candidates.  The overlap of the unions bounds
-   every overlap of members, so a pair of groups is opened only if the bound suffices;
-   one matrix product then gives all overlaps of members exactly.
+   every overlap of members, so only pairs of groups whose bound suffices are opened: the
+   texts are fetched, become a matrix of members and shingles, and one matrix product gives
+   all overlaps exactly.
 4. Components need only enough links to hold together: first every group meets two pivot groups of
    each list, then those groups meet whose members are still apart.
 
@@ -23,23 +24,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.llm import wordhash
-from mildtext.llm.common import written
+from mildtext.llm.common import opened as unpacked
+from mildtext.llm.common import squeezed, written
 from mildtext.llm.components import components
 from mildtext.session import sized
 
 
 @dataclass(frozen=True)
 class Join:
-    """``words`` per shingle; ``percent``, the least similarity; ``members`` of a group; ``sketch`` counters, 2 to its power."""
+    """``words`` per shingle; ``percent``, the least similarity; ``members`` of a group; ``sketch``
+    counters, 2 to its power; ``rounds`` with pivots before all groups of a list meet."""
 
     words: int = 5
     percent: int = 80
     members: int = 64
-    sketch: int = 19
+    sketch: int = 22
+    rounds: int = 2
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -58,10 +63,10 @@ def _bounds(owner: np.ndarray, n: int) -> np.ndarray:
 def rarity(docs: DataFrame, how: Join) -> np.ndarray:
     """Levels of how often shingles of each slot of the sketch occur, over all documents.
 
-    Every task counts its own documents; the counts of 16 parts are added up in Spark, and
+    Every task counts its own documents; the counts of 64 parts are added up in Spark, and
     2 ** ``sketch`` bytes come to the driver, whatever the size of the corpus.
     """
-    slots, parts = 1 << how.sketch, 16
+    slots, parts = 1 << how.sketch, min(64, 1 << how.sketch)
     shift = np.uint64(64 - how.sketch)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,26 +74,24 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
         for batch in batches:
             for _, texts in wordhash.in_slices([wordhash.normal(t, True) for t in batch.column(0).to_pylist()]):
                 digests, _ = wordhash.shingle_sets(wordhash.Words(texts), how.words)
-                total += np.bincount((digests >> shift).astype(np.int64), minlength=slots)
-        step = slots // parts
-        for part in range(parts):
-            own = total[part * step : (part + 1) * step]
-            at = np.flatnonzero(own)
+                slot, n = np.unique((digests >> shift).astype(np.int64), return_counts=True)
+                total[slot] += n
+        for part, own in enumerate(np.split(total, parts)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([at.astype("<u4").tobytes()]), pa.array([own[at].astype("<u8").tobytes()])], ["part", "slots", "counts"]
+                [pa.array([part], pa.int32()), pa.array([zstandard.compress(own.astype("<i8").tobytes(), 1)])], ["part", "counts"]
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, at, n in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, counts in zip(*[c.to_pylist() for c in batch.columns]):
                 own = totals.setdefault(part, np.zeros(slots // parts, np.int64))
-                own[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u8").astype(np.int64)
+                own += np.frombuffer(zstandard.decompress(counts), "<i8")
         if totals:
             levels = [np.minimum(255, 8 * np.log2(1 + own)).astype(np.uint8).tobytes() for own in totals.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels)], ["part", "levels"])
 
-    counted = docs.select("text").mapInArrow(count, "part int, slots binary, counts binary").repartition(parts, "part")
+    counted = docs.select("text").mapInArrow(count, "part int, counts binary").repartition(parts, "part")
     found = dict(counted.mapInArrow(add, "part int, levels binary").collect())
     empty = bytes(slots // parts)
     return np.frombuffer(b"".join(found.get(p, empty) for p in range(parts)), np.uint8)
@@ -191,13 +194,14 @@ def shared_prefixes(described: DataFrame) -> DataFrame:
 
 
 GROUP = (
-    "gid bigint, sets array<bigint>, sizes array<bigint>, least bigint, most bigint, tokens binary, bits binary, "
-    "links array<struct<a:bigint,b:bigint>>"
+    "gid bigint, sets array<bigint>, least bigint, most bigint, slots binary, texts binary, links array<struct<a:bigint,b:bigint>>"
 )
+# Bits of a shingle's digest that stand for it in a union; the bound counts how often each value occurs.
+_SLOT = np.dtype("<u2")
 
 
-def _spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Links that hold the same components together as all ``pairs`` do."""
+def _spanning(n: int, pairs: np.ndarray, known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Links that, with the ``known`` ones, hold the same components together as all ``pairs`` do."""
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -206,6 +210,9 @@ def _spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
+    for a, b in known:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
     out = []
     for a, b in pairs.tolist():
         x, y = root(a), root(b)
@@ -220,33 +227,42 @@ def _similar(overlap: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int
     return (overlap > 0) & (100 * overlap >= percent * (n_a[:, None] + n_b[None, :] - overlap))
 
 
+def _matrix(members: list[np.ndarray], union: np.ndarray) -> np.ndarray:
+    """Which member has which shingle of the (sorted) union."""
+    matrix = np.zeros((len(members), len(union)), np.float32)
+    for row, own in enumerate(members):
+        at = np.searchsorted(union, own)
+        at[at == len(union)] = 0
+        matrix[row, at[union[at] == own]] = 1
+    return matrix
+
+
 def groups(texts: DataFrame, how: Join) -> DataFrame:
-    """Groups (:data:`GROUP`) of rows ``key``, ``set``, ``text``: of one key, at most ``members`` each.
+    """Groups (:data:`GROUP`) of rows ``key``, ``set``, ``z`` (the text): of one key, at most ``members`` each.
 
     Rows are range-partitioned by key and set, so a key with most of the rows is cut over
     many tasks; sets that are equal are one member.  ``links`` are those inside the group.
     """
 
-    def build(names: list[int], members: list[np.ndarray]) -> tuple:
+    def build(names: list[int], members: list[np.ndarray], own_texts: list[bytes]) -> tuple:
         union = np.unique(np.concatenate(members))
-        bits = np.zeros((len(members), len(union)), bool)
-        for row, own in enumerate(members):
-            bits[row, np.searchsorted(union, own)] = True
-        sizes = np.array([len(m) for m in members])
         links: list[dict] = []
         if len(members) > 1:
-            floats = bits.astype(np.float32)
-            pairs = np.argwhere(np.triu(_similar(floats @ floats.T, sizes, sizes, how.percent), 1))
+            sizes = np.array([len(m) for m in members])
+            matrix = _matrix(members, union)
+            pairs = np.argwhere(np.triu(_similar(matrix @ matrix.T, sizes, sizes, how.percent), 1))
             links = [{"a": names[a], "b": names[b]} for a, b in _spanning(len(names), pairs)]
-        packed = np.packbits(bits, axis=1).tobytes()
-        return names[0], list(names), sizes.tolist(), int(sizes.min()), int(sizes.max()), union.astype("<u8").tobytes(), packed, links
+        lengths = [len(m) for m in members]
+        slots = (union >> np.uint64(48)).astype(_SLOT).tobytes()
+        texts = zstandard.compress(b"\n".join(own_texts), 1)
+        return names[0], list(names), min(lengths), max(lengths), slots, texts, links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
-            ("gid", pa.int64()), ("sets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("least", pa.int64()), ("most", pa.int64()),
-            ("tokens", pa.binary()), ("bits", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+            ("gid", pa.int64()), ("sets", pa.list_(pa.int64())), ("least", pa.int64()), ("most", pa.int64()),
+            ("slots", pa.binary()), ("texts", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
         ])
-        key, names, members = None, [], []
+        key, names, members, own_texts = None, [], [], []
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -255,8 +271,8 @@ def groups(texts: DataFrame, how: Join) -> DataFrame:
             return batch
 
         for batch in batches:
-            keys, sets_, texts_ = (batch.column(c).to_pylist() for c in range(3))
-            for first, part in wordhash.in_slices([wordhash.normal(t, True) for t in texts_]):
+            keys, sets_, z = (batch.column(c).to_pylist() for c in range(3))
+            for first, part in wordhash.in_slices([wordhash.normal(unpacked(t), True) for t in z]):
                 digests, owner = wordhash.shingle_sets(wordhash.Words(part), how.words)
                 _, given, _ = _set_names(digests, owner, len(part))
                 given = given.view(np.int64).tolist()
@@ -268,51 +284,85 @@ def groups(texts: DataFrame, how: Join) -> DataFrame:
                     if names and names[-1] == own_set and key == own_key:
                         continue
                     if names and (key != own_key or len(names) == how.members):
-                        out.append(build(names, members))
-                        names, members = [], []
+                        out.append(build(names, members, own_texts))
+                        names, members, own_texts = [], [], []
                     key = own_key
                     names.append(own_set)
                     members.append(digests[at[i] : at[i + 1]])
+                    own_texts.append(part[i])
                 if len(out) >= 500:
                     yield flush()
         if names:
-            out.append(build(names, members))
+            out.append(build(names, members, own_texts))
         if out:
             yield flush()
 
-    ordered = texts.select("key", "set", "text").repartitionByRange("key", "set").sortWithinPartitions("key", "set")
+    ordered = texts.select("key", "set", "z").repartitionByRange("key", "set").sortWithinPartitions("key", "set")
     return ordered.mapInArrow(run, GROUP)
 
 
+def _sides(pairs: DataFrame, all_groups: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (``x``, ``y``; written) with some columns of both groups.
+
+    Pairs are two numbers a row: where their measured size is small they go to the groups, so
+    that only groups that are in a pair are shuffled, once per pair.
+    """
+    small = sized(pairs)
+    both = None
+    for side in "xy":
+        own = all_groups.select(F.col("gid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).join(small, side)
+        both = own if both is None else both.join(own, ["x", "y"])
+    return both
+
+
+def qualifying(pairs: DataFrame, all_groups: DataFrame, how: Join) -> DataFrame:
+    """Pairs of groups (``x``, ``y``) whose unions overlap enough for two of their members to be similar.
+
+    A value of a slot that both unions have stands for at most the lesser of its two counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            least = np.maximum(batch.column("least_x").to_numpy(), batch.column("least_y").to_numpy())
+            for n, x, y in zip(least.tolist(), batch.column("slots_x").to_pylist(), batch.column("slots_y").to_pylist()):
+                (u, n_u), (v, n_v) = (np.unique(np.frombuffer(s, _SLOT), return_counts=True) for s in (x, y))
+                _, in_u, in_v = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+                keep.append(int(np.minimum(n_u[in_u], n_v[in_v]).sum()) >= _needed(n, how.percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in "xy"], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return _sides(pairs, all_groups, ["least", "slots"]).mapInArrow(run, "x bigint, y bigint")
+
+
 def opened(pairs: DataFrame, all_groups: DataFrame, how: Join) -> DataFrame:
     """Links (``a``, ``b``: sets) between members of the pairs of groups (``x``, ``y``)."""
 
+    def members(texts: bytes) -> list[np.ndarray]:
+        part = zstandard.decompress(texts).split(b"\n")
+        digests, owner = wordhash.shingle_sets(wordhash.Words(part), how.words)
+        at = _bounds(owner, len(part)).tolist()
+        return [digests[a:b] for a, b in zip(at, at[1:])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                u, v = (np.frombuffer(row[f"tokens_{s}"], "<u8") for s in "xy")
-                common, in_u, in_v = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-                # no member can have more in common with one of the other group
-                if len(common) < _needed(max(row["least_x"], row["least_y"]), how.percent):
+            rows = zip(*[batch.column(f"{c}_{s}").to_pylist() for c in ("sets", "texts", "links") for s in "xy"])
+            for sets_x, sets_y, texts_x, texts_y, links_x, links_y in rows:
+                a, b = members(texts_x), members(texts_y)
+                common = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+                if not len(common):
                     continue
-                n_u, n_v = np.array(row["sizes_x"]), np.array(row["sizes_y"])
-                a = np.unpackbits(np.frombuffer(row["bits_x"], np.uint8).reshape(len(n_u), -1), axis=1)[:, in_u]
-                b = np.unpackbits(np.frombuffer(row["bits_y"], np.uint8).reshape(len(n_v), -1), axis=1)[:, in_v]
-                near = np.argwhere(_similar(a.astype(np.float32) @ b.astype(np.float32).T, n_u, n_v, how.percent))
-                near[:, 1] += len(n_u)
-                names = row["sets_x"] + row["sets_y"]
-                out += [(names[i], names[j]) for i, j in _spanning(len(names), near)]
+                n_a, n_b = (np.array([len(m) for m in side]) for side in (a, b))
+                near = np.argwhere(_similar(_matrix(a, common) @ _matrix(b, common).T, n_a, n_b, how.percent))
+                near[:, 1] += len(a)
+                names = sets_x + sets_y
+                place = {name: n for n, name in enumerate(names)}
+                known = [(place[link["a"]], place[link["b"]]) for link in links_x + links_y]
+                out += [(names[i], names[j]) for i, j in _spanning(len(names), near, known)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], ["a", "b"])
 
-    columns = ("sets", "sizes", "least", "most", "tokens", "bits")
-    side = lambda s: all_groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
-    # groups whose sizes are too far apart are not even fetched
-    spans = lambda s: all_groups.select(F.col("gid").alias(s), F.col("least").alias(f"l_{s}"), F.col("most").alias(f"m_{s}"))
-    fits = pairs.join(spans("x"), "x").join(spans("y"), "y").filter(
-        (100 * F.col("m_x") >= how.percent * F.col("l_y")) & (100 * F.col("m_y") >= how.percent * F.col("l_x"))
-    )
-    return fits.select("x", "y").join(side("x"), "x").join(side("y"), "y").mapInArrow(run, "a bigint, b bigint")
+    enough = written(qualifying(pairs, all_groups, how))
+    return _sides(enough, all_groups, ["sets", "texts", "links"]).mapInArrow(run, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -330,31 +380,55 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
     meeting = shared.select("set").distinct()
     stands = described.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
     stands = stands.join(meeting, "set")
-    texts = docs.join(stands, docs["doc_id"].eqNullSafe(stands["rep"])).select("key", "set", "text")
+    small = squeezed(docs).withColumnRenamed("c0", "doc_id")
+    texts = small.join(stands, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "set", "z")
     all_groups = written(groups(texts, how))
-    member = all_groups.select("gid", F.explode("sets").alias("set"))
-    lists = written(shared.join(member, "set").select("token", "gid", "set"))
-    pivots = lists.groupBy("token").agg(F.min("gid").alias("p"), F.max("gid").alias("q")).filter("p <> q")
-    first = lists.select("token", "gid").distinct().join(pivots, "token").select("gid", F.explode(F.array("p", "q")).alias("pivot"))
-    tested = written(
-        first.filter("gid <> pivot").select(F.least("gid", "pivot").alias("x"), F.greatest("gid", "pivot").alias("y")).distinct()
-    )
-    links = written(
-        all_groups.select(F.explode("links").alias("l")).select("l.a", "l.b").union(opened(tested, all_groups, how))
-    )
-    found = written(components(links))
-    # lists whose sets are still apart: every two of their groups that have not met
-    apart = lists.join(found, lists["set"] == found["node"], "left").select(
-        "token", "gid", F.coalesce("component", "set").alias("component")
-    ).distinct()
-    torn = apart.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    apart = apart.join(torn, "token")
-    other = apart.select("token", F.col("gid").alias("y"), F.col("component").alias("other"))
-    rest = apart.withColumnRenamed("gid", "x").join(other, "token").filter("x < y and component <> other").select("x", "y").distinct()
-    rest = written(rest.join(tested, ["x", "y"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.union(written(opened(rest, all_groups, how)))
-        found = written(components(links))
+    member = all_groups.select("gid", "least", "most", F.explode("sets").alias("set"))
+    lists = written(shared.join(member, "set").select("token", "gid", "least", "most", "set"))
+    links = all_groups.select(F.explode("links").alias("l")).select("l.a", "l.b")
+    tested = found = None
+    for turn in range(how.rounds + 1):
+        # what is still apart in each list of groups that share a shingle
+        apart = lists.select("token", "gid", "least", "most", F.col("set").alias("component"))
+        if found is not None:
+            known = lists.join(found, lists["set"] == found["node"], "left")
+            apart = known.select("token", "gid", "least", "most", F.coalesce("component", "set").alias("component"))
+        apart = apart.distinct()
+        torn = apart.groupBy("token").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            *[F.min_by(F.struct("gid", "least", "most", "component"), F.xxhash64("gid", F.lit(2 * turn + k))).alias(f"p{k}") for k in range(2)],
+        ).filter("low <> high")
+        if turn < how.rounds:  # every group of a list meets two of them
+            pivots = torn.select("token", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select(
+                "token", F.col("p.gid").alias("other"), F.col("p.least").alias("o_least"), F.col("p.most").alias("o_most"), F.col("p.component").alias("o_component")
+            )
+        else:  # every two groups of a list that are still apart
+            pivots = apart.join(torn.select("token"), "token").select(
+                "token", F.col("gid").alias("other"), F.col("least").alias("o_least"), F.col("most").alias("o_most"), F.col("component").alias("o_component")
+            )
+        # groups whose sizes are too far apart, or whose members are known to belong together, need not meet
+        fits = (100 * F.col("most") >= how.percent * F.col("o_least")) & (100 * F.col("o_most") >= how.percent * F.col("least"))
+        once = F.col("gid") < F.col("other") if turn == how.rounds else F.col("gid") != F.col("other")
+        met = apart.join(pivots, "token").filter(fits & once & (F.col("component") != F.col("o_component")))
+        pairs = met.select(F.least("gid", "other").alias("x"), F.greatest("gid", "other").alias("y")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+        pairs = written(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        more = opened(pairs, all_groups, how)
+        if found is None:
+            found = written(components(links.union(more)))
+            continue
+        # links between components that are known already: few, and what they join is renamed
+        for side in "ab":
+            more = more.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+        more = written(more.select(*[F.coalesce(f"c_{s}", s).alias(s) for s in "ab"]).filter("a <> b").distinct())
+        if more.limit(1).count():
+            renamed = written(components(more)).select(F.col("node").alias("old"), F.col("component").alias("new"))
+            old = found.join(renamed, found["component"] == renamed["old"], "left")
+            old = old.select("node", F.coalesce("new", "component").alias("component"))
+            alone = renamed.join(found, renamed["old"] == found["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+            found = written(old.union(alone))
     names = described.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
     of_set = names.join(found, names["set"] == found["node"], "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     of_set = written(of_set)
