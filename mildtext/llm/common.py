@@ -36,6 +36,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: a task holds the Python strings of one at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def squeezed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the text as ``z`` (binary, null stays null): before a shuffle, a text should be small.
 
@@ -47,7 +54,7 @@ def squeezed(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in sliced(batches):
             z = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in range(len(fields)) if n != at], pa.array(z, pa.binary())], [*names, "z"]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mildtext.llm import wordhash
 from mildtext.llm.common import opened as unpacked
-from mildtext.llm.common import squeezed, written
+from mildtext.llm.common import sliced, squeezed, written
 from mildtext.llm.components import components
 from mildtext.session import sized
 
@@ -71,7 +71,7 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for _, texts in wordhash.in_slices([wordhash.normal(t, True) for t in batch.column(0).to_pylist()]):
                 digests, _ = wordhash.shingle_sets(wordhash.Words(texts), how.words)
                 slot, n = np.unique((digests >> shift).astype(np.int64), return_counts=True)
@@ -115,7 +115,7 @@ def sets(docs: DataFrame, levels: np.ndarray, how: Join) -> DataFrame:
     shift = np.uint64(64 - how.sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_all, set_all, key_all, prefixes = [], [], [], []
             for _, texts in wordhash.in_slices([wordhash.normal(t, True) for t in batch.column(1).to_pylist()]):
                 digests, owner = wordhash.shingle_sets(wordhash.Words(texts), how.words)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.llm import wordhash
-from mildtext.llm.common import written
+from mildtext.llm.common import sliced, written
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ def _described(docs: DataFrame, how: Spans) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             digest, anchors, passages, n = [], [], [], []
             for _, texts in wordhash.in_slices([wordhash.normal(t) for t in batch.column(1).to_pylist()]):
                 found = Passages(texts, how)
@@ -244,7 +244,7 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             digests = [_digests(wordhash.Words(part)) for _, part in wordhash.in_slices([wordhash.normal(t) for t in texts])]
             digest = np.concatenate(digests) if digests else np.zeros(0, np.uint64)
@@ -271,7 +271,7 @@ def _passages(texts: DataFrame, how: Spans) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()  # references that this task has sent
-        for batch in batches:
+        for batch in sliced(batches):
             rows, owns = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             normals = [wordhash.normal(_open(z)) for z in batch.column(1).to_pylist()]
             for start, part in wordhash.in_slices(normals):
@@ -388,7 +388,7 @@ def remove(docs: DataFrame, how: Spans = Spans(), id_col: str = "doc_id", text_c
     whole = joined(_packed(docs, text_col), f"c{at[id_col]}", marks, "left").select(*columns, "z", "repeated", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [_open(z) for z in batch.column("z").to_pylist()]
             repeated_all, spans_all = batch.column("repeated").to_pylist(), batch.column("spans").to_pylist()
             n_words, n_removed, out = [], [], []

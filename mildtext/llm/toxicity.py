@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mildtext.llm.common import sliced
+
 # Greek, Cyrillic and other letters that look like the Latin letter below them.
 _ALIKE = str.maketrans({
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
@@ -162,7 +164,7 @@ def _counted(rows: DataFrame, keys_of, parts: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in sliced(batches):
             for toxic, text in zip(*[batch.column(c).to_pylist() for c in ("toxic", "text")]):
                 counts[toxic].update(keys_of(fold(text or "")))
         keys = list(counts[0] | counts[1])
@@ -256,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Training = Training()) ->
         names = ["density", "weight", "hits", "words"]
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 found = [model.features(fold(t or "")) for t in batch.column("text").to_pylist()]
                 columns = list(zip(*found)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
@@ -285,7 +287,7 @@ def score(docs: DataFrame, model: Model, settings: Training = Training(), text_c
     names = [f"c{n}" for n in range(len(kept))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [model.score(t) for t in batch.column(len(kept)).to_pylist()]
             flags = [int(s >= settings.threshold) for s in scores]
             columns = [*batch.columns[: len(kept)], pa.array(scores, pa.float64()), pa.array(flags, pa.int32())]
@@ -303,7 +305,7 @@ def without_toxic(docs: DataFrame, model: Model, settings: Training = Training()
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [model.score(t) < settings.threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
