@@ -176,14 +176,14 @@ def _described(docs: DataFrame, how: Spans) -> DataFrame:
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(n))]), pa.int32())
             lists = [
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(anchors).view(np.int64))),
-                # beside the anchor, half the digest is enough
-                pa.ListArray.from_arrays(offsets, pa.array((np.concatenate(passages) >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                # the whole digest: one anchor can have millions of passages, and nothing compares their words afterwards
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(passages).view(np.int64))),
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(digest).view(np.int64)), *lists], ["id", "digest", "a", "c"]
             )
 
-    rows = docs.mapInArrow(run, f"id {kind}, digest bigint, a array<bigint>, c array<int>")
+    rows = docs.mapInArrow(run, f"id {kind}, digest bigint, a array<bigint>, c array<bigint>")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -232,8 +232,8 @@ def _states(described: DataFrame, how: Spans) -> DataFrame:
         for start in range(0, int(keep.sum()), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[start : start + 100_000]) for x in columns], ["a", "c", "state", "heavy"])
 
-    counted = described.select("a", "c").mapInArrow(count, "a bigint, c int, n bigint")
-    return counted.repartition("a").mapInArrow(decide, "a bigint, c int, state int, heavy boolean")
+    counted = described.select("a", "c").mapInArrow(count, "a bigint, c bigint, n bigint")
+    return counted.repartition("a").mapInArrow(decide, "a bigint, c bigint, state int, heavy boolean")
 
 
 def _packed(docs: DataFrame, text_col: str) -> DataFrame:

@@ -81,6 +81,17 @@ def test_null_and_repeated_ids(spark):
     assert substring.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_of_equal_upper_digest_halves_stay(spark):
+    tail = " ".join(f"v{i}" for i in range(34))
+    pairs = [(114720, 201989), (135048, 7006), (238126, 145204)]
+    texts = [f"u{n} {tail}" for pair in pairs for n in pair]
+    found = substring.Passages([t.encode() for t in texts], substring.Spans())
+    assert len(set((found.digest >> 32).tolist())) == 3 and len(set(found.digest.tolist())) == 6 and len(set(found.anchor.tolist())) == 1
+    for given in (texts[:2], texts, texts + [texts[0]]):
+        df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+        check(substring.remove(df).collect(), given, 35)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
