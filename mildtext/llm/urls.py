@@ -18,6 +18,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mildtext.llm.common import written
+
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,14 +30,13 @@ class Mining:
 
     ``min_support`` and ``min_confidence`` prune rules.  ``items`` bounds the vocabulary
     of the mining and ``url_items`` the tokens of one URL in it, for combinations grow as
-    2 to its power; both hold for the mining alone.  ``rules`` bounds the index.
+    2 to its power; both hold for the mining alone.
     """
 
     min_support: float = 0.002
     min_confidence: float = 0.9
     items: int = 256
     url_items: int = 10
-    rules: int = 5_000
 
 
 def host(url: Column) -> Column:
@@ -99,9 +100,9 @@ def mine(labelled: DataFrame, settings: Mining = Mining()) -> list[tuple[frozens
         F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == BLOCK).cast("long")).alias("blocked")
     )
     total, blocked = rows.agg(F.count(F.lit(1)), F.sum((F.col("verdict") == BLOCK).cast("long"))).first()
-    if not total:
-        return []
     needed = max(2, math.ceil(settings.min_support * total))
+    if total < needed:
+        return []
     # tokens that tell most about the verdict; there are at most 1/min_support per token of a URL
     gain = F.abs(F.col("blocked") - F.col("n") * F.lit(blocked / total)) / F.sqrt("n")
     ranked = counts.filter(F.col("n") >= needed).orderBy(gain.desc(), "token").limit(settings.items).collect()
@@ -114,25 +115,31 @@ def mine(labelled: DataFrame, settings: Mining = Mining()) -> list[tuple[frozens
         ).alias("items")
     )
     # equal baskets are many: FP-growth merges them in its trees
-    model = FPGrowth(minSupport=needed / total, minConfidence=settings.min_confidence).fit(baskets)
-    found = (
-        model.associationRules.filter(F.col("consequent")[0].startswith("verdict:"))
-        .filter(~F.exists("antecedent", lambda t: t.startswith("verdict:")))
-        .select("antecedent", F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence",
-                F.round(F.col("support") * total).cast("long").alias("n"))
-        .orderBy(F.desc("confidence"), F.desc("n"), F.size("antecedent"), F.array_sort("antecedent"))
-        .limit(settings.rules)
-        .collect()
+    model = FPGrowth(minSupport=(needed - 0.5) / total, minConfidence=settings.min_confidence).fit(baskets)
+    mark = F.filter("items", lambda t: t.startswith("verdict:"))
+    sets = written(
+        model.freqItemsets.select(
+            F.array_sort(F.array_except("items", mark)).alias("own"),
+            F.substring_index(F.get(mark, 0), ":", -1).alias("verdict"), F.col("freq").alias("n"),
+        ).filter(F.size("own") > 0)
+    )
+    of = sets.filter("verdict is null").select("own", F.col("n").alias("of"))
+    sure = F.col("n") / F.col("of") >= settings.min_confidence
+    kept = pruned(written(sets.filter("verdict is not null").join(of, "own").filter(sure))).collect()
+    rules = [(frozenset(r["own"]), r["verdict"], r["n"] / r["of"], r["n"]) for r in kept]
+    return sorted(rules, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0])))
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """``rules`` (``own``: sorted tokens, ``verdict``, ``n`` of ``of`` URLs) without those that a rule
+    of the same verdict and one token less is as sure as."""
+    shorter = rules.filter(F.size("own") > 1).select(
+        "own", "verdict", "n", "of", F.explode(F.transform("own", lambda t: F.array_except("own", F.array(t)))).alias("less")
     )
-    rules: list[tuple[frozenset[str], str, float, int]] = []
-    general: dict[frozenset[str], str] = {}
-    for r in found:
-        own = frozenset(r["antecedent"])
-        # a more general rule of the same verdict came before and is as sure
-        if not any(general.get(own - {t}) == r["verdict"] for t in own):
-            rules.append((own, r["verdict"], r["confidence"], r["n"]))
-        general[own] = r["verdict"]
-    return rules
+    general = rules.select(F.col("own").alias("less"), F.col("verdict").alias("g_verdict"), F.col("n").alias("g_n"), F.col("of").alias("g_of"))
+    as_sure = (F.col("verdict") == F.col("g_verdict")) & (F.col("g_n") * F.col("of") >= F.col("n") * F.col("g_of"))
+    redundant = shorter.alias("s").join(general.alias("g"), (F.col("s.less") == F.col("g.less")) & as_sure, "left_semi")
+    return rules.join(redundant.select("own", "verdict").distinct(), ["own", "verdict"], "left_anti")
 
 
 class Index:

@@ -74,6 +74,19 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert urls.mine(df.limit(0)) == []
 
 
+def test_sure_rules_leave_room_for_less_sure_ones(spark):
+    rows = [(f"http://s{i}.k{i}.x/" + "/".join(f"{c}{'z' * i}" for c in "abcdef"), "allow") for i in range(8) for _ in range(30)]
+    rows += [("http://n.y.w/q", "block")] * 19 + [("http://n.y.w/q", "allow")]
+    rules = urls.mine(spark.createDataFrame(rows, "url string, verdict string"))
+    found = {r[0]: r[1:] for r in rules}
+    assert len(found) == len(rules)
+    for token in ("host:n", "host:y", "host:w", "site:y.w", "path:q"):
+        assert found[frozenset([token])] == ("block", 0.95, 19)
+    for own in found:  # no superset of a rule that is as sure
+        assert not any(other < own and found[other][0] == found[own][0] and found[other][1] >= found[own][1] for other in found)
+    assert urls.Index(rules).verdict({"host:n", "path:other"}) == "block"
+
+
 def test_undecided_urls_by_mined_rules(spark):
     rows = [(i, f"http://spam-farm.x.net/{i}/{s}") for i, s in enumerate("abcdefgh")]
     rows += [(100 + i, f"http://good.example.net/en/{s}") for i, s in enumerate("abcdefgh")]
