@@ -12,6 +12,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -28,15 +29,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Mining:
     """Parameters of the mining.
 
-    ``min_support`` and ``min_confidence`` prune rules.  ``items`` bounds the vocabulary
-    of the mining and ``url_items`` the tokens of one URL in it, for combinations grow as
-    2 to its power; both hold for the mining alone.
+    ``min_support`` and ``min_confidence`` prune rules; nothing else bounds them.  Combinations
+    grow as 2 to the power of the tokens that go together in ``min_support`` of the URLs, not
+    counting tokens of one verdict only, and counting tokens of the same URLs once.
     """
 
     min_support: float = 0.002
     min_confidence: float = 0.9
-    items: int = 256
-    url_items: int = 10
 
 
 def host(url: Column) -> Column:
@@ -94,26 +93,39 @@ def mine(labelled: DataFrame, settings: Mining = Mining()) -> list[tuple[frozens
     Best first: by confidence, support, then tokens.  Null URLs and verdicts are left out;
     no labelled URLs: no rules.
     """
-    rows = labelled.filter("url is not null and verdict is not null").select("verdict", tokens(F.col("url")).alias("own"))
-    each = rows.select("verdict", F.explode("own").alias("token"))
-    counts = each.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == BLOCK).cast("long")).alias("blocked")
+    rows = labelled.filter("url is not null and verdict is not null").select(
+        F.monotonically_increasing_id().alias("row"), "verdict", tokens(F.col("url")).alias("own")
     )
-    total, blocked = rows.agg(F.count(F.lit(1)), F.sum((F.col("verdict") == BLOCK).cast("long"))).first()
+    total = rows.count()
     needed = max(2, math.ceil(settings.min_support * total))
     if total < needed:
         return []
-    # tokens that tell most about the verdict; there are at most 1/min_support per token of a URL
-    gain = F.abs(F.col("blocked") - F.col("n") * F.lit(blocked / total)) / F.sqrt("n")
-    ranked = counts.filter(F.col("n") >= needed).orderBy(gain.desc(), "token").limit(settings.items).collect()
-    order = [r["token"] for r in ranked]
-    vocabulary = F.array(*[F.lit(t) for t in order]) if order else F.array().cast("array<string>")
-    baskets = rows.select(
-        F.concat(
-            F.slice(F.array_intersect(vocabulary, F.col("own")), 1, settings.url_items),
-            F.array(F.concat(F.lit("verdict:"), "verdict")),
-        ).alias("items")
+    # at most tokens of a URL / min_support; ``urls`` is equal for tokens of the same URLs
+    by_verdict = rows.select("row", "verdict", F.explode("own").alias("token")).groupBy("token", "verdict").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit("y"))).alias("y")
     )
+    counts = by_verdict.groupBy("token").agg(
+        F.sum("n").alias("of"), F.max("n").alias("n"), F.max_by("verdict", "n").alias("verdict"),
+        F.sort_array(F.collect_list(F.struct("verdict", "n", "x", "y"))).alias("urls"),
+    )
+    rules: list[tuple[frozenset[str], str, float, int]] = []
+    same: dict[tuple, list[str]] = defaultdict(list)
+    for r in counts.filter(F.col("n") >= needed).collect():
+        if r["n"] == r["of"]:  # always one verdict: all rules with more tokens are redundant
+            rules.append((frozenset([r["token"]]), r["verdict"], 1.0, r["n"]))
+        else:
+            same[tuple(map(tuple, r["urls"]))].append(r["token"])
+    # two tokens of the same URLs in one rule are redundant; one stands for all of them
+    classes = {min(own): own for own in same.values()}
+    stands = {t: name for name, own in classes.items() for t in own}
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdicts, all_own = (batch.column(c).to_pylist() for c in ("verdict", "own"))
+            items = [[*sorted({stands[t] for t in own if t in stands}), "verdict:" + v] for v, own in zip(verdicts, all_own)]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], ["items"])
+
+    baskets = rows.select("verdict", "own").mapInArrow(shortened, "items array<string>")
     # equal baskets are many: FP-growth merges them in its trees
     model = FPGrowth(minSupport=(needed - 0.5) / total, minConfidence=settings.min_confidence).fit(baskets)
     mark = F.filter("items", lambda t: t.startswith("verdict:"))
@@ -126,7 +138,8 @@ def mine(labelled: DataFrame, settings: Mining = Mining()) -> list[tuple[frozens
     of = sets.filter("verdict is null").select("own", F.col("n").alias("of"))
     sure = F.col("n") / F.col("of") >= settings.min_confidence
     kept = pruned(written(sets.filter("verdict is not null").join(of, "own").filter(sure))).collect()
-    rules = [(frozenset(r["own"]), r["verdict"], r["n"] / r["of"], r["n"]) for r in kept]
+    for r in kept:
+        rules += [(frozenset(own), r["verdict"], r["n"] / r["of"], r["n"]) for own in product(*[classes[t] for t in r["own"]])]
     return sorted(rules, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0])))
 
 

@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter, defaultdict
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -87,6 +89,52 @@ def test_sure_rules_leave_room_for_less_sure_ones(spark):
     assert urls.Index(rules).verdict({"host:n", "path:other"}) == "block"
 
 
+def brute_rules(own, needed, least):
+    """All rules of at least that support and confidence that none with one token less is as sure as."""
+    counts = defaultdict(Counter)
+    for tokens, verdict in own:
+        for k in range(1, len(tokens) + 1):
+            for items in combinations(sorted(tokens), k):
+                counts[items][verdict] += 1
+    sure = {(i, v): (n / c.total(), n) for i, c in counts.items() for v, n in c.items() if n >= needed and n / c.total() >= least}
+    return {
+        (frozenset(i), v, c, n)
+        for (i, v), (c, n) in sure.items()
+        if not any(sure.get((i[:k] + i[k + 1 :], v), (0,))[0] >= c for k in range(len(i)))
+    }
+
+
+def test_whole_urls_are_mined(spark):
+    pick = random.Random(4)
+    rows = []
+    for _ in range(300):
+        keys = [k for k in "abcdefgh" if pick.random() < 0.6] + (["x", "y"] if pick.random() < 0.5 else [])
+        bad = ("a" in keys and "h" in keys) != (pick.random() < 0.06)
+        url = f"http://{pick.choice('st')}.w.v/p?" + "&".join(f"{k}=1" for k in keys) + pick.choice(["", "#f"])
+        rows.append((url, "block" if bad else "allow"))
+    rows += [(f"http://only.u/{n}", "allow") for n in "1234567"]
+    df = spark.createDataFrame(rows, "url string, verdict string")
+    own = [(set(t), v) for t, v in df.select(urls.tokens(F.col("url")), "verdict").collect()]
+    assert max(len(t) for t, _ in own) > 14
+    for settings in (urls.Mining(0.02, 0.9), urls.Mining(0.1, 0.3)):
+        rules = urls.mine(df, settings)
+        want = brute_rules(own, settings.min_support * len(rows), settings.min_confidence)
+        assert len(rules) == len(want) and set(rules) == want
+        assert rules == sorted(rules, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0])))
+
+
+def test_many_tokens(spark):
+    letters = "abcdefghijklmnopqrst"
+    words = ["w" + a + b for a in letters for b in letters]
+    rows = [(f"http://h/{w}", "block" if i % 2 else "allow") for i, w in enumerate(words) for _ in range(2)]
+    long = ["l" + a + b for a in "ab" for b in letters]
+    rows += [("http://h/" + "/".join(long), v) for v in ["block"] * 18 + ["allow"]]
+    found = {r[0]: r[1] for r in urls.mine(spark.createDataFrame(rows, "url string, verdict string"))}
+    want = {w: "block" if i % 2 else "allow" for i, w in enumerate(words)} | dict.fromkeys(long, "block")
+    assert found == {frozenset(["path:" + w]): v for w, v in want.items()}
+    assert urls.mine(spark.createDataFrame(rows[:1], "url string, verdict string")) == []
+
+
 def test_undecided_urls_by_mined_rules(spark):
     rows = [(i, f"http://spam-farm.x.net/{i}/{s}") for i, s in enumerate("abcdefgh")]
     rows += [(100 + i, f"http://good.example.net/en/{s}") for i, s in enumerate("abcdefgh")]
