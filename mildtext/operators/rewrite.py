@@ -281,7 +281,7 @@ def flagged_tokens(df: DataFrame, lexicon: DataFrame, id_col: str, match: str, t
     hits = flagged.select(*keys, F.lit(True).alias("hit"))
     # only flagged tokens find a partner, so their counts alone decide what is hot
     marked = lookup(tokens, hits, keys, ["hit"], flagged, ["id", "token"])
-    return marked.filter("hit").groupBy(F.col("id").alias("__id")).agg(F.collect_list("token").alias("__flagged"))
+    return marked.filter("hit").groupBy(F.col("id").alias("__id")).agg(F.collect_set("token").alias("__flagged"))
 
 
 # --- rewriting by sets in the tasks ------------------------------------------
@@ -350,8 +350,11 @@ def _with_hits(df: DataFrame, lexicon: DataFrame, id_col: str, match: str, text:
     if size <= LEXICON_BYTES:
         matchers = scoped_matchers(collect_terms(lexicon), collect_terms(extra) if extra is not None else {}, match)
         return df, _by_scope(matchers), F.col(f"`{lang}`")
-    hits = flagged_tokens(df, lexicon, id_col, match, text, lang, keep_marks, extra)
-    found = df.join(hits, F.col(f"`{id_col}`") == F.col("__id"), "left")
+    # ids may be null or repeat; equal id, language and text have equal hits (nulls are left out of the JSON)
+    own = [F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate((id_col, lang, text))]
+    df = df.withColumn("__key", F.md5(F.to_json(F.struct(*own)).cast("binary")))
+    hits = flagged_tokens(df, lexicon, "__key", match, text, lang, keep_marks, extra)
+    found = df.join(hits, F.col("__key") == F.col("__id"), "left")
     return found, _in_flagged, F.col("__flagged")
 
 

@@ -176,3 +176,19 @@ def test_row_local_rewriting_streams(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).collect()[0]["prediction"] == "an here"
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_null_and_repeated_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(rw, "LEXICON_BYTES", limit)
+    lexicon = spark.createDataFrame([("en", "idiot"), ("es", "tonto")], "lang string, term string")
+    rows = [(None, "en", "you idiot there"), (None, "en", "you idiot there"), (1, "en", "idiot tonto one"), (1, "es", "idiot tonto one"),
+            (1, "en", "tonto two"), (1, "es", "idiot two"), (None, "es", "un tonto"), (2, "en", None), (3, "en", "")]
+    want = ["you there", "you there", "tonto one", "idiot one", "tonto two", "idiot two", "un", None, ""]
+    df = spark.createDataFrame(rows, "row_id long, lang string, text string")
+    got = rw.delete_terms(df, lexicon, "row_id", match="exact")
+    assert got.columns == ["row_id", "lang", "text", "prediction"]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(((*r, w) for r, w in zip(rows, want)), key=key)
+    counted = rw.count_flagged(df, lexicon, "row_id").groupBy().sum("n_flagged").first()[0]
+    assert counted == 5
