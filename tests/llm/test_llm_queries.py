@@ -1,4 +1,4 @@
-"""Registered queries next to their SQL."""
+"""Registered queries of the optional part next to their SQL."""
 
 import duckdb
 import pytest
