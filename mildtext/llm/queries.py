@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mildtext.llm import bpe, chat, jaccard, kdtree, packing, quality, secrets, substring, toxicity, urls
+from mildtext.llm import bpe, chat, exact, jaccard, kdtree, packing, quality, secrets, substring, toxicity, urls
 from mildtext.llm.common import read
 
 
@@ -86,6 +86,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the row that stays of those with equal text."""
+    return exact.groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op5_toxicity": op5_toxicity,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -169,4 +175,12 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 5
     """,
+    "op13_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS kept, sha256(text) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY text)
+    """,
 }
