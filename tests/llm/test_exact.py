@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from mildtext.llm import exact
@@ -71,11 +73,9 @@ def test_golomb_code(n, top):
 
 def test_suspects_hold_all_copies(spark):
     way = exact.Exchange(10, 3)
-    import pyarrow as pa
-
     chunks = [pa.table({"chunk": pa.array([c] * 3, pa.int32()), "place": pa.array([0, 1, 2], pa.int32()),
                         "fingerprint": pa.array(f, pa.int64())}) for c, f in enumerate([[1 << 60, -5, 7 << 50], [9 << 55, -5, 3 << 58]])]
     sent = pa.concat_tables([way.send(c) for c in chunks])
-    answers = pa.concat_tables([way.answer(sent.filter(pa.compute.equal(sent["owner"], o))) for o in set(sent["owner"].to_pylist())])
-    got = [way.receive(c, answers.filter(pa.compute.equal(answers["chunk"], n))).column("suspects").to_pylist() for n, c in enumerate(chunks)]
+    answers = pa.concat_tables([way.answer(sent.filter(pc.equal(sent["owner"], o))) for o in set(sent["owner"].to_pylist())])
+    got = [way.receive(c, answers.filter(pc.equal(answers["chunk"], n))).column("suspects").to_pylist() for n, c in enumerate(chunks)]
     assert got == [[[2]], [[2]]]
