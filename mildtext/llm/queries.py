@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mildtext.llm import bpe, chat, exact, jaccard, kdtree, packing, periods, quality, secrets, substring, toxicity, urls
+from mildtext.llm import bpe, chat, exact, jaccard, kdtree, packing, periods, quality, secrets, structure, substring, toxicity, urls
 from mildtext.llm.common import read
 
 
@@ -86,6 +86,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired by the cheapest edits."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure.digests(structure.repair(structure.damage(turns)), turns)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents, one in ten of which is made periodic first."""
     return periods.digests(periods.collapse(periods.plant(read(spark, sf_dir, "documents"))))
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
