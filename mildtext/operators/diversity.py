@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mildtext.functions import scores as sc
 from mildtext.functions import text as tx
+from mildtext.operators import kmeans
 from mildtext.operators.quota import random_sample
 from mildtext.session import materialize, shared
 
 
-def fit_clusters(df: DataFrame, k: int, vector: str = "embedding", seed: int = 42, n_init: int = 10,
-                 max_iter: int = 300) -> KMeansModel:
-    """Best of ``n_init`` K-means fits by training cost.
-
-    A fit holds the vectors in the executors for its steps, and reads them again for what
-    it loses; ``df`` should be a table that is cheap to read, as a written one is.  A step shares
-    k centroids and combines partial sums per task.
-    """
-    vectors = df.select(array_to_vector(F.col(vector)).alias("features"))
-    best = None
-    for attempt in range(n_init):
-        model = KMeans(k=k, seed=seed + attempt, maxIter=max_iter).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
-
-def assign_clusters(df: DataFrame, model: KMeansModel, vector: str = "embedding") -> DataFrame:
-    """Adds ``cluster`` and ``dist``, the distance to the centroid of the cluster.
-
-    The centroids, k rows by construction, are shared with every task.
-    """
-    centres = df.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster int, centre array<double>",
-    )
-    marked = model.transform(df.withColumn("features", array_to_vector(F.col(vector))))
-    return (
-        marked.withColumnRenamed("prediction", "cluster")
-        .join(F.broadcast(centres), "cluster")
-        .withColumn("dist", sc.euclidean(vector_to_array("features"), F.col("centre")))
-        .drop("features", "centre")
-    )
-
-
 def assign_given(df: DataFrame, centres: list[tuple[int, list[float]]], vector: str = "embedding") -> DataFrame:
     """Adds ``cluster`` and ``dist`` by given centroids, (number, vector) each; ties go to the lower number.
 
@@ -130,6 +95,30 @@ def top_up(df: DataFrame, selected: DataFrame, missing: int, id_col: Ids, seed:
     )
 
 
+def cluster_samples(df: DataFrame, fits: kmeans.Fits, ids: list[str], vector: str, group: str | None = None) -> DataFrame:
+    """``ids``, ``grp`` (as text; of one name without ``group``) and ``size``: for every group and size, that many
+    rows near the centres of as many clusters, or all rows of a group that has no more.
+
+    Every centre in turn takes the nearest row that is not taken yet.  Where rows repeat, there may be
+    fewer centres than ``size``; rows in seeded order fill up.  All groups, sizes and restarts are fitted
+    together.  ``vector`` holds whole numbers; rows without one only fill up.  ``ids`` that repeat in a
+    group are refused.
+    """
+    points = kmeans.points_of(df, ids, vector, group, fits.seed)
+    rows = points.select(*ids, "grp")
+    require_named(rows, [*ids, "grp"])
+    chosen = materialize(kmeans.chosen_rows(kmeans.near_rows(points, ids, kmeans.fit(points, fits)), ids))
+    # the first rows in seeded order, as many as a sample has, hold enough that are not chosen
+    order = Window.partitionBy("grp").orderBy(tx.seeded_hash(fits.seed, *map(F.col, ids)), *ids)
+    first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(fits.sizes))
+    sized = first.withColumn("size", F.explode(F.array(*map(F.lit, fits.sizes)))).filter("rank <= size")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*ids, "grp", "size"]]
+    free = sized.alias("s").join(F.broadcast(chosen).alias("c"), same, "left_anti").withColumn("chosen", F.lit(1))
+    both = chosen.withColumns({"chosen": F.lit(0), "rank": F.lit(0)}).unionByName(free)
+    place = F.row_number().over(Window.partitionBy("grp", "size").orderBy("chosen", "rank", *ids))
+    return both.withColumn("place", place).filter("place <= size").select(*ids, "grp", "size")
+
+
 def diversity_sample(
     df: DataFrame,
     n: int,
@@ -139,25 +128,27 @@ def diversity_sample(
     n_init: int = 10,
     group: str = "lang",
 ) -> DataFrame:
-    """``n`` rows near the centroids of n clusters, or all rows if there are no more than n.
+    """``n`` rows near the centres of n clusters, or all rows if there are no more than n.
 
-    Takes the nearest row inside each cluster; empty clusters are topped up by a
-    seeded sample.  Without vectors the whole subset is such a sample per ``group``.
-    ``id_col``, one column or several, must name a row; ids that repeat are refused, for
-    no number of rows could then be kept.
+    Without vectors the whole subset is a seeded sample per ``group``.  ``id_col``, one column
+    or several, must name a row; ids that repeat are refused, for no number of rows could then be kept.
     """
     ids = _listed(id_col)
-    repeated = df.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
-    if repeated.count():
-        raise ValueError(f"rows with equal {', '.join(ids)}: name them by more columns")
     if vector is None or vector not in df.columns:
+        require_named(df, ids)
         return random_sample(df, n, seed, ids, group)
-    if df.select(*ids).limit(n + 1).count() <= n:
+    chosen = cluster_samples(whole_numbers(df.select(*ids, vector), vector), kmeans.Fits((n,), n_init, seed=seed), ids, vector)
+    return df.join(shared(chosen.select(*ids)), ids, "left_semi")
+
+
+def require_named(df: DataFrame, ids: list[str]) -> None:
+    """Refuse ids that repeat."""
+    if df.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        raise ValueError(f"rows with equal {', '.join(ids)}: name them by more columns")
+
+
+def whole_numbers(df: DataFrame, vector: str) -> DataFrame:
+    """``vector`` in whole steps; one of whole numbers stays."""
+    if df.schema[vector].dataType.elementType.typeName() in ("integer", "short", "byte"):
         return df
-    model = fit_clusters(df, n, vector, seed, n_init)
-    near = nearest_rows(assign_clusters(df.select(*ids, vector), model, vector), "cluster", ids)
-    chosen = materialize(near.select(*ids))
-    missing = n - chosen.count()
-    if missing > 0:
-        chosen = chosen.unionByName(top_up(df, chosen, missing, ids, seed))
-    return df.join(shared(chosen), ids, "left_semi")
+    return df.withColumn(vector, kmeans.fixed(F.col(vector)))

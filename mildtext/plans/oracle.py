@@ -8,9 +8,12 @@ from __future__ import annotations
 import re
 
 from mildtext.functions.terms import BUILTIN_TERMS
+from mildtext.operators import kmeans, vectors
 from mildtext.operators.bootstrap import poisson_bounds
 from mildtext.plans import views as vw
-from mildtext.plans.queries import BOOTSTRAP_N, EVAL, PREP, SAMPLE, STEP_CLUSTERS, STEPS
+from mildtext.plans.queries import (
+    BOOTSTRAP_N, CLUSTERS, EVAL, FEW_SHOT_FITS, FEW_SHOT_STEPS, PREP, SAMPLE, STEP_CLUSTERS, STEPS,
+)
 
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
@@ -27,6 +30,71 @@ def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
 
 
+def trigrams(key: str, text: str, source: str) -> str:
+    """Signed trigram counts: ``key``, ``place``, ``n``; rows for places with trigrams only."""
+    number = f"(((unicode(c[i])::bigint * {vectors.BASE} + unicode(c[i + 1])) % {vectors.PRIME}) * {vectors.BASE} + unicode(c[i + 2])) % {vectors.PRIME}"
+    return f"""(select {key}, h % {vectors.WIDTH} place, sum(1 - 2 * (h // {vectors.WIDTH} % 2))::bigint n from (select {key}, {number} h from
+  (select {key}, c, unnest(range(1, len(c) - 1)) i from (select {key}, string_split(' ' || {collapse(f"lower({text})")} || ' ', '') c from {source}))) group by all)"""
+
+
+def whole_vectors(key: str, text: str, source: str, out: str) -> str:
+    """CTE ``out``: ``key`` and ``v``, the unit vector in whole steps as a list."""
+    return f"""
+{out}_n as materialized {trigrams(key, text, source)},
+{out} as materialized (select {key}, list(floor({vectors.SCALE} * coalesce(n, 0) / (case when s > 0 then sqrt(s) else 1.0 end))::double order by place) v from
+  (select t.{key}, g.place, n, sum(coalesce(n, 0) * coalesce(n, 0)) over (partition by t.{key})::double s
+   from (select {key} from {source}) t, (select unnest(range({vectors.WIDTH})) place) g left join {out}_n n on n.{key} = t.{key} and n.place = g.place) group by {key})"""
+
+
+def clusters(fits: kmeans.Fits, id_kind: str = "bigint") -> str:
+    """CTEs from ``pts`` (id, grp, h, v) to ``placed``: grp, k, id, cl, d by the centres of the best fit, and ``best``: grp, k, cl, v."""
+    def dist(a: str, b: str) -> str:
+        return f"(list_dot_product({a}, {a}) + list_dot_product({b}, {b}) - 2 * list_dot_product({a}, {b}))"
+
+    def nearest(name: str, centres: str, number: str) -> str:
+        return f"""
+{name} as materialized (select p.grp, c.f, c.k, p.id, p.h, c.{number}, {dist("p.v", "c.v")} d from pts p join {centres} c using (grp)
+  qualify row_number() over (partition by p.grp, c.f, p.id order by d, c.{number}) = 1)"""
+
+    turns = range(fits.rounds + 1)
+    rows = ", ".join(f"({n}, {k}, {', '.join(str(fits.factor(n, t)) for t in turns)})" for n, k in enumerate(fits.all()))
+    out = f"""
+fits(f, k, {", ".join(f"a{t}" for t in turns)}) as (values {rows}),
+t0 as materialized (select grp, f, k, 0 j, v from pts, fits
+  qualify row_number() over (partition by grp, f order by h % {kmeans.PRIME} * a0 % {kmeans.PRIME} + 1, h) = 1),"""
+    for t in turns[1:]:
+        out += nearest(f"n{t}", f"t{t - 1}", "j") + f""",
+t{t} as materialized (select * from t{t - 1} union all select grp, f, k, 1 + {t - 1} * k + r, v from
+  (select n.grp, n.f, n.k, p.v, row_number() over (partition by n.grp, n.f order by (n.h % {kmeans.PRIME} * a{t} % {kmeans.PRIME} + 1) / n.d, n.h) r
+   from n{t} n join fits using (f) join pts p using (grp, id) where n.d > 0) where r <= k),"""
+    last = turns[-1]
+    out += nearest("weighed", f"t{last}", "j") + f""",
+cand as materialized (select grp, f, k, j, v, coalesce(w, 0)::double w from t{last} left join (select grp, f, j, count(*) w from weighed group by all) using (grp, f, j)),
+pick as (
+  select 1 i, c.grp, c.f, c.k, c.j, c.w, {dist("c.v", "o.v")} sq, o.j picked from cand c join
+    (select * from cand qualify row_number() over (partition by grp, f order by w desc, j) = 1) o using (grp, f)
+  union all
+  select i + 1, s.grp, s.f, s.k, s.j, s.w, least(s.sq, {dist("c.v", "o.v")}), o.j from
+    (select *, first_value(j) over (partition by grp, f order by w * sq desc, j) nxt, max(w * sq) over (partition by grp, f) m from pick where i < k) s
+    join cand c on c.grp = s.grp and c.f = s.f and c.j = s.j join cand o on o.grp = s.grp and o.f = s.f and o.j = s.nxt where m > 0),
+c0 as materialized (select p.grp, p.f, p.k, i - 1 cl, c.v from (select distinct i, grp, f, k, picked from pick) p join cand c on c.grp = p.grp and c.f = p.f and c.j = p.picked),"""
+    for n in range(fits.steps):
+        out += nearest(f"a{n}", f"c{n}", "cl") + f""",
+m{n} as (select grp, f, cl, list(floor(x / n) order by d) v from (select grp, f, cl, d, sum(x) x, count(*) n from
+  (select a.grp, f, cl, unnest(p.v) x, generate_subscripts(p.v, 1) d from a{n} a join pts p using (grp, id)) group by all) group by all),
+c{n + 1} as materialized (select grp, f, k, cl, coalesce(m{n}.v, c{n}.v) v from c{n} left join m{n} using (grp, f, cl)),"""
+    return out + nearest("placed_all", f"c{fits.steps}", "cl") + f""",
+won as (select grp, k, f from (select grp, k, f, sum(d) cost from placed_all group by all) qualify row_number() over (partition by grp, k order by cost, f) = 1),
+placed as (select * from placed_all join won using (grp, k, f)),
+best as materialized (select c.* from c{fits.steps} c join won using (grp, k, f)),
+near as materialized (select grp, k, cl, id, {dist("p.v", "c.v")} d, row_number() over (partition by grp, k, cl order by d, h) place
+  from pts p join best c using (grp) qualify place <= k),
+took as (select grp, k, -1::bigint cl, []::{id_kind}[] taken from (select distinct grp, k from best)
+  union all select grp, k, n.cl, list_append(taken, id) from took join near n using (grp, k) where n.cl = took.cl + 1 and not list_contains(taken, id)
+    qualify row_number() over (partition by grp, k order by place) = 1),
+chosen as (select grp, k, unnest(taken) id from took qualify row_number() over (partition by grp, k order by took.cl desc) = 1)"""
+
+
 def clean(x: str) -> str:
     return rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_]', '', 'g')"
 
@@ -419,7 +487,7 @@ qualify row_number() over (partition by lang order by md5(concat_ws('|', '42', d
 select source, pair_id, lang, split, {padded(cut_ids("'detoxify: ' || toxic"))} input_ids,
 len({cut_ids("'detoxify: ' || toxic")})::bigint n_ids, {padded(cut_ids('neutral'), '-100')} labels from splitted"""
     q["prepare_few_shot"] = f"""with_ cleaned_sources as (select * from cleaned where source <> 'unanswered'), {by_source}
-select source, source_rank, pair_id, lang, n_shots from splitted, (values (5), (20)) s(n_shots)
+select source, source_rank, pair_id, lang, n_shots from splitted, (values {', '.join(f'({n})' for n in PREP.few_shot_sizes)}) s(n_shots)
 where split = 'train' and lang in ({', '.join(f"'{x}'" for x in PREP.target_langs)})
 qualify row_number() over (partition by lang, n_shots order by md5(concat_ws('|', '42', source_rank::varchar, pair_id::varchar)),
 source_rank, pair_id) <= n_shots"""
@@ -502,6 +570,29 @@ c{n + 1} as (select cluster, d, coalesce(m{n}.c, c{n}.c) c from c{n} left join m
     q["diversity_given"] = f"""with_ {steps}, near as (select vec_id from a{STEPS} qualify row_number() over
   (partition by cluster order by dist, vec_id) = 1) select * from near union all (select vec_id from embeddings
 where vec_id not in (select vec_id from near) order by md5(concat_ws('|', '42', vec_id::varchar)), vec_id limit {SAMPLE - STEP_CLUSTERS})"""
+    def digest(*ids: str) -> str:
+        return f"('0x' || substr(md5(concat_ws('|', '42', {', '.join(f'{i}::varchar' for i in ids)})), 1, 15))::bigint"
+
+    embedded = f"""pts as materialized (select vec_id id, '' grp, {digest("vec_id")} h,
+  [floor({vectors.SCALE} * x::double) for x in embedding] v from embeddings where embedding is not null),"""
+    q["kmeans_clusters"] = f"with_ {embedded}{clusters(CLUSTERS)} select id vec_id, cl::int cluster, round(sqrt(d) / {vectors.SCALE}, 4) dist from placed"
+    q["diversity_sample"] = f"""with_ {embedded}{clusters(kmeans.Fits((SAMPLE,)))} select vec_id, label from embeddings where vec_id in
+  (select id from (select id, 0 s from chosen union all select id, 1 from pts where id not in (select id from chosen)) join pts using (id)
+   order by s, md5(concat_ws('|', '42', id::varchar)), id limit {SAMPLE})"""
+    few = kmeans.Fits(PREP.few_shot_sizes, FEW_SHOT_FITS, FEW_SHOT_STEPS)
+    q["prepare_few_shot_vectors"] = f"""with_ cleaned_sources as (select * from cleaned where source <> 'unanswered'), {by_source},
+train as materialized (select source, source_rank, pair_id, lang, toxic, source_rank || '|' || pair_id id from splitted
+  where split = 'train' and lang in ({', '.join(f"'{x}'" for x in PREP.target_langs)})),{whole_vectors("id", "toxic", "train", "hashed")},
+pts as materialized (select id, lang grp, {digest("source_rank", "pair_id")} h, v from train join hashed using (id)),{clusters(few, "varchar")}
+select source, source_rank, pair_id, lang, k::bigint n_shots from
+  (select t.*, k, row_number() over (partition by lang, k order by c.id is null, md5(concat_ws('|', '42', source_rank::varchar, pair_id::varchar)),
+   source_rank, pair_id) r from (select * from train, (select distinct k from fits)) t left join chosen c using (id, k)) where r <= k"""
+    q["hashed_vectors"] = f"""with_ texts as (select doc_id, coalesce(text, '') "text" from documents), {whole_vectors("doc_id", '"text"', "texts", "hashed")}
+select doc_id, array_to_string([x::int for x in v], ',') vector from hashed"""
+    q["similarity_hashed"] = f"""with_ l as {trigrams("pair_id", "toxic", "parallel_filled")}, r as {trigrams("pair_id", "neutral", "parallel_filled")},
+met as (select pair_id, sum(coalesce(l.n, 0) * coalesce(r.n, 0))::double ab, sum(coalesce(l.n * l.n, 0))::double aa, sum(coalesce(r.n * r.n, 0))::double bb
+  from l full join r using (pair_id, place) group by pair_id)
+select pair_id, round(coalesce(case when aa > 0 and bb > 0 then ab / (sqrt(aa) * sqrt(bb)) end, 0.0), 6) sim from parallel_filled left join met using (pair_id)"""
     q["nearest_to_centroid"] = "select * from nearest"
     q["diversity_fill"] = f"""select vec_id from embeddings where vec_id not in (select vec_id from nearest)
 order by md5(concat_ws('|', '42', vec_id::varchar)), vec_id limit {SAMPLE}"""
@@ -562,7 +653,7 @@ def _finish(body: str) -> str:
         return sql(body)
     own = body[len("with_ "):].strip()
     head = sql(own)[: -len(own)]
-    return (head.rstrip() + ",\n" if head else "with ") + own
+    return ((head.rstrip() + ",\n" if head else "with ") + own).replace("with ", "with recursive " if "from took" in own else "with ", 1)
 
 
 ORACLE_SQL = build()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +18,13 @@ from mildtext.operators import (
     diversity,
     evaluate,
     grams,
+    kmeans,
     prepare,
     quota,
     reports,
     rewrite,
     score,
+    vectors,
 )
 from mildtext.operators import tokenize as tk
 from mildtext.plans import views as vw
@@ -41,6 +42,9 @@ SAMPLE = 50
 BOOTSTRAP_N = 1000
 STEP_CLUSTERS = 8
 STEPS = 2
+CLUSTERS = kmeans.Fits((10,), restarts=3, steps=8)
+FEW_SHOT_FITS = 10
+FEW_SHOT_STEPS = 8
 
 
 def query(function):
@@ -226,7 +230,17 @@ def prepare_few_shot(spark, sf_dir):
     """Subsets of the training pairs for every target language and size; without vectors, a seeded sample."""
     ready = clean_and_split(vw.pair_sources(spark, sf_dir), PREP)
     train = ready.filter(F.col("split") == "train").select("source", "source_rank", "pair_id", "lang")
-    return few_shot_subsets(train, replace(PREP, few_shot_sizes=(5, 20)), vector=None)
+    return few_shot_subsets(train, PREP, vector=None)
+
+
+@query
+def prepare_few_shot_vectors(spark, sf_dir):
+    """Covering subsets of the training pairs, of the default sizes, by the vectors of their toxic side."""
+    ready = clean_and_split(vw.pair_sources(spark, sf_dir), PREP)
+    train = ready.filter(F.col("split") == "train").select("source", "source_rank", "pair_id", "lang", "toxic")
+    known = vectors.hashed_vectors(train, "toxic")
+    chosen = few_shot_subsets(known, PREP, "vector", n_init=FEW_SHOT_FITS, steps=FEW_SHOT_STEPS)
+    return chosen.select("source", "source_rank", "pair_id", "lang", F.col("n_shots").cast("bigint").alias("n_shots"))
 
 
 @query
@@ -439,6 +453,20 @@ def similarity_counts(spark, sf_dir):
     return scored.select("pair_id", _round("sim").alias("sim"))
 
 
+@query
+def similarity_hashed(spark, sf_dir):
+    pairs = ps.load_pairs(vw.doc_pairs(spark, sf_dir), list(vw.LANGS))
+    scored = vectors.hashed_similarity(pairs, "toxic", "neutral")
+    return scored.select("pair_id", _round("sim").alias("sim"))
+
+
+@query
+def hashed_vectors(spark, sf_dir):
+    """Vectors of all documents, unit length in whole steps."""
+    documents = vw.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return vectors.hashed_vectors(documents, "text").select("doc_id", _joined("vector").alias("vector"))
+
+
 @query
 def bigram_perplexity(spark, sf_dir):
     documents = vw.table(spark, sf_dir, "documents")
@@ -556,9 +584,10 @@ def evaluate_ref(spark, sf_dir):
 
 @query
 def kmeans_clusters(spark, sf_dir):
-    vectors = vw.table(spark, sf_dir, "embeddings")
-    model = diversity.fit_clusters(vectors, 10)
-    return diversity.assign_clusters(vectors, model).select("vec_id", "cluster", _round("dist", 4).alias("dist"))
+    rows = diversity.whole_numbers(vw.table(spark, sf_dir, "embeddings"), "embedding")
+    points = kmeans.points_of(rows, ["vec_id"], "embedding", None)
+    found = kmeans.assign(points, ["vec_id"], kmeans.fit(points, CLUSTERS))
+    return found.select("vec_id", "cluster", F.round(F.sqrt("square") / vectors.SCALE, 4).alias("dist"))
 
 
 def _stepped(spark, sf_dir):
