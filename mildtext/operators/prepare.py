@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.functions import text as tx
+from mildtext.operators.later import later_rows
 from mildtext.operators.once import once
-from mildtext.session import shared
+from mildtext.session import materialize, shared
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -44,25 +45,23 @@ PAIR_IDS = ["source_rank", "pair_id"]
 
 
 def dedup_pairs(pairs: DataFrame) -> DataFrame:
-    """One row per language and exact pair: that of the first source, then of the lowest id.
+    """One row per language and exact pair: that of the first source, then of the lowest id."""
+    return dedup_with_keys(pairs)[0]
 
-    Only (language, digest, ids) are shuffled, and a pair with very many copies sends one
-    row per task.  The ids of the copies, a minority, then leave the texts where they
-    are: broadcast if their measured size is small.  ``source_rank`` and ``pair_id`` name
-    a row, as everywhere in the preparation.
+
+def dedup_with_keys(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`dedup_pairs`, and ``lang`` with the ids of what it keeps.
+
+    Language, digest and ids are written in one pass over the texts; the copies come out of one
+    sorted stream of those (:func:`later_rows`), and leave the texts where they are: broadcast
+    if their measured size is small.  ``source_rank`` and ``pair_id`` name a row, as everywhere
+    in the preparation.
     """
     hashed = pairs.withColumn("pair_hash", tx.pair_hash(F.col("toxic"), F.col("neutral")))
-    ids = hashed.select("lang", "pair_hash", *PAIR_IDS)
-    first = ids.groupBy("lang", "pair_hash").agg(
-        F.min(F.struct(*PAIR_IDS)).alias("first"), F.count(F.lit(1)).alias("n")
-    ).filter(F.col("n") > 1)
-    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("lang", "pair_hash")]
-    copies = (
-        ids.alias("i").join(first.alias("f"), same)
-        .filter(F.struct(*[F.col(f"i.{c}") for c in PAIR_IDS]) != F.col("f.first"))
-        .select(*[F.col(f"i.{c}").alias(c) for c in PAIR_IDS])
-    )
-    return hashed.join(shared(copies.distinct()), PAIR_IDS, "left_anti")
+    ids = materialize(hashed.select("lang", "pair_hash", *PAIR_IDS))
+    copies = shared(later_rows(ids, ["lang", "pair_hash"], PAIR_IDS).distinct())
+    kept = ids.select("lang", *PAIR_IDS).join(copies, PAIR_IDS, "left_anti")
+    return hashed.join(copies, PAIR_IDS, "left_anti"), kept
 
 
 def preprocess_pairs(pairs: DataFrame, limit: float = 3.0) -> DataFrame:
@@ -70,6 +69,11 @@ def preprocess_pairs(pairs: DataFrame, limit: float = 3.0) -> DataFrame:
     return dedup_pairs(length_ratio_filter(pairs, limit))
 
 
+def preprocess_with_keys(pairs: DataFrame, limit: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """:func:`preprocess_pairs`, and ``lang`` with the ids of what it keeps."""
+    return dedup_with_keys(length_ratio_filter(pairs, limit))
+
+
 def preprocess_funnel(pairs: DataFrame, limit: float = 3.0) -> DataFrame:
     """Per language: rows in, dropped as blank, by length, as copies, and rows left.
 

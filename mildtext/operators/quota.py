@@ -83,10 +83,10 @@ def thresholds(
 
 
 def _with_thresholds(
-    df: DataFrame, group: str, ids: list[str], seed: int, cuts: dict[str, Column]
+    df: DataFrame, group: str, ids: list[str], seed: int, cuts: dict[str, Column], keys: DataFrame | None = None
 ) -> DataFrame:
     # the keys are read three times, whatever it takes to make the rows
-    keys = materialize(df.select(*dict.fromkeys([group, *ids])))
+    keys = materialize(df.select(*dict.fromkeys([group, *ids]))) if keys is None else keys
     limits = shared(thresholds(keys, group, ids, seed, cuts))
     here = F.struct(tx.seeded_hash(seed, *map(F.col, ids)).alias("digest"), *ids)
     limits = limits.withColumnRenamed("grp", "__grp")
@@ -104,12 +104,14 @@ def split_pairs(
     seed: int = 42,
     ids: list[str] | None = None,
     group: str = "lang",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``split``: train, val or test, with exact counts per language.
 
     ``ratios`` maps a language to its validation and test share.  Validation
     gets ``max(1, floor(n * share))`` rows, test ``floor(n * share)`` and train
     the rest; the seeded order is cut into train, val, test in that sequence.
+    ``keys``, if known and cheap to read, are the groups and ids of ``pairs``.
     """
     ids = ids or ["pair_id"]
 
@@ -123,7 +125,7 @@ def split_pairs(
     n_val = F.greatest(F.lit(1), F.floor(n * share(0)))
     n_test = F.floor(n * share(1))
     cuts = {"last_train": n - n_val - n_test, "last_val": n - n_test}
-    marked = _with_thresholds(pairs, group, ids, seed, cuts)
+    marked = _with_thresholds(pairs, group, ids, seed, cuts, keys)
     split = (
         F.when(F.col("__ord") <= F.col("last_train"), "train")
         .when(F.col("__ord") <= F.col("last_val"), "val")

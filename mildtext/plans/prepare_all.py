@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mildtext.config import PrepConfig
 from mildtext.operators import kmeans
 from mildtext.operators.diversity import cluster_samples, require_named, whole_numbers
-from mildtext.operators.prepare import PAIR_IDS, preprocess_pairs, union_sources
+from mildtext.operators.prepare import PAIR_IDS, preprocess_with_keys, union_sources
 from mildtext.operators.quota import random_sample, split_pairs
 from mildtext.operators.tokenize import hashed_ids, tokenize_inputs, tokenize_pairs
 from mildtext.session import materialize, shared
@@ -17,8 +17,8 @@ from mildtext.session import materialize, shared
 def clean_and_split(sources: list[DataFrame], cfg: PrepConfig = PrepConfig()) -> DataFrame:
     """Cleaned pairs of all sources with their split; only ids are written on the way."""
     wanted = union_sources(*sources).filter(F.col("lang").isin(cfg.langs))
-    cleaned = preprocess_pairs(wanted, cfg.length_ratio)
-    return split_pairs(cleaned, cfg.split_ratios, cfg.default_ratios, cfg.seed, PAIR_IDS)
+    cleaned, keys = preprocess_with_keys(wanted, cfg.length_ratio)
+    return split_pairs(cleaned, cfg.split_ratios, cfg.default_ratios, cfg.seed, PAIR_IDS, keys=keys)
 
 
 def few_shot_subsets(
