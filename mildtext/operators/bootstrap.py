@@ -1,17 +1,22 @@
 """Bootstrap confidence intervals of means, for any number of rows.
 
-Drawing n rows with replacement, B times, gives each row a multinomial count;
-independent Poisson(1) counts are its limit for large n and need no knowledge of
-other rows.  Each row gets its count for each replicate out of a digest of
-(seed, row key, replicate), and the replicate mean is the weighted mean.  Rows
+Drawing n rows with replacement, B times, gives each row a multinomial count.
+
+Groups of at most :data:`DRAWN` rows are drawn just so: the rows of such a group come together, and
+every draw is a row number out of a digest of (seed, group, draw).
+
+In larger groups, independent Poisson(1) counts take the place of multinomial ones; they are its
+limit for large n and need no knowledge of other rows.  Each row gets its count for each replicate
+out of a digest of (seed, row key, replicate), and the replicate mean is the weighted mean.  Rows
 add to B sums per group inside each task, so the shuffle carries at most B rows per group and task.
-Intervals agree with the exact bootstrap for large n; for a handful of rows the
-replicates in which every count is zero are left out.
+For a handful of rows these intervals are too wide: :func:`replicate_means` alone should not be
+used there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -20,8 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mildtext.session import materialize, shared
+
 REPLICATES_PER_DIGEST = 4  # 16 bytes of a digest, 4 for each
 ROWS_AT_ONCE = 2_000  # rows whose draws are held together
+DRAWN = 100  # rows up to which a group is drawn exactly
 GROUPS_AT_ONCE = 500  # groups whose sums a task holds
 
 
@@ -97,6 +105,58 @@ def replicate_means(
     )
 
 
+def row_draws(group: str, rows: int, n: int, seed: int) -> np.ndarray:
+    """Row numbers from 0 on: a row per replicate, ``rows`` draws each."""
+    total = n * rows
+    start = hashlib.md5(f"{seed}|{group}".encode())
+    raw = bytearray()
+    for block in range(math.ceil(total / REPLICATES_PER_DIGEST)):
+        own = start.copy()
+        own.update(f"|{block}".encode())
+        raw += own.digest()
+    found = np.frombuffer(bytes(raw), ">u4")[:total].astype(np.uint64) * np.uint64(rows) >> np.uint64(32)
+    return found.reshape(n, rows).astype(np.int64)
+
+
+def drawn_bounds(
+    rows: DataFrame, keys: list[str], by: list[str], values: list[str], n: int, ci: float, seed: int
+) -> DataFrame:
+    """Per group, ``<value>_bounds`` of the means of ``n`` exact resamples; rows go in the order of ``keys``.
+
+    A group is held whole: for groups of at most :data:`DRAWN` rows.
+    """
+    kinds = dict(rows.select(*by).dtypes)
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
+    asked = rows.select(*by, name.alias("__group"), *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+                        *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    order = [*by, *[f"__key{i}" for i in range(len(keys))]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            # the last group of a batch may go on in the next
+            whole = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if whole is None or not len(whole):
+                continue
+            marks = whole[by].astype(object).where(whole[by].notna(), None)
+            new = np.ones(len(whole), bool)
+            new[1:] = [a != b for a, b in itertools.pairwise(marks.itertuples(index=False, name=None))]
+            starts = np.flatnonzero(new).tolist()
+            ends = [*starts[1:], *([len(whole)] if batch is None else [])]
+            rest = None if batch is None else whole.iloc[starts[-1] :]
+            out = []
+            for a, b in zip(starts, ends):
+                picked = row_draws(whole["__group"].iloc[a], b - a, n, seed)
+                means = [whole[v].to_numpy(np.float64)[a:b][picked].sum(axis=1) / (b - a) for v in values]
+                bounds = [np.percentile(m, [50 * (1 - ci), 50 * (1 + ci)]).tolist() for m in means]
+                out.append([*marks.iloc[a].tolist(), *bounds])
+            if out:
+                yield pd.DataFrame(out, columns=[*by, *[f"{v}_bounds" for v in values]])
+
+    shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], *[f"{v}_bounds array<double>" for v in values]])
+    return asked.repartition(*by).sortWithinPartitions(*order).drop(*order[len(by) :]).mapInPandas(run, shape)
+
+
 def bootstrap_ci(
     rows: DataFrame,
     keys: list[str],
@@ -106,17 +166,28 @@ def bootstrap_ci(
     ci: float = 0.95,
     seed: int = 42,
 ) -> DataFrame:
-    """Per group and value column a struct ``<value>_ci`` of mean, lower and upper (4 places)."""
+    """Per group and value column a struct ``<value>_ci`` of mean, lower and upper (4 places).
+
+    ``keys`` name a row and give the order in which rows of a small group are numbered.
+    """
     alpha = 1.0 - ci
-    means = replicate_means(rows, keys, by, values, n, seed)
-    bounds = means.groupBy(*by).agg(
+    # a few numbers per row, read three times, whatever it takes to make them
+    rows = materialize(rows.select(*dict.fromkeys([*by, *keys, *values])))
+    centre = rows.groupBy(*by).agg(*[F.avg(v).alias(f"{v}_mean") for v in values], F.count(F.lit(1)).alias("__rows"))
+    centre = materialize(centre)
+    sizes = shared(centre.select(*by, "__rows").withColumnsRenamed({c: f"__{c}" for c in by}))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    sized = rows.join(sizes, same).drop(*[f"__{c}" for c in by])
+    few = drawn_bounds(sized.filter(F.col("__rows") <= DRAWN), keys, by, values, n, ci, seed)
+    means = replicate_means(sized.filter(F.col("__rows") > DRAWN), keys, by, values, n, seed)
+    many = means.groupBy(*by).agg(
         *[
             F.percentile(v, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(f"{v}_bounds")
             for v in values
         ]
     )
-    centre = rows.groupBy(*by).agg(*[F.avg(v).alias(f"{v}_mean") for v in values])
-    joined = centre.join(bounds, by, "left")
+    bounds = few.unionByName(many).withColumnsRenamed({c: f"__{c}" for c in by})
+    joined = centre.join(bounds, same, "left").drop(*[f"__{c}" for c in by])
     return joined.select(
         *by,
         *[

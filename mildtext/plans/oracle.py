@@ -9,7 +9,7 @@ import re
 
 from mildtext.functions.terms import BUILTIN_TERMS
 from mildtext.operators import kmeans, vectors
-from mildtext.operators.bootstrap import poisson_bounds
+from mildtext.operators.bootstrap import DRAWN, poisson_bounds
 from mildtext.plans import views as vw
 from mildtext.plans.queries import (
     BOOTSTRAP_N, CLUSTERS, EVAL, FEW_SHOT_FITS, FEW_SHOT_STEPS, PREP, SAMPLE, STEP_CLUSTERS, STEPS,
@@ -205,8 +205,10 @@ POISSON = " ".join(f"when x < '{bound}' then {k}" for k, bound in enumerate(pois
 
 
 def bootstrap(source: str, keys: str, by: str, cols: list[str], out_name: str) -> str:
-    """CTE ``out_name``: group columns and <col>_mean/lower/upper."""
+    """CTE ``out_name``: group columns and <col>_mean/lower/upper; small groups by row draws, others by Poisson counts."""
     means = ", ".join(f"sum(w * {c}) / sum(w) {c}" for c in cols)
+    texts = ", ".join(f"{k}::varchar" for k in keys.split(", "))
+    both = ", ".join(dict.fromkeys([*by.split(", "), *keys.split(", ")]))
     low, high = (1 - EVAL.bootstrap_ci) / 2, 1 - (1 - EVAL.bootstrap_ci) / 2
     bounds = ", ".join(f"quantile_cont({c}, {low}) {c}_lo, quantile_cont({c}, {high}) {c}_hi" for c in cols)
     centre = ", ".join(f"avg({c}) {c}_avg" for c in cols)
@@ -215,11 +217,19 @@ def bootstrap(source: str, keys: str, by: str, cols: list[str], out_name: str) -
         f"round(coalesce({c}_hi, {c}_avg), 4) {c}_ci_upper" for c in cols)
     return f"""
 {out_name}_reps as (select unnest(range(0, {BOOTSTRAP_N})) rep),
+{out_name}_src as materialized (select {both}, {', '.join(f'coalesce({c}, 0) {c}' for c in cols)}, count(*) over (partition by {by}) n_rows,
+    row_number() over (partition by {by} order by {keys}) - 1 idx from {source}),
+{out_name}_small as (select {by}, r.rep, {', '.join(f'sum({c}) / any_value(n_rows) {c}' for c in cols)} from
+  (select {by}, rep, (('0x' || substr(md5(concat_ws('|', '42', {by}, (t // 4)::varchar)), (8 * (t % 4) + 1)::bigint, 8))::bigint * n_rows) >> 32 idx
+   from (select {by}, n_rows, rep, rep * n_rows + j t from (select {by}, n_rows, rep, unnest(range(n_rows)) j from
+     (select distinct {by}, n_rows from {out_name}_src where n_rows <= {DRAWN}), {out_name}_reps))) r
+  join {out_name}_src using ({by}, idx) group by {by}, r.rep),
 {out_name}_draws as (select {by}, {', '.join(cols)}, rep,
-    substr(md5(concat_ws('|', '42', {keys}, (rep // 4)::varchar)), (8 * (rep % 4) + 1)::bigint, 8) x
-  from {source}, {out_name}_reps),
+    substr(md5(concat_ws('|', '42', {texts}, (rep // 4)::varchar)), (8 * (rep % 4) + 1)::bigint, 8) x
+  from {out_name}_src, {out_name}_reps where n_rows > {DRAWN}),
 {out_name}_weights as (select *, case {POISSON} else {len(poisson_bounds())} end w from {out_name}_draws),
-{out_name}_means as (select {by}, rep, {means} from {out_name}_weights where w > 0 group by {by}, rep),
+{out_name}_means as (select {by}, rep, {means} from {out_name}_weights where w > 0 group by {by}, rep
+  union all select {by}, rep, {', '.join(cols)} from {out_name}_small),
 {out_name} as (select {by}, {out}
   from (select {by}, {centre} from {source} group by {by}) left join
     (select {by}, {bounds} from {out_name}_means group by {by}) using ({by}))"""
@@ -391,7 +401,7 @@ PARTS: dict[str, str] = {
     (s.sim > 0.75)::int::double sim_ok,
     case when p.ppl > 0 then greatest(0.0, 1 - ln(p.ppl) / ln(1000.0::double)) end fl
   from keyed k join tox_rows t using (rk) join sim_rows s using (rk) left join ppl_rows p using (rk)))""",
-    "ci": bootstrap("scored", "experiment, row_id::varchar", "experiment, lang", ["tox", "sim", "j2"], "ci"),
+    "ci": bootstrap("scored", "experiment, row_id", "experiment, lang", ["tox", "sim", "j2"], "ci"),
     "series_tox": flagged_counts("series_keyed", "rk", "prediction", "lex_judge", "prefix", "series_tox"),
     "series_sim": f"""series_cnt as (select rk, g, count(*) filter (is_left) a, count(*) filter (not is_left) b from
     (select rk, true is_left, unnest({words('lower(toxic)')}) g from series_keyed
@@ -548,7 +558,9 @@ round(fl, 6) fl, sta, sim_ok, round(j2, 6) j2, round(j3, 6) j3 from scored"""
     q["j_scores"] = "select experiment, lang, j2_score, j3_score from record"
     q["corpus_bleu"] = "select experiment, lang, round(bleu, 6) bleu from bleu_chrf"
     q["corpus_chrf"] = "select experiment, lang, round(chrf, 6) chrf from bleu_chrf"
-    q["bootstrap_ci"] = "with_ " + bootstrap("doc_judged", "doc_id::varchar", "lang", ["tox"], "tox_only") + " select * from tox_only"
+    q["bootstrap_ci"] = "with_ " + bootstrap("doc_judged", "doc_id", "lang", ["tox"], "tox_only") + " select * from tox_only"
+    turns = f"(select conv_id, turn, len({words("coalesce(text, '')")})::double n from conversations)"
+    q["bootstrap_small"] = "with_ " + bootstrap(turns, "conv_id, turn", "conv_id", ["n"], "turn_ci") + " select * from turn_ci"
     q["evaluate_noref"] = _noref()
     q["evaluate_ref"] = f"""select n.* exclude (bleu, chrf), round(b.bleu, 2) bleu, round(b.chrf, 2) chrf
 from ({_noref()}) n join bleu_chrf b on b.experiment = n.experiment and b.lang = n.lang"""

@@ -565,6 +565,14 @@ def bootstrap_ci(spark, sf_dir):
     return evaluate.flatten_ci(found)
 
 
+@query
+def bootstrap_small(spark, sf_dir):
+    """Words per turn of every conversation: groups of a few rows."""
+    turns = vw.table(spark, sf_dir, "conversations")
+    sizes = turns.select("conv_id", "turn", tx.word_count(F.coalesce("text", F.lit(""))).cast("double").alias("n"))
+    return evaluate.flatten_ci(bootstrap.bootstrap_ci(sizes, ["conv_id", "turn"], ["conv_id"], ["n"], BOOTSTRAP_N))
+
+
 @query
 def evaluate_noref(spark, sf_dir):
     record = evaluate.evaluate_noref(

@@ -1,6 +1,8 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +117,26 @@ def test_bootstrap(spark):
     assert bootstrap.bootstrap_ci(rows.filter("x > 9"), ["id"], ["g"], ["x"]).count() == 0
 
 
+def test_small_groups_are_drawn_with_replacement(spark):
+    pick = random.Random(4)
+    rows = [(i, g, h, float(pick.randint(0, 9))) for i, (g, h) in enumerate((g, h) for g in ("a", None, "b") for h in (1, 2) for _ in range(3 + 9 * h))]
+    rows += [(1000, "one", 1, 7.0), (1001, "null", 1, None)]
+    df = spark.createDataFrame(rows, "id int, g string, h int, x double").repartition(5)
+    got = {(r["g"], r["h"]): r["x_ci"] for r in bootstrap.bootstrap_ci(df, ["id"], ["g", "h"], ["x"], 400).collect()}
+    assert len(got) == 8
+    for (g, h), ci in got.items():
+        own = [x or 0.0 for _, its, k, x in rows if (its, k) == (g, h)]
+        drawn = bootstrap.row_draws("|".join(str(v) for v in (g, h) if v is not None), len(own), 400, 42)
+        assert drawn.shape == (400, len(own)) and drawn.min() >= 0 and drawn.max() < len(own)
+        means = np.array(own)[drawn].mean(axis=1)
+        assert (ci["lower"], ci["upper"]) == tuple(round(float(p), 4) for p in np.percentile(means, [2.5, 97.5]))
+        # an independent resampling agrees
+        own_way = [sum(pick.choices(own, k=len(own))) / len(own) for _ in range(4000)]
+        spread = max(0.2, 3 * np.std(own_way) / 5)
+        assert ci["lower"] == pytest.approx(np.percentile(own_way, 2.5), abs=spread)
+        assert ci["upper"] == pytest.approx(np.percentile(own_way, 97.5), abs=spread)
+
+
 def test_poisson_weights_have_mean_and_variance_one():
     weights = bootstrap.draws([str(i) for i in range(200)], 100, 42)
     assert weights.shape == (200, 100)
