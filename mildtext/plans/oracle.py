@@ -617,6 +617,10 @@ tox_ci_mean toxicity_ci_mean, tox_ci_lower toxicity_ci_lower, tox_ci_upper toxic
 sim_ci_mean similarity_ci_mean, sim_ci_lower similarity_ci_lower, sim_ci_upper similarity_ci_upper,
 j2_ci_mean, j2_ci_lower, j2_ci_upper, true from_json
 from (select * exclude (fluency_ppl_mean, fluency_norm_mean, j3_score) from record) join ci using (experiment, lang) join bleu_chrf using (experiment, lang)"""
+    q["results_log"] = "select experiment, lang, toxicity_mean, similarity_mean from baseline"
+    q["cached_pairs"] = """select 'built' step, lang, count(*) n, 1::bigint builds from documents group by lang
+union all select 'again', lang, count(*), 1 from documents group by lang
+union all select 'changed', lang, count(*) * case when lang = 'en' then 2 else 1 end, 2 from documents group by lang"""
     q["enrich_runs"] = f"""select experiment, lang, toxicity_mean, similarity_mean,
 n_rewrites::double n_rewrites, words_in::double words_in, words_out::double words_out from record left join (select experiment, count(*) n_rewrites, sum(len({words('toxic')}))::bigint words_in,
 sum(len({words('prediction')}))::bigint words_out from rewrites where experiment <> 'identity' group by experiment)

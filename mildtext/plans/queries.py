@@ -31,6 +31,7 @@ from mildtext.plans import views as vw
 from mildtext.plans.prepare_all import clean_and_split, few_shot_subsets
 from mildtext.plans.prepare_all import prepare_pairs as prepare_all_pairs
 from mildtext.session import materialize, scratch
+from mildtext.sources import cache, files
 from mildtext.sources import lexicon as lx
 from mildtext.sources import pairs as ps
 from mildtext.sources import results as rs
@@ -703,6 +704,44 @@ def results_roundtrip(spark, sf_dir):
     return ps.read_files(spark, folder, "csv", schema)
 
 
+@query
+def results_log(spark, sf_dir):
+    """A log with a batch per experiment, one saved again, one interrupted, compacted between; the latest records."""
+    folder = f"{scratch(spark)}/log-{uuid.uuid4().hex}"
+    records = materialize(_baselines(spark, sf_dir).select("experiment", "lang", "toxicity_mean", "similarity_mean"))
+    saved = [records.filter(F.col("experiment") == name) for name in ("identity", "delete_exact", "delete_prefix")]
+    rs.save_results(saved[0].withColumn("toxicity_mean", F.lit(-1.0)), folder)
+    rs.save_results(saved[1], folder)
+    rs.save_results(saved[0], folder)
+    rs.compact_results(spark, folder)
+    rs.save_results(saved[2], folder)
+    rs.save_results(saved[1].withColumn("toxicity_mean", F.lit(-1.0)), folder)
+    unfinished = max(n for n in files.names(spark, folder) if n.startswith("batch-"))
+    files.remove(spark, f"{folder}/{unfinished}/_SUCCESS")
+    return rs.load_results(spark, folder).select("experiment", "lang", "toxicity_mean", "similarity_mean")
+
+
+@query
+def cached_pairs(spark, sf_dir):
+    """Documents per language out of a kept table: built, read again, and built anew when its source had more files."""
+    folder = f"{scratch(spark)}/cache-{uuid.uuid4().hex}"
+    documents = vw.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    documents.write.parquet(f"{folder}/in")
+    steps, built = [], []
+    for step in ("built", "again", "changed"):
+        if step == "changed":
+            documents.filter(F.col("lang") == "en").write.mode("append").parquet(f"{folder}/in")
+        source = spark.read.parquet(f"{folder}/in")
+
+        def build(source=source):
+            built.append(step)
+            return source.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+        kept = cache.cached_table(spark, f"{folder}/kept", build, [source], {"by": "lang"})
+        steps.append(kept.select(F.lit(step).alias("step"), "lang", "n", F.lit(len(built)).cast("bigint").alias("builds")))
+    return prepare.union_sources(*steps)
+
+
 @query
 def enrich_runs(spark, sf_dir):
     records = _baselines(spark, sf_dir).select("experiment", "lang", "toxicity_mean", "similarity_mean")

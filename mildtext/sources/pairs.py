@@ -139,14 +139,3 @@ def read_or_empty(spark: SparkSession, path: str, fmt: str = "parquet",
 def write_pairs(df: DataFrame, path: str) -> None:
     """Parquet with one folder per language, which :func:`load_pairs` prunes."""
     df.write.mode("overwrite").partitionBy("lang").parquet(path)
-
-
-def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
-    """Dataset cache: read ``path``, or build the DataFrame once and keep it there as parquet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -133,19 +133,6 @@ def test_formats(spark, tmp_path):
         assert got[0]["toxic"] == 'a "q", b\nc'
 
 
-def test_cached_table_builds_once(spark, tmp_path):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(3)
-
-    path = str(tmp_path / "cache")
-    assert ps.cached_table(spark, path, build).count() == 3
-    assert ps.cached_table(spark, path, build).count() == 3
-    assert len(calls) == 1
-
-
 def test_tokenised_shape(spark):
     df = spark.createDataFrame([(1, "a b", "c"), (2, "w " * 300, "")], "pair_id long, toxic string, neutral string")
     rows = {r["pair_id"]: r for r in tk.tokenize_pairs(df, max_length=16).collect()}
@@ -217,15 +204,6 @@ def test_package_for_the_executors_holds_the_functions(spark):
         assert "mildtext/operators/grams.py" in archive.namelist()
 
 
-def test_saving_one_experiment_keeps_the_others(spark, tmp_path):
-    from mildtext.sources import results
-
-    path = str(tmp_path / "store")
-    for name, sta in (("a", 0.1), ("b", 0.2), ("a", 0.3)):
-        results.save_results(spark.createDataFrame([(name, "en", sta)], "experiment string, lang string, sta double"), path)
-    assert sorted((r["experiment"], r["sta"]) for r in results.load_results(spark, path).collect()) == [("a", 0.3), ("b", 0.2)]
-
-
 def test_tokenised_dataset_by_language_and_split(spark, tmp_path):
     rows = spark.createDataFrame([(1, "en", "train"), (2, "es", "val")], "pair_id int, lang string, split string")
     tk.save_tokenized(rows, str(tmp_path / "set"))
