@@ -384,7 +384,9 @@ def repair(turns: DataFrame, most: int = 65_536) -> DataFrame:
     edits = ready.mapInArrow(lambda batches: _batches(_edited(batches), _EDIT), EDIT)
     # equal rows combine in their tasks, so there is one text per key on either side
     texts = _described(turns).select("key", "text").groupBy("key").agg(F.max("text").alias("text"))
-    met = edits.join(texts.hint("merge"), "key", "left")
+    # edits without a text meet none, and are spread by a key of their own
+    own = F.concat_ws(":", "place", "step").cast("binary")
+    met = edits.withColumn("key", F.coalesce("key", own)).join(texts.hint("merge"), "key", "left")
     text = F.when(F.col("edit") == "I", F.lit("")).when(F.col("edit") != "D", F.col("text"))
     return met.select(*[f.name for f in _EDIT if f.name != "key"], text.alias("text"))
 
