@@ -37,12 +37,14 @@ from mildtext.session import sized
 
 @dataclass(frozen=True)
 class Join:
-    """``words`` per shingle; ``percent``, the least similarity; ``members`` of a group; ``sketch``
-    counters, 2 to its power; ``rounds`` with pivots before all groups of a list meet."""
+    """``words`` per shingle; ``percent``, the least similarity; ``members`` of a group, and ``shingles`` of
+    all of them beyond which it takes no more; ``sketch`` counters, 2 to its power; ``rounds`` with pivots
+    before all groups of a list meet."""
 
     words: int = 5
     percent: int = 80
     members: int = 64
+    shingles: int = 200_000
     sketch: int = 22
     rounds: int = 2
 
@@ -264,13 +266,14 @@ def groups(texts: DataFrame, how: Join) -> DataFrame:
         ])
         key, names, members, own_texts = None, [], [], []
         out: list[tuple] = []
+        held = inside = 0
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in sliced(batches, 100):
             keys, sets_, z = (batch.column(c).to_pylist() for c in range(3))
             for first, part in wordhash.in_slices([wordhash.normal(unpacked(t), True) for t in z]):
                 digests, owner = wordhash.shingle_sets(wordhash.Words(part), how.words)
@@ -283,15 +286,18 @@ def groups(texts: DataFrame, how: Join) -> DataFrame:
                         continue  # another text under the same id, or none
                     if names and names[-1] == own_set and key == own_key:
                         continue
-                    if names and (key != own_key or len(names) == how.members):
+                    if names and (key != own_key or len(names) == how.members or inside >= how.shingles):
                         out.append(build(names, members, own_texts))
-                        names, members, own_texts = [], [], []
+                        names, members, own_texts, inside = [], [], [], 0
+                        held += len(out[-1][4]) + len(out[-1][5])
                     key = own_key
                     names.append(own_set)
                     members.append(digests[at[i] : at[i + 1]])
                     own_texts.append(part[i])
-                if len(out) >= 500:
-                    yield flush()
+                    inside += at[i + 1] - at[i]
+                    if held >= 4_000_000:
+                        yield flush()
+                        held = 0
         if names:
             out.append(build(names, members, own_texts))
         if out:
@@ -322,7 +328,7 @@ def qualifying(pairs: DataFrame, all_groups: DataFrame, how: Join) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 200):
             keep = []
             least = np.maximum(batch.column("least_x").to_numpy(), batch.column("least_y").to_numpy())
             for n, x, y in zip(least.tolist(), batch.column("slots_x").to_pylist(), batch.column("slots_y").to_pylist()):
@@ -344,7 +350,7 @@ def opened(pairs: DataFrame, all_groups: DataFrame, how: Join) -> DataFrame:
         return [digests[a:b] for a, b in zip(at, at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 20):
             out: list[tuple[int, int]] = []
             rows = zip(*[batch.column(f"{c}_{s}").to_pylist() for c in ("sets", "texts", "links") for s in "xy"])
             for sets_x, sets_y, texts_x, texts_y, links_x, links_y in rows:
@@ -384,20 +390,23 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
     texts = small.join(stands, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "set", "z")
     all_groups = written(groups(texts, how))
     member = all_groups.select("gid", "least", "most", F.explode("sets").alias("set"))
-    lists = written(shared.join(member, "set").select("token", "gid", "least", "most", "set"))
+    lists = written(shared.join(member, "set").select("token", "gid", "least", "most", F.col("set").alias("component")))
     links = all_groups.select(F.explode("links").alias("l")).select("l.a", "l.b")
     tested = found = None
     for turn in range(how.rounds + 1):
         # what is still apart in each list of groups that share a shingle
-        apart = lists.select("token", "gid", "least", "most", F.col("set").alias("component"))
+        apart = lists
         if found is not None:
-            known = lists.join(found, lists["set"] == found["node"], "left")
-            apart = known.select("token", "gid", "least", "most", F.coalesce("component", "set").alias("component"))
+            known = lists.join(found, lists["component"] == found["node"], "left")
+            apart = known.select("token", "gid", "least", "most", F.coalesce(found["component"], lists["component"]).alias("component"))
         apart = apart.distinct()
         torn = apart.groupBy("token").agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
             *[F.min_by(F.struct("gid", "least", "most", "component"), F.xxhash64("gid", F.lit(2 * turn + k))).alias(f"p{k}") for k in range(2)],
         ).filter("low <> high")
+        if found is not None:  # lists that hold together by now are done with
+            torn = written(torn)
+            apart = lists = written(apart.join(torn.select("token"), "token", "left_semi"))
         if turn < how.rounds:  # every group of a list meets two of them
             pivots = torn.select("token", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select(
                 "token", F.col("p.gid").alias("other"), F.col("p.least").alias("o_least"), F.col("p.most").alias("o_most"), F.col("p.component").alias("o_component")
