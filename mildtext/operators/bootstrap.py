@@ -19,6 +19,7 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -175,18 +176,21 @@ def bootstrap_ci(
     rows = materialize(rows.select(*dict.fromkeys([*by, *keys, *values])))
     centre = rows.groupBy(*by).agg(*[F.avg(v).alias(f"{v}_mean") for v in values], F.count(F.lit(1)).alias("__rows"))
     centre = materialize(centre)
-    sizes = shared(centre.select(*by, "__rows").withColumnsRenamed({c: f"__{c}" for c in by}))
+    small, large = centre.agg(F.bool_or(F.col("__rows") <= DRAWN), F.bool_or(F.col("__rows") > DRAWN)).first()
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    sized = rows.join(sizes, same).drop(*[f"__{c}" for c in by])
-    few = drawn_bounds(sized.filter(F.col("__rows") <= DRAWN), keys, by, values, n, ci, seed)
-    means = replicate_means(sized.filter(F.col("__rows") > DRAWN), keys, by, values, n, seed)
-    many = means.groupBy(*by).agg(
-        *[
-            F.percentile(v, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(f"{v}_bounds")
-            for v in values
-        ]
-    )
-    bounds = few.unionByName(many).withColumnsRenamed({c: f"__{c}" for c in by})
+    few = many = rows
+    if small and large:
+        sizes = shared(centre.select(*by, "__rows").withColumnsRenamed({c: f"__{c}" for c in by}))
+        sized = rows.join(sizes, same).drop(*[f"__{c}" for c in by])
+        few, many = sized.filter(F.col("__rows") <= DRAWN), sized.filter(F.col("__rows") > DRAWN)
+    parts = []
+    if large:
+        means = replicate_means(many, keys, by, values, n, seed)
+        ends = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
+        parts.append(means.groupBy(*by).agg(*[F.percentile(v, ends).alias(f"{v}_bounds") for v in values]))
+    if small or not large:
+        parts.append(drawn_bounds(few, keys, by, values, n, ci, seed))
+    bounds = reduce(DataFrame.unionByName, parts).withColumnsRenamed({c: f"__{c}" for c in by})
     joined = centre.join(bounds, same, "left").drop(*[f"__{c}" for c in by])
     return joined.select(
         *by,
