@@ -655,7 +655,8 @@ from before b join after_ a using (row_id) group by b.lang"""
     found = {name: _finish(body) for name, body in q.items()}
     # the same over all documents: only the inputs differ
     for name, source in (("corpus_bleu_all", "corpus_bleu"), ("corpus_chrf_all", "corpus_chrf"),
-                         ("evaluate_documents", "evaluate_ref"), ("join_predictions_all", "join_predictions")):
+                         ("evaluate_documents", "evaluate_ref"), ("join_predictions_all", "join_predictions"),
+                         ("score_rows_all", "score_rows"), ("j_scores_all", "j_scores"), ("evaluate_noref_all", "evaluate_noref")):
         found[name] = found[source].replace(PARTS["toxic_inputs"], ALL_INPUTS)
     return found
 

@@ -494,19 +494,34 @@ def join_predictions(spark, sf_dir):
     return evaluate.join_predictions(inputs, rewrites)
 
 
-def _scored(spark, sf_dir):
-    return evaluate.score_rows(vw.predictions(spark, sf_dir), _judge(), _model(spark, sf_dir), EVAL)
+def _scored(spark, sf_dir, rewrites=None):
+    return evaluate.score_rows(vw.predictions(spark, sf_dir) if rewrites is None else rewrites, _judge(), _model(spark, sf_dir), EVAL)
 
 
-@query
-def score_rows(spark, sf_dir):
-    return _scored(spark, sf_dir).select(
+def _row_scores(scored):
+    return scored.select(
         "experiment", "row_id", "lang", _round("tox").alias("tox"), _round("sim").alias("sim"),
         _round("ppl", 4).alias("ppl"), _round("fl").alias("fl"), "sta", "sim_ok",
         _round("j2").alias("j2"), _round("j3").alias("j3"),
     )
 
 
+@query
+def score_rows(spark, sf_dir):
+    return _row_scores(_scored(spark, sf_dir))
+
+
+@query
+def score_rows_all(spark, sf_dir):
+    """Scores of the rewrites of all documents."""
+    return _row_scores(_scored(spark, sf_dir, _all_predictions(spark, sf_dir)))
+
+
+@query
+def j_scores_all(spark, sf_dir):
+    return evaluate.j_scores(_scored(spark, sf_dir, _all_predictions(spark, sf_dir)))
+
+
 @query
 def fluency_summary(spark, sf_dir):
     return evaluate.fluency_summary(_scored(spark, sf_dir))
@@ -582,6 +597,13 @@ def evaluate_noref(spark, sf_dir):
     return evaluate.flatten_ci(record)
 
 
+@query
+def evaluate_noref_all(spark, sf_dir):
+    """Evaluation without references over all documents."""
+    rewrites = _all_predictions(spark, sf_dir).drop("neutral")
+    return evaluate.flatten_ci(evaluate.evaluate_noref(rewrites, _judge(), _model(spark, sf_dir), EVAL))
+
+
 @query
 def evaluate_ref(spark, sf_dir):
     record = evaluate.evaluate_ref(vw.predictions(spark, sf_dir), _judge(), _model(spark, sf_dir), EVAL)
