@@ -97,7 +97,8 @@ def _in_bins(parts: DataFrame, reach: int, scope: int) -> DataFrame:
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The parts to report: strong ones, and weak ones that a complementary part is close to.
 
-    Weak parts that overlap a strong one say nothing new and are left out.  The interval
+    Weak parts that overlap a strong one say nothing new and are not reported, but others
+    may still find their complement in them.  The interval
     join meets parts in bins of one scope, so no part is compared beyond its
     neighbourhood, however many a text holds; a semi-join gives no pairs.
     """
@@ -111,8 +112,7 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     overlap = (F.col("start") < F.col("o_end")) & (F.col("o_start") < F.col("end"))
     hidden = _in_bins(parts.filter(~strong), 0, scope).join(other, same & overlap, "left_semi").select("row", "kind", "start").distinct()
     weak = parts.filter(~strong).join(hidden, ["row", "kind", "start"], "left_anti").withColumn("role", role)
-    all_parts = firm.withColumn("role", role).unionByName(weak)
-    near = _in_bins(all_parts, scope, scope).select(
+    near = _in_bins(parts.withColumn("role", role), scope, scope).select(
         F.col("row").alias("o_row"), F.col("bin").alias("o_bin"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role")
     )
     whole = F.lit(False)
