@@ -48,12 +48,11 @@ class Training:
     """Parameters of the training.
 
     ``rows`` bounds the labelled documents of each label that the model is fitted on, taken
-    by a digest of the id; all rows are scored.  ``terms`` and ``phrases`` bound the model.
+    by a digest of the id; all rows are scored.  All terms and phrases of theirs that pass the
+    other limits are in the model.
     """
 
     rows: int = 15_000
-    terms: int = 20_000
-    phrases: int = 5_000
     min_documents: int = 4
     min_weight: float = 1.5
     min_z: float = 3.0
@@ -177,10 +176,6 @@ def _counted(rows: DataFrame, keys_of, parts: str) -> DataFrame:
     return each.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _log_odds(toxic: float, other: float, n_toxic: int, n_other: int) -> float:
-    return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
-
-
 def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Logistic regression with a small ridge, by Newton's method; few columns, bounded rows."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -211,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Training = Training()) ->
         part = own.filter(F.col("toxic") == label).orderBy(order, "id").limit(settings.rows)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = texts.join(F.broadcast(chosen), "id").select("toxic", "text", (remainder(F.col("id")) == 0).alias("first"))
-    rows = rows.dropDuplicates(["text"]).persist()  # a bounded sample; lost blocks are read again
+    # a text counts once, as toxic if any of its rows is, in the part of its smallest id
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"))
+    rows = rows.select("toxic", "text", (remainder(F.col("id")) == 0).alias("first"))
+    rows = rows.persist()  # a bounded sample; lost blocks are read again
     try:
         sizes = {(r["first"], r["toxic"]): r["count"] for r in rows.groupBy("first", "toxic").count().collect()}
         n_toxic, n_other = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
@@ -220,22 +217,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Training = Training()) ->
         if not (n_toxic and n_other):
             return model
 
-        # terms of toxic documents, then how many other documents have them
-        often = _counted(rows, terms_of, "first and toxic = 1").filter(F.col("toxic") >= settings.min_documents)
-        seen = {r["key"]: r["toxic"] for r in often.orderBy(F.desc("toxic"), "key").limit(5 * settings.terms).collect()}
-        known = frozenset(seen)
-        others = _counted(rows, lambda folded: terms_of(folded) & known, "first and toxic = 0")
-        other = {r["key"]: r["other"] for r in others.collect()}  # no more than the terms above
-        weighted = []
-        for term, toxic in seen.items():
-            n = other.get(term, 0)
-            expected = (toxic + n) * n_toxic / (n_toxic + n_other)
-            z = (toxic - expected) / math.sqrt(max(expected, 0.25))
-            weight = _log_odds(toxic, n, n_toxic, n_other)
-            if weight >= settings.min_weight and z >= settings.min_z:
-                weighted.append((z, term, weight))
-        weighted.sort(reverse=True)
-        model.weights = {term: weight for _, term, weight in weighted[: settings.terms]}
+        # every term that toxic documents have clearly more often than others; `rows` bounds them
+        toxic, other = F.col("toxic"), F.col("other")
+        expected = (toxic + other) * n_toxic / (n_toxic + n_other)
+        z = (toxic - expected) / F.sqrt(F.greatest(expected, F.lit(0.25)))
+        weight = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((other + 0.5) / (n_other + 1))
+        telling = _counted(rows, terms_of, "first").filter(
+            (toxic >= settings.min_documents) & (weight >= settings.min_weight) & (z >= settings.min_z)
+        )
+        model.weights = {r["key"]: r["weight"] for r in telling.select("key", weight.alias("weight")).collect()}
 
         def phrases_of(folded: str) -> Iterable[str]:
             out = set()
@@ -252,8 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Training = Training()) ->
         spoken = _counted(rows, phrases_of, "not first").filter(
             (F.col("toxic") == 0) & (F.col("other") >= settings.min_documents)
         )
-        phrases = spoken.orderBy(F.desc("other"), "key").limit(settings.phrases).collect()
-        model = Model(model.weights, [r["key"] for r in phrases])
+        model = Model(model.weights, sorted(r["key"] for r in spoken.select("key").collect()))
 
         names = ["density", "weight", "hits", "words"]
 
