@@ -36,6 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of :func:`written` (or unions of them) that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: a task holds the Python strings of one at a time."""
     for batch in batches:

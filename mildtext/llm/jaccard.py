@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mildtext.llm import wordhash
 from mildtext.llm.common import opened as unpacked
-from mildtext.llm.common import sliced, squeezed, written
+from mildtext.llm.common import dropped, sliced, squeezed, written
 from mildtext.llm.components import components
 from mildtext.session import sized
 
@@ -172,27 +172,28 @@ def shared_prefixes(described: DataFrame) -> DataFrame:
             )
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not held:
-            return
-        token, name = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((name, token))
-        token, name = token[order], name[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
-        token, name = token[new], name[new]
-        same = token[1:] == token[:-1]
-        twice = np.zeros(len(token), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        token, name = token[twice], name[twice]
-        for at in range(0, len(token), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(name[cut])], ["token", "set"])
+        # rows come sorted; the last of a batch waits for the next one, with what is known of its token
+        last, met = np.empty((2, 0), np.int64), False
+        for batch in batches:
+            token, name = np.concatenate([last, [batch.column(0).to_numpy(), batch.column(1).to_numpy()]], axis=1)
+            same = token[1:] == token[:-1]
+            new = np.ones(len(token), bool)
+            new[1:] = ~same | (name[1:] != name[:-1])
+            token, name = token[new], name[new]
+            same = token[1:] == token[:-1]
+            twice = np.zeros(len(token), bool)
+            twice[0] = met
+            twice[1:] |= same
+            twice[:-1] |= same
+            last, met = np.array([token[-1:], name[-1:]]), bool(twice[-1])
+            twice[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(token[twice]), pa.array(name[twice])], ["token", "set"])
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["token", "set"])
 
     rows = described.filter("set is not null").select("set", "prefix").mapInArrow(explode, "token bigint, set bigint")
-    return rows.repartition("token").mapInArrow(keep, "token bigint, set bigint")
+    ordered = rows.repartition("token").sortWithinPartitions("token", "set")
+    return ordered.mapInArrow(keep, "token bigint, set bigint")
 
 
 GROUP = (
@@ -389,36 +390,48 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
     small = squeezed(docs).withColumnRenamed("c0", "doc_id")
     texts = small.join(stands, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "set", "z")
     all_groups = written(groups(texts, how))
-    member = all_groups.select("gid", "least", "most", F.explode("sets").alias("set"))
-    lists = written(shared.join(member, "set").select("token", "gid", "least", "most", F.col("set").alias("component")))
+    sizes = sized(all_groups.select(F.col("gid").alias("other"), F.col("least").alias("o_least"), F.col("most").alias("o_most")))
+    member = written(all_groups.select("gid", "least", "most", F.explode("sets").alias("set")))
+    lists = written(shared.join(sized(member), "set").select("token", "gid", "least", "most", F.col("set").alias("component")))
+    dropped(shared, member)
     links = all_groups.select(F.explode("links").alias("l")).select("l.a", "l.b")
     tested = found = None
     for turn in range(how.rounds + 1):
         # what is still apart in each list of groups that share a shingle
-        apart = lists
         if found is not None:
+            old_lists = lists
             known = lists.join(found, lists["component"] == found["node"], "left")
-            apart = known.select("token", "gid", "least", "most", F.coalesce(found["component"], lists["component"]).alias("component"))
-        apart = apart.distinct()
-        torn = apart.groupBy("token").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            *[F.min_by(F.struct("gid", "least", "most", "component"), F.xxhash64("gid", F.lit(2 * turn + k))).alias(f"p{k}") for k in range(2)],
-        ).filter("low <> high")
-        if found is not None:  # lists that hold together by now are done with
-            torn = written(torn)
-            apart = lists = written(apart.join(torn.select("token"), "token", "left_semi"))
-        if turn < how.rounds:  # every group of a list meets two of them
-            pivots = torn.select("token", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select(
-                "token", F.col("p.gid").alias("other"), F.col("p.least").alias("o_least"), F.col("p.most").alias("o_most"), F.col("p.component").alias("o_component")
+            lists = known.select("token", "gid", "least", "most", F.coalesce(found["component"], lists["component"]).alias("component"))
+            ends = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            # lists that hold together by now are done with
+            torn = written(lists.distinct().join(ends.filter("low <> high").select("token"), "token", "left_semi"))
+            dropped(old_lists)
+            lists = torn
+        # one row per list and group, however many components its members are in
+        apart = lists.groupBy("token", "gid").agg(
+            F.first("least").alias("least"), F.first("most").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        # groups whose members are known to belong together need not meet
+        one = (F.col("low") == F.col("high")) & (F.col("low") == F.col("o_low")) & (F.col("o_low") == F.col("o_high"))
+        others = apart.select("token", F.col("gid").alias("other"), F.col("least").alias("o_least"), F.col("most").alias("o_most"),
+                              F.col("low").alias("o_low"), F.col("high").alias("o_high"))
+        # nor groups whose sizes are too far apart
+        fits = (100 * F.col("most") >= how.percent * F.col("o_least")) & (100 * F.col("o_most") >= how.percent * F.col("least"))
+        if turn < how.rounds:  # every group of a list meets two of them, in each turn others
+            mask = F.lit(turn * 0x5DEECE66D1CE4E5B % (1 << 63)).cast("bigint")
+            place = F.col("gid").bitwiseXOR(mask)
+            pivots = lists.groupBy("token").agg(F.min(place).alias("p0"), F.max(place).alias("p1"))
+            pivots = pivots.select("token", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select(
+                "token", F.col("p").bitwiseXOR(mask).alias("other")
             )
+            if found is not None:
+                pivots = pivots.join(others.select("token", "other", "o_low", "o_high"), ["token", "other"])
+            met = apart.join(pivots, "token").filter(F.col("gid") != F.col("other"))
+            if found is not None:
+                met = met.filter(~one)
+            met = met.select("gid", "other", "least", "most").distinct().join(sizes, "other").filter(fits)
         else:  # every two groups of a list that are still apart
-            pivots = apart.join(torn.select("token"), "token").select(
-                "token", F.col("gid").alias("other"), F.col("least").alias("o_least"), F.col("most").alias("o_most"), F.col("component").alias("o_component")
-            )
-        # groups whose sizes are too far apart, or whose members are known to belong together, need not meet
-        fits = (100 * F.col("most") >= how.percent * F.col("o_least")) & (100 * F.col("o_most") >= how.percent * F.col("least"))
-        once = F.col("gid") < F.col("other") if turn == how.rounds else F.col("gid") != F.col("other")
-        met = apart.join(pivots, "token").filter(fits & once & (F.col("component") != F.col("o_component")))
+            met = apart.join(others, "token").filter(fits & (F.col("gid") < F.col("other")) & ~one)
         pairs = met.select(F.least("gid", "other").alias("x"), F.greatest("gid", "other").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
@@ -441,6 +454,7 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
     names = described.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
     of_set = names.join(found, names["set"] == found["node"], "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     of_set = written(of_set)
+    dropped(all_groups, lists, tested)
     smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = of_set.join(smallest, "component").select("set", "component_id")
     return described.join(by_set, "set", "left").select(
