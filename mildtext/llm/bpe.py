@@ -16,18 +16,23 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
-# The word pattern of byte-level vocabularies, white space spelled out.
+# The word pattern of byte-level vocabularies, white space spelled out; {letter} and {digit} are
+# filled in by :func:`word_pattern`.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{{letter}}]+| ?[{{digit}}]+| ?[^{SPACE}{{letter}}{{digit}}]+"
     rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
+# Neighbouring code points that the library is asked for in one text.
+CODES_AT_ONCE = 256
 # A word of more bytes than this is merged with a heap.
 SHORT_BYTES = 128
 # Entries of a worker's table of chunks; the table starts anew when it is full.
@@ -48,6 +53,28 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def word_pattern() -> regex.Pattern:
+    """The word pattern with the letters and digits that the tokenizers library itself knows.
+
+    Unicode tables differ between releases of libraries, so its pre-tokenizer is asked once per worker: neighbouring
+    code points come back as runs of one kind, and a run's first one tells the kind by whether it goes on a word
+    or a number.
+    """
+    pieces = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    space = regex.compile(f"[{SPACE}]")
+    kinds: dict[str, list[str]] = {"a": [], "1": []}
+    for start in range(0, 0x110000, CODES_AT_ONCE):
+        codes = [chr(c) for c in range(start, start + CODES_AT_ONCE) if not 0xD800 <= c < 0xE000]
+        text = space.sub("\n", "".join(codes))
+        for _, (at, end) in pieces(text):
+            for before, own in kinds.items():
+                if text[at] != "\n" and len(pieces(before + text[at])) == 1:
+                    own.append(f"{regex.escape(text[at])}-{regex.escape(text[end - 1])}")
+                    break
+    return regex.compile(PATTERN.format(letter="".join(kinds["a"]), digit="".join(kinds["1"])))
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -75,7 +102,8 @@ class Codec:
         self.added = {t: i.to_bytes(4, "little") for t, i in added.items()}
         longest_first = sorted(added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = word_pattern()
+        self.ascii_pattern = regex.compile(PATTERN.format(letter="A-Za-z", digit="0-9"))
         self.chunks: dict[str, bytes] = {"": b"", **self.added}
         self.words: dict[str, bytes] = {}
 
@@ -166,7 +194,7 @@ class Codec:
                     self.words[new[own[row]]] = ids[k * step : k * step + step]
 
     def _add_chunks(self, new: set[str]) -> None:
-        words = {c: self.pattern.findall(c) for c in new}
+        words = {c: (self.ascii_pattern if c.isascii() else self.pattern).findall(c) for c in new}
         self._merge_words(list({w for c in words.values() for w in c if w not in self.words}))
         for chunk, parts in words.items():
             self.chunks[chunk] = b"".join([self.words[w] for w in parts])

@@ -1,9 +1,11 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from mildtext.llm import bpe
@@ -35,6 +37,15 @@ def test_same_ids_as_the_library(vocabulary, library):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_code_point_is_cut_as_the_library_does(vocabulary, library):
+    own = bpe.codec(vocabulary)
+    named = regex.compile(r"[\p{L}\p{N}]")
+    codes = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs") or named.match(chr(c))]
+    texts = ["".join(f"a{c}1{c} {c}" for c in codes[at : at + 100]) for at in range(0, len(codes), 100)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode_many(texts)] == [e.ids for e in want]
+
+
 def test_long_and_short_words_merge_alike(vocabulary):
     own = bpe.codec(vocabulary)
     pick = random.Random(4)
