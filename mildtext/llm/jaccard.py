@@ -38,14 +38,15 @@ from mildtext.session import sized
 @dataclass(frozen=True)
 class Join:
     """``words`` per shingle; ``percent``, the least similarity; ``members`` of a group, and ``shingles`` of
-    all of them beyond which it takes no more; ``sketch`` counters, 2 to its power; ``rounds`` with pivots
-    before all groups of a list meet."""
+    all of them beyond which it takes no more; ``sketch`` counters, 2 to its power (a byte each on the driver and
+    in a worker; too few for the corpus only make lists longer); ``rounds`` with pivots before all groups of a list
+    meet."""
 
     words: int = 5
     percent: int = 80
     members: int = 64
     shingles: int = 200_000
-    sketch: int = 22
+    sketch: int = 24
     rounds: int = 2
 
 
@@ -72,23 +73,24 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
     shift = np.uint64(64 - how.sketch)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(slots, np.uint32)
         for batch in sliced(batches):
             for _, texts in wordhash.in_slices([wordhash.normal(t, True) for t in batch.column(0).to_pylist()]):
                 digests, _ = wordhash.shingle_sets(wordhash.Words(texts), how.words)
                 slot, n = np.unique((digests >> shift).astype(np.int64), return_counts=True)
-                total[slot] += n
+                total[slot] += n.astype(np.uint32)
         for part, own in enumerate(np.split(total, parts)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([zstandard.compress(own.astype("<i8").tobytes(), 1)])], ["part", "counts"]
-            )
+            width = np.min_scalar_type(own.max())  # as narrow as the task's counts are
+            counts = zstandard.compress(own.astype(width.newbyteorder("<")).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts])], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(*[c.to_pylist() for c in batch.columns]):
                 own = totals.setdefault(part, np.zeros(slots // parts, np.int64))
-                own += np.frombuffer(zstandard.decompress(counts), "<i8")
+                raw = zstandard.decompress(counts)
+                own += np.frombuffer(raw, f"<u{len(raw) // len(own)}")
         if totals:
             levels = [np.minimum(255, 8 * np.log2(1 + own)).astype(np.uint8).tobytes() for own in totals.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels)], ["part", "levels"])
