@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from mildtext.functions import text as tx
 from mildtext.functions.scores import cosine_from_sums
 from mildtext.operators.once import once
+from mildtext.session import small_batches
 
 WIDTH = 256
 SCALE = 4096
@@ -68,6 +69,7 @@ def hashed_vectors(df: DataFrame, text: str, out: str = "vector", width: int = W
             found = [v for part in _parts(batch) for v in unit_vectors(trigram_counts(batch.iloc[part].tolist(), width))]
             yield pd.Series(found, dtype=object)
 
+    small_batches(df.sparkSession)
     ready = once(df, __shaped=shaped(F.col(text)))
     return ready.withColumn(out, F.pandas_udf(run, "array<int>")("__shaped")).drop("__shaped")
 
@@ -86,6 +88,7 @@ def hashed_similarity(df: DataFrame, left: str, right: str, out: str = "sim", wi
                 found.append(np.stack([(x * y).sum(axis=1), (x * x).sum(axis=1), (y * y).sum(axis=1)], axis=1))
             yield pd.DataFrame(np.concatenate(found), columns=["ab", "aa", "bb"])
 
+    small_batches(df.sparkSession)
     ready = once(df, __left=shaped(F.col(left)), __right=shaped(F.col(right)))
     sums = F.pandas_udf(run, "ab bigint, aa bigint, bb bigint")("__left", "__right")
     met = ready.select(*[F.col(f"`{c}`") for c in df.columns if c != out], sums.alias("__sums"))
