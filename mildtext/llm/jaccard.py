@@ -1,12 +1,15 @@
 """Exact Jaccard join of word shingles through a token-group matrix.
 
 1. A prefix of each document's rarest shingles: documents that are similar enough share
-   one.  Rarity comes from a counting sketch of fixed size over all documents; any order
-   gives the right result, a good one keeps the lists short.
+   several, more the longer they are.  Rarity comes from a counting sketch of fixed size over
+   all documents; any order gives the right result, a good one keeps the lists short.
+   Tasks exchange packed tokens, without names, and learn how many of a document's prefix
+   occur elsewhere; documents with too few for any similar one leave here, so that shingles
+   which meet by chance, more of them in a larger corpus, make no lists.
 2. Documents that share one are put into small groups by their smallest digest, so that
    similar ones meet.  A group is one row: the union of its members' shingles, as counts by
    a part of the digest, and the members' texts, packed together.
-3. Groups that share a prefix shingle are candidates.  The overlap of the unions bounds
+3. Groups that share enough prefix shingles are candidates.  The overlap of the unions bounds
    every overlap of members, so only pairs of groups whose bound suffices are opened: the
    texts are fetched, become a matrix of members and shingles, and one matrix product gives
    all overlaps exactly.
@@ -32,7 +35,7 @@ from mildtext.llm import wordhash
 from mildtext.llm.common import opened as unpacked
 from mildtext.llm.common import dropped, sliced, squeezed, written
 from mildtext.llm.components import components
-from mildtext.session import sized
+from mildtext.session import SHARED_BYTES, measured_bytes, sized, small_batches
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ class Join:
     """``words`` per shingle; ``percent``, the least similarity; ``members`` of a group, and ``shingles`` of
     all of them beyond which it takes no more; ``sketch`` counters, 2 to its power (a byte each on the driver and
     in a worker; too few for the corpus only make lists longer); ``rounds`` with pivots before all groups of a list
-    meet."""
+    meet; one more shared shingle is asked for per ``step`` shingles of a set; ``tokens`` of a batch of the exchange."""
 
     words: int = 5
     percent: int = 80
@@ -48,6 +51,8 @@ class Join:
     shingles: int = 200_000
     sketch: int = 24
     rounds: int = 2
+    step: int = 16
+    tokens: int = 1 << 20
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -59,6 +64,11 @@ def _needed(n: np.ndarray | int, percent: int):
     return -(-(n * percent) // 100)
 
 
+def _asked(n: np.ndarray | int, how: Join):
+    """Shingles that the prefixes of two similar sets share at least, ``n`` being the size of the smaller one."""
+    return np.minimum(1 + n // how.step, _needed(n, how.percent))
+
+
 def _bounds(owner: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(owner, np.arange(n + 1))
 
@@ -129,7 +139,7 @@ def sets(docs: DataFrame, levels: np.ndarray, how: Join) -> DataFrame:
                 if len(some):
                     keys[some] = np.minimum.reduceat(wordhash.mix(digests, 3), first[some])
                 order = np.lexsort((digests, levels[(digests >> shift).astype(np.int64)], owner))
-                length = n - _needed(n, how.percent) + 1
+                length = n - _needed(n, how.percent) + _asked(n, how)
                 front = np.arange(len(digests)) - first[owner] < length[owner]
                 chosen, whose = digests[order][front], owner[front]
                 at = _bounds(whose, len(texts)).tolist()
@@ -156,6 +166,117 @@ def sets(docs: DataFrame, levels: np.ndarray, how: Join) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, set bigint, key bigint, prefix binary")
 
 
+# Bits of a token in the exchange.  Tokens that meet by chance count as shared, so none is lost by it.
+_PACKED = 40
+_MESSAGES = pa.schema([("batch", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+_ANSWERS = pa.schema([("batch", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, compressed: the upper ones are nearly equal."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:5]).tobytes()
+
+
+def _unplaned(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(5, n).T
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def alive(described: DataFrame, how: Join) -> DataFrame:
+    """``set`` of the rows (``set``, ``n``, ``prefix``) that share enough of their prefix to be similar to another row.
+
+    A batch of rows sends each owner, a range of tokens, its sorted tokens as gaps and row numbers; the owner
+    answers how many of each row's tokens came more than once.  A token that several rows of a batch have goes
+    once and for no row, so neither copies nor frequent shingles gather at an owner.
+    """
+    total = described.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    owners = max(8, -(-total // (8 * how.tokens)))
+    bounds = np.array([(i << _PACKED) // owners for i in range(owners + 1)], np.uint64)
+    alone = np.uint64((1 << _PACKED) - 1)  # in place of a row's number: the batch has counted its rows
+
+    def pack(names: list[int], sizes: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        n = np.array(sizes, np.int64)
+        tokens = np.frombuffer(b"".join(blobs), "<u8") >> np.uint64(64 - _PACKED)
+        row = np.repeat(np.arange(len(names), dtype=np.uint64), [len(b) // 8 for b in blobs])
+        order = np.argsort(tokens)
+        tokens, row = tokens[order], row[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        runs = np.diff(np.append(np.flatnonzero(new), len(tokens)))
+        several = np.repeat(runs > 1, runs)
+        counts = np.bincount(row[several].astype(np.int64), minlength=len(names))
+        row[several] = alone
+        tokens, row = tokens[new], row[new]
+        own = np.array(names, np.int64)
+        asked = np.maximum(1, _asked(_needed(n, how.percent), how))
+        batch = int(wordhash.mix(wordhash.mix(own.view(np.uint64), 4) + np.arange(len(own), dtype=np.uint64)).sum().view(np.int64))
+        out = [(batch, batch % owners, -1, np.concatenate([own, asked, counts]).astype("<i8").tobytes())]
+        at = np.searchsorted(tokens, bounds).tolist()
+        for owner, (a, b) in enumerate(zip(at, at[1:])):
+            if a < b:
+                gaps = np.diff(tokens[a:b], prepend=bounds[owner])
+                out.append((batch, owner, b - a, zstandard.compress(_planes(gaps) + _planes(row[a:b]), 1)))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MESSAGES)], schema=_MESSAGES)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sizes, blobs, held = [], [], [], 0
+        for batch in sliced(batches):
+            for name, n, blob in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+                names.append(name)
+                sizes.append(n)
+                blobs.append(blob)
+                held += len(blob)
+                if held >= 8 * how.tokens:
+                    yield pack(names, sizes, blobs)
+                    names, sizes, blobs, held = [], [], [], 0
+        if names:
+            yield pack(names, sizes, blobs)
+
+    def answer(messages: pa.Table) -> pa.Table:
+        out, sent, froms, rows = [], [], [], []
+        for batch, owner, n, data in zip(*[messages.column(c).to_pylist() for c in _MESSAGES.names]):
+            if n < 0:
+                out.append((batch, data, None))
+                continue
+            raw = zstandard.decompress(data)
+            froms.append(batch)
+            sent.append(np.cumsum(_unplaned(raw[: 5 * n], n)))
+            rows.append(_unplaned(raw[5 * n :], n))
+        if sent:
+            tokens = np.concatenate(sent)
+            order = np.argsort(tokens)
+            ordered = tokens[order]
+            again = np.zeros(len(tokens), bool)
+            again[1:] = ordered[1:] == ordered[:-1]
+            again[:-1] |= again[1:]
+            twice = np.empty(len(tokens), bool)
+            twice[order] = again
+            at = 0
+            for batch, row in zip(froms, rows):
+                met = row[twice[at : at + len(row)]]
+                at += len(row)
+                met = met[met != alone].astype(np.int64)
+                if len(met):
+                    counts = np.bincount(met).astype("<u4").tobytes()
+                    out.append((batch, None, zstandard.compress(counts, 1)))
+        return pa.Table.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(_ANSWERS)], schema=_ANSWERS)
+
+    def add(answers: pa.Table) -> pa.Table:
+        # batches of the same rows have the same number; all their counts together are no fewer than each one's
+        infos = [np.frombuffer(x, "<i8").reshape(3, -1) for x in answers.column("names").to_pylist() if x is not None]
+        names, asked, total = infos[0][0], infos[0][1], sum(info[2] for info in infos)
+        for counts in answers.column("counts").to_pylist():
+            if counts is not None:
+                own = np.frombuffer(zstandard.decompress(counts), "<u4")
+                total[: len(own)] += own
+        return pa.table({"set": pa.array(names[total >= asked])})
+
+    sent = described.select("set", "n", "prefix").mapInArrow(send, "batch bigint, owner int, n int, data binary")
+    answers = sent.groupBy("owner").applyInArrow(answer, "batch bigint, names binary, counts binary")
+    return answers.groupBy("batch").applyInArrow(add, "set bigint")
+
+
 def shared_prefixes(described: DataFrame) -> DataFrame:
     """``token`` and ``set`` of the prefix shingles that at least two different sets have."""
 
@@ -383,34 +504,49 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
     empty set and links with nothing, so its component is its own id.  Repeated rows and equal texts link.
     A null id is a row without a name: its component is that of the rows it links with.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    described = written(sets(docs, rarity(docs, how), how))
-    shared = written(shared_prefixes(described))
-    meeting = shared.select("set").distinct()
-    stands = described.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
-    stands = stands.join(meeting, "set")
+    prefixed = written(sets(docs, rarity(docs, how), how))
+    described = written(prefixed.select("doc_id", "n", "set"))
+    by_set = prefixed.filter("set is not null").groupBy("set")
+    by_set = written(by_set.agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.count(F.lit(1)).alias("rows")))
+    stands = by_set.select("set", "rep", "key")
+    one_each = prefixed.filter("set is not null")
+    copied = by_set.filter("rows > 1").select("set", "rep")
+    if measured_bytes(copied) <= SHARED_BYTES:  # else copies go along: they count as shared, and lists tell them apart
+        again = copied.select(F.col("set").alias("again"), "rep")
+        of_copies = (F.col("set") == F.col("again")) & ~F.col("doc_id").eqNullSafe(F.col("rep"))
+        one_each = one_each.join(F.broadcast(again), of_copies, "left_anti")
+    some = written(alive(one_each, how).distinct())
+    shared = written(shared_prefixes(one_each.join(sized(some), "set", "left_semi")))
+    dropped(prefixed, some)
+    stands = written(stands.join(shared.select("set").distinct(), "set"))
     small = squeezed(docs).withColumnRenamed("c0", "doc_id")
-    texts = small.join(stands, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "set", "z")
+    texts = small.join(sized(stands), F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "set", "z")
     all_groups = written(groups(texts, how))
-    sizes = sized(all_groups.select(F.col("gid").alias("other"), F.col("least").alias("o_least"), F.col("most").alias("o_most")))
     member = written(all_groups.select("gid", "least", "most", F.explode("sets").alias("set")))
     lists = written(shared.join(sized(member), "set").select("token", "gid", "least", "most", F.col("set").alias("component")))
     dropped(shared, member)
     links = all_groups.select(F.explode("links").alias("l")).select("l.a", "l.b")
+    # what two similar members of two groups share at least: _asked of the least size that the smaller can have
+    needed = f"(greatest(least, o_least) * {how.percent} + 99) div 100"
+    smaller = f"greatest({needed}, least(least, o_least))"
+    asked = F.expr(f"least(1 + {smaller} div {how.step}, ({smaller} * {how.percent} + 99) div 100)")
     tested = found = None
     for turn in range(how.rounds + 1):
         # what is still apart in each list of groups that share a shingle
         if found is not None:
             old_lists = lists
-            known = lists.join(found, lists["component"] == found["node"], "left")
+            known = lists.join(sized(found), lists["component"] == found["node"], "left")
             lists = known.select("token", "gid", "least", "most", F.coalesce(found["component"], lists["component"]).alias("component"))
+            lists = lists.repartition("token")
             ends = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
             # lists that hold together by now are done with
             torn = written(lists.distinct().join(ends.filter("low <> high").select("token"), "token", "left_semi"))
             dropped(old_lists)
             lists = torn
-        # one row per list and group, however many components its members are in
-        apart = lists.groupBy("token", "gid").agg(
+        # one row per list and group, however many components its members are in; a list stays in its task from here on
+        apart = lists.repartition("token").groupBy("token", "gid").agg(
             F.first("least").alias("least"), F.first("most").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")
         )
         # groups whose members are known to belong together need not meet
@@ -421,19 +557,19 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
         fits = (100 * F.col("most") >= how.percent * F.col("o_least")) & (100 * F.col("o_most") >= how.percent * F.col("least"))
         if turn < how.rounds:  # every group of a list meets two of them, in each turn others
             mask = F.lit(turn * 0x5DEECE66D1CE4E5B % (1 << 63)).cast("bigint")
-            place = F.col("gid").bitwiseXOR(mask)
-            pivots = lists.groupBy("token").agg(F.min(place).alias("p0"), F.max(place).alias("p1"))
-            pivots = pivots.select("token", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select(
-                "token", F.col("p").bitwiseXOR(mask).alias("other")
-            )
-            if found is not None:
-                pivots = pivots.join(others.select("token", "other", "o_low", "o_high"), ["token", "other"])
-            met = apart.join(pivots, "token").filter(F.col("gid") != F.col("other"))
+            place = F.col("gid").bitwiseXOR(mask).alias("place")
+            ends = F.struct(place, F.col("gid").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("least", "most", "low", "high")])
+            pivots = apart.groupBy("token").agg(F.min(ends).alias("p0"), F.max(ends).alias("p1"))
+            pivots = pivots.select("token", F.inline(F.array_distinct(F.array("p0", "p1"))))
+            met = apart.join(pivots.hint("merge"), "token").filter((F.col("gid") != F.col("other")) & fits)
             if found is not None:
                 met = met.filter(~one)
-            met = met.select("gid", "other", "least", "most").distinct().join(sizes, "other").filter(fits)
-        else:  # every two groups of a list that are still apart
-            met = apart.join(others, "token").filter(fits & (F.col("gid") < F.col("other")) & ~one)
+            # lists in which they meet, not all of which have the same pivots: one shared shingle may be chance
+            met = met.groupBy("gid", "other", "least", "o_least").agg(F.count(F.lit(1)).alias("meets"))
+            met = met.filter(F.col("meets") >= F.least(asked, F.lit(2)))
+        else:  # every two groups that are still apart and share enough: all their lists are there, for all are torn
+            met = apart.join(others.hint("merge"), "token").filter(fits & (F.col("gid") < F.col("other")) & ~one)
+            met = met.groupBy("gid", "other", "least", "o_least").agg(F.count(F.lit(1)).alias("meets")).filter(F.col("meets") >= asked)
         pairs = met.select(F.least("gid", "other").alias("x"), F.greatest("gid", "other").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
@@ -453,13 +589,13 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
             old = old.select("node", F.coalesce("new", "component").alias("component"))
             alone = renamed.join(found, renamed["old"] == found["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
             found = written(old.union(alone))
-    names = described.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
+    names = by_set.select("set", F.col("rep").alias("least"))
     of_set = names.join(found, names["set"] == found["node"], "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     of_set = written(of_set)
     dropped(all_groups, lists, tested)
     smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = of_set.join(smallest, "component").select("set", "component_id")
-    return described.join(by_set, "set", "left").select(
+    named = of_set.join(smallest, "component").select("set", "component_id")
+    return described.join(named, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 

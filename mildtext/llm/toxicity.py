@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.llm.common import sliced
+from mildtext.session import small_batches
 
 # Greek, Cyrillic and other letters that look like the Latin letter below them.
 _ALIKE = str.maketrans({
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Training = Training()) ->
     toxic; repeated rows and texts count once.  Without labels
     of both kinds the score is the same small number for every text.
     """
+    small_batches(docs.sparkSession)
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.filter(F.col("toxic").isin(0, 1) & (remainder(F.col("id")) != 1))
     own = own.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -291,6 +293,7 @@ def score(docs: DataFrame, model: Model, settings: Training = Training(), text_c
 
 def without_toxic(docs: DataFrame, model: Model, settings: Training = Training(), text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` below the threshold, all columns as they are; null and empty texts stay."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

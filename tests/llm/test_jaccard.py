@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mildtext.llm import jaccard, wordhash
 from mildtext.llm.components import components
 from mildtext.llm.queries import op9_jaccard_join
+from mildtext.session import BATCH_BYTES
 
 
 def shingles(text):
@@ -113,3 +114,39 @@ def test_query(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     assert [d.doc_id for d in docs] == list(range(len(docs)))
     check(op9_jaccard_join(spark, sf).collect(), [d.text for d in docs])
+
+
+def test_shingles_shared_by_chance_make_no_lists(spark):
+    pick = random.Random(8)
+    texts = []
+    for pair in range(300):  # two texts with one phrase in common
+        for _ in "ab":
+            words = [f"w{pick.randint(0, 10**9)}" for _ in range(100)]
+            words[40:45] = [f"p{pair}x{i}" for i in range(5)]
+            texts.append(" ".join(words))
+    alone = len(texts)
+    for size, copies, edits in ((40, 20, 2), (200, 30, 10), (12, 20, 1), (5, 4, 1), (3, 3, 0)):
+        base = [f"v{pick.randint(0, 400)}" for _ in range(size)]
+        texts += [family(pick, base, pick.randint(0, edits)) for _ in range(copies)]
+    how = jaccard.Join(sketch=6, tokens=500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    described = jaccard.sets(docs, jaccard.rarity(docs, how), how).cache()
+    by_name = {}
+    for row in described.collect():
+        by_name.setdefault(row.set, []).append(row.doc_id)
+    assert len({i for r in jaccard.shared_prefixes(described).collect() for i in by_name[r.set]} & set(range(alone))) > 20
+    left = {i for r in jaccard.alive(described.select("set", "n", "prefix"), how).collect() for i in by_name[r.set]}
+    assert not left & set(range(alone))
+    sets = [shingles(t) for t in texts]
+    linked = {
+        i for i in range(alone, len(texts)) for j in range(alone, len(texts))
+        if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    assert len(linked) > 20 and linked <= left
+
+
+def test_workers_get_small_batches(spark):
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(size)
+    jaccard.join(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert int(spark.conf.get(size)) == BATCH_BYTES
