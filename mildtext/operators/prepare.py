@@ -52,13 +52,14 @@ def dedup_pairs(pairs: DataFrame) -> DataFrame:
 def dedup_with_keys(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """:func:`dedup_pairs`, and ``lang`` with the ids of what it keeps.
 
-    Language, digest and ids are written in one pass over the texts; the copies come out of one
-    sorted stream of those (:func:`later_rows`), and leave the texts where they are: broadcast
-    if their measured size is small.  ``source_rank`` and ``pair_id`` name a row, as everywhere
+    The pairs are written with their digest, so that whatever makes them, patterns over both texts
+    and joins, runs once.  Later passes read the columns they need: the copies come out of one
+    sorted stream of language, digest and ids (:func:`later_rows`), and leave the texts where they
+    are: broadcast if their measured size is small.  ``source_rank`` and ``pair_id`` name a row, as everywhere
     in the preparation.
     """
-    hashed = pairs.withColumn("pair_hash", tx.pair_hash(F.col("toxic"), F.col("neutral")))
-    ids = materialize(hashed.select("lang", "pair_hash", *PAIR_IDS))
+    hashed = materialize(pairs.withColumn("pair_hash", tx.pair_hash(F.col("toxic"), F.col("neutral"))))
+    ids = hashed.select("lang", "pair_hash", *PAIR_IDS)
     copies = shared(later_rows(ids, ["lang", "pair_hash"], PAIR_IDS).distinct())
     kept = ids.select("lang", *PAIR_IDS).join(copies, PAIR_IDS, "left_anti")
     return hashed.join(copies, PAIR_IDS, "left_anti"), kept

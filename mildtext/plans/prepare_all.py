@@ -15,7 +15,7 @@ from mildtext.session import materialize, shared
 
 
 def clean_and_split(sources: list[DataFrame], cfg: PrepConfig = PrepConfig()) -> DataFrame:
-    """Cleaned pairs of all sources with their split; only ids are written on the way."""
+    """Cleaned pairs of all sources with their split; the cleaned pairs are written once on the way."""
     wanted = union_sources(*sources).filter(F.col("lang").isin(cfg.langs))
     cleaned, keys = preprocess_with_keys(wanted, cfg.length_ratio)
     return split_pairs(cleaned, cfg.split_ratios, cfg.default_ratios, cfg.seed, PAIR_IDS, keys=keys)
