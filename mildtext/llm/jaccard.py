@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mildtext.llm import wordhash
 from mildtext.llm.common import opened as unpacked
-from mildtext.llm.common import dropped, sliced, squeezed, written
+from mildtext.llm.common import dropped, lean, sliced, squeezed, written
 from mildtext.llm.components import components
 from mildtext.session import SHARED_BYTES, measured_bytes, sized, small_batches
 
@@ -82,6 +82,7 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
     slots, parts = 1 << how.sketch, min(64, 1 << how.sketch)
     shift = np.uint64(64 - how.sketch)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.uint32)
         for batch in sliced(batches):
@@ -94,6 +95,7 @@ def rarity(docs: DataFrame, how: Join) -> np.ndarray:
             counts = zstandard.compress(own.astype(width.newbyteorder("<")).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts])], ["part", "counts"])
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -128,6 +130,7 @@ def sets(docs: DataFrame, levels: np.ndarray, how: Join) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shift = np.uint64(64 - how.sketch)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             n_all, set_all, key_all, prefixes = [], [], [], []
@@ -219,6 +222,7 @@ def alive(described: DataFrame, how: Join) -> DataFrame:
                 out.append((batch, owner, b - a, zstandard.compress(_planes(gaps) + _planes(row[a:b]), 1)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MESSAGES)], schema=_MESSAGES)
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes, blobs, held = [], [], [], 0
         for batch in sliced(batches):
@@ -280,6 +284,7 @@ def alive(described: DataFrame, how: Join) -> DataFrame:
 def shared_prefixes(described: DataFrame) -> DataFrame:
     """``token`` and ``set`` of the prefix shingles that at least two different sets have."""
 
+    @lean
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task go once, so copies do not fill a list
         for batch in batches:
@@ -294,6 +299,7 @@ def shared_prefixes(described: DataFrame) -> DataFrame:
                 [pa.array(tokens), pa.array(np.repeat(np.array(names, np.int64), [len(b) // 8 for b in blobs]))], ["token", "set"]
             )
 
+    @lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted; the last of a batch waits for the next one, with what is known of its token
         last, met = np.empty((2, 0), np.int64), False
@@ -383,6 +389,7 @@ def groups(texts: DataFrame, how: Join) -> DataFrame:
         texts = zstandard.compress(b"\n".join(own_texts), 1)
         return names[0], list(names), min(lengths), max(lengths), slots, texts, links
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("gid", pa.int64()), ("sets", pa.list_(pa.int64())), ("least", pa.int64()), ("most", pa.int64()),
@@ -451,6 +458,7 @@ def qualifying(pairs: DataFrame, all_groups: DataFrame, how: Join) -> DataFrame:
     A value of a slot that both unions have stands for at most the lesser of its two counts.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
             keep = []
@@ -473,6 +481,7 @@ def opened(pairs: DataFrame, all_groups: DataFrame, how: Join) -> DataFrame:
         at = _bounds(owner, len(part)).tolist()
         return [digests[a:b] for a, b in zip(at, at[1:])]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 20):
             out: list[tuple[int, int]] = []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mildtext.llm.bpe import byte_letters, in_slices
-from mildtext.llm.common import words, written
+from mildtext.llm.common import lean, words, written
 
 # Entries of a worker's table of words; when it is full, words that do not come again go.
 CACHE_ENTRIES = 350_000
@@ -143,6 +143,7 @@ def pieces(
     names = ["id", "piece", "start", "length", "ids_crc32", "shard", "place"] + ["ids"] * keep_ids
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _word_ids(vocabulary)
         shard = TaskContext.get().partitionId()
@@ -239,6 +240,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     steps = np.array(sorted(best_fit(counts, capacity)) or np.zeros((0, 6)), np.int64)
     keys = (steps[:, 0] << _RANK_BITS) + steps[:, 1]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

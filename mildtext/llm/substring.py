@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mildtext.llm import wordhash
-from mildtext.llm.common import sliced, written
+from mildtext.llm.common import lean, sliced, written
+from mildtext.session import small_batches
 
 
 @dataclass(frozen=True)
@@ -162,6 +163,7 @@ def _described(docs: DataFrame, how: Spans) -> DataFrame:
     """``id``, ``digest`` of all words, and anchors and digests of the passages of every row."""
     kind = docs.schema["id"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             digest, anchors, passages, n = [], [], [], []
@@ -203,11 +205,13 @@ def _states(described: DataFrame, how: Spans) -> DataFrame:
         at = np.flatnonzero(new)
         return a[at], c[at], np.add.reduceat(n, at) if len(at) else n
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # copies in a batch become one row before the shuffle
             a, c = (batch.column(k).flatten().to_numpy() for k in ("a", "c"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(a, c, np.ones(len(a), np.int64))], ["a", "c", "n"])
 
+    @lean
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -242,6 +246,7 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
     at = docs.columns.index(text_col)
     names = [f"c{n}" for n in range(len(fields)) if n != at]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in sliced(batches):
@@ -269,6 +274,7 @@ def _passages(texts: DataFrame, how: Spans) -> DataFrame:
     names = ["shard", "row", "first", "weight", "words"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()  # references that this task has sent
         for batch in sliced(batches):
@@ -327,6 +333,7 @@ def _matched(passages: DataFrame, how: Spans) -> DataFrame:
             if end is not None:
                 yield row, first + begin, first + end
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, shard = 0, None
@@ -359,6 +366,7 @@ def remove(docs: DataFrame, how: Spans = Spans(), id_col: str = "doc_id", text_c
     ids are kept; equal rows are occurrences each, so both lose what they share.  Columns
     of ``docs`` named ``n_words`` or ``n_removed`` are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")])
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     described = written(_described(rows, how))
@@ -387,6 +395,7 @@ def remove(docs: DataFrame, how: Spans = Spans(), id_col: str = "doc_id", text_c
     columns = [f"c{at[f.name]}" for f in kept]
     whole = joined(_packed(docs, text_col), f"c{at[id_col]}", marks, "left").select(*columns, "z", "repeated", "spans")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = [_open(z) for z in batch.column("z").to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mildtext.llm.common import sliced
+from mildtext.llm.common import lean, sliced
 from mildtext.session import small_batches
 
 # Greek, Cyrillic and other letters that look like the Latin letter below them.
@@ -162,6 +162,7 @@ def held_out(doc_id: Column) -> Column:
 def _counted(rows: DataFrame, keys_of, parts: str) -> DataFrame:
     """Documents per key and label: ``key``, ``toxic``, ``other``; counted in each task before the shuffle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in sliced(batches):
@@ -248,6 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Training = Training()) ->
 
         names = ["density", "weight", "hits", "words"]
 
+        @lean
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
                 found = [model.features(fold(t or "")) for t in batch.column("text").to_pylist()]
@@ -277,6 +279,7 @@ def score(docs: DataFrame, model: Model, settings: Training = Training(), text_c
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "score", "predicted")]
     names = [f"c{n}" for n in range(len(kept))]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             scores = [model.score(t) for t in batch.column(len(kept)).to_pylist()]
@@ -296,6 +299,7 @@ def without_toxic(docs: DataFrame, model: Model, settings: Training = Training()
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             keep = [model.score(t) < settings.threshold for t in batch.column(at).to_pylist()]

@@ -87,8 +87,11 @@ def _powers(n: int, base: int = _BASE) -> np.ndarray:
     return table[:n]
 
 
-def in_slices(texts: list[bytes], size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, texts) of about ``size`` bytes, at least one text each."""
+def in_slices(texts: list[bytes], size: int = 250_000) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, texts) of about ``size`` bytes, at least one text each.
+
+    Digests of a slice and its windows take some 100 bytes per byte of text.
+    """
     first, held = 0, 0
     for n, text in enumerate(texts):
         held += len(text) + 1
