@@ -1,9 +1,13 @@
 """Scoring of rewrites: texts are read once, equal ones are counted once, and rows are those of the forms it replaced."""
 
+import hashlib
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mildtext.operators import bigrams, evaluate, grams, score
+from mildtext.operators import bigrams, bootstrap, evaluate, grams, score
 from mildtext.operators import rewrite as rw
 from mildtext.plans import views as vw
 from tests.test_rewrite import TERMS, TEXTS
@@ -103,3 +107,19 @@ def test_equal_texts_of_a_chunk_are_kept_once(spark, monkeypatch):
     assert sorted(chunk.amounts.tolist()) == [20] * 6 and len(chunk.texts) == 20
     monkeypatch.setattr(bigrams, "CHUNK_ROWS", 7)
     assert sorted(len(r["key0"]) for r in bigrams.chunks(rows, ["id"], "text", "lang").collect()) == [6, 7, 7]
+
+
+def test_digests_of_many_keys(monkeypatch):
+    keys = [f"e|{i}" for i in range(300)] + ["", "é|1", "x" * 30, *["y" * n for n in range(44, 70)], "z" * 200]
+    bounds = np.array([int(b, 16) for b in bootstrap.poisson_bounds()])
+    want = []
+    for key in keys:
+        raw = b"".join(hashlib.md5(f"42|{key}|{block}".encode()).digest() for block in range(math.ceil(1001 / 4)))
+        want.append(np.searchsorted(bounds, np.frombuffer(raw, ">u4").astype(np.int64), side="right")[:1001])
+    one_by_one = []
+    md5 = hashlib.md5
+    monkeypatch.setattr(bootstrap.hashlib, "md5", lambda raw: one_by_one.append(raw) or md5(raw))
+    assert (bootstrap.draws(keys, 1001, 42) == np.array(want)).all()
+    # only messages of several blocks
+    assert len(one_by_one) < 25
+    assert bootstrap.draws([], 10, 1).shape == (0, 10)
