@@ -109,6 +109,18 @@ def test_equal_texts_of_a_chunk_are_kept_once(spark, monkeypatch):
     assert sorted(len(r["key0"]) for r in bigrams.chunks(rows, ["id"], "text", "lang").collect()) == [6, 7, 7]
 
 
+def test_equal_pairs_are_counted_once(monkeypatch):
+    asked = []
+    count = grams.count_overlap
+    monkeypatch.setattr(grams, "count_overlap", lambda left, right, *a: asked.append(len(left)) or count(left, right, *a))
+    left, right = ["a  b", None, "a b", "b", "a b"], ["a b", "a b", " a b", "a", None]
+    got = grams._counted("word", left, right)
+    assert asked == [3]
+    sides = [(a, b or "") for a, b in zip(["a b", "a b", "a b", "b", "a b"], ["a b", "a b", "a b", "a", ""])]
+    want = count([a for a, _ in sides], [b for _, b in sides], grams.WORD_ORDER, False)
+    assert got.to_numpy().tolist() == want.to_numpy().tolist() and got.index.tolist() == list(range(5))
+
+
 def test_digests_of_many_keys(monkeypatch):
     keys = [f"e|{i}" for i in range(300)] + ["", "é|1", "x" * 30, *["y" * n for n in range(44, 70)], "z" * 200]
     bounds = np.array([int(b, 16) for b in bootstrap.poisson_bounds()])
